@@ -76,3 +76,180 @@ FROM (
   LIMIT 1) AS b""")
 def _best_performer(T):
     return perf.best_performer(T, TASK_AS_OF)
+
+
+# ---------------------------------------------------------------------------
+# C1-C4, C9-C17, C19-C21 statistics
+# ---------------------------------------------------------------------------
+from ..operators import stats  # noqa: E402
+
+
+def _s(cond: str) -> str:
+    return f"CAST(SUM(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT)"
+
+
+@register("admin_stats", tables=("users", "tasks"), oracle=f"""
+SELECT * FROM
+ (SELECT COUNT(*) AS totalUsers, {_s("status = 'Active'")} AS activeUsers,
+         {_s("status = 'Inactive'")} AS inactiveUsers FROM users) a,
+ (SELECT {_s("role = 'Admin'")} AS totalAdmins, {_s("role = 'Manager'")} AS totalManagers,
+         {_s("role = 'Electrician'")} AS totalElectricians FROM users) b,
+ (SELECT COUNT(*) AS totalTasks, {_s("status = 'Completed'")} AS completedTasks,
+         {_s("status = 'Pending'")} AS pendingTasks FROM tasks) c""")
+def _admin_stats(T):
+    return stats.admin_stats(T)
+
+
+@register("manager_stats", tables=("users", "tasks"), oracle=f"""
+SELECT * FROM
+ (SELECT COUNT(*) AS totalTasks, {_s("status = 'Pending'")} AS pendingTasks,
+         {_s("status = 'Assigned'")} AS assignedTasks, {_s("status = 'In Progress'")} AS inProgressTasks,
+         {_s("status = 'Completed'")} AS completedTasks FROM tasks) a,
+ (SELECT COUNT(*) AS availableElectricians FROM users WHERE role = 'Electrician' AND status = 'Active') b,
+ (SELECT COUNT(*) AS todayTasks FROM tasks WHERE CAST(created_at AS DATE) = DATE '{TASK_AS_OF}') c""")
+def _manager_stats(T):
+    return stats.manager_stats(T, TASK_AS_OF)
+
+
+@register("electrician_stats", tables=("users", "tasks"), oracle=f"""
+SELECT u.id AS user_id, COALESCE(a.totalTasks, 0) AS totalTasks, a.assignedTasks,
+       a.inProgressTasks, a.completedTasks, COALESCE(b.todayTasks, 0) AS todayTasks, b.todayCompleted
+FROM users u
+LEFT JOIN (SELECT assigned_to, COUNT(*) AS totalTasks, {_s("status = 'Assigned'")} AS assignedTasks,
+                  {_s("status = 'In Progress'")} AS inProgressTasks,
+                  {_s("status = 'Completed'")} AS completedTasks
+           FROM tasks GROUP BY assigned_to) a ON a.assigned_to = u.id
+LEFT JOIN (SELECT assigned_to, COUNT(*) AS todayTasks, {_s("status = 'Completed'")} AS todayCompleted
+           FROM tasks WHERE scheduled_date = DATE '{TASK_AS_OF}' GROUP BY assigned_to) b
+  ON b.assigned_to = u.id
+WHERE u.role = 'Electrician'""")
+def _electrician_stats(T):
+    return stats.electrician_stats(T, TASK_AS_OF)
+
+
+@register("issue_stats", tables=("issues",), oracle=f"""
+SELECT COUNT(*) AS total_issues, {_s("status = 'open'")} AS open_issues,
+  {_s("status = 'in_progress'")} AS in_progress_issues, {_s("status = 'resolved'")} AS resolved_issues,
+  {_s("priority = 'emergency' AND status != 'resolved'")} AS emergency_issues,
+  {_s("priority = 'urgent' AND status != 'resolved'")} AS urgent_issues
+FROM issues""")
+def _issue_stats(T):
+    return stats.issue_stats(T)
+
+
+@register("system_user_stats", tables=("users",), oracle=f"""
+SELECT COUNT(*) AS total_users,
+  COALESCE({_s("role = 'Admin'")}, 0) AS total_admins,
+  COALESCE({_s("role = 'Manager'")}, 0) AS total_managers,
+  COALESCE({_s("role = 'Electrician'")}, 0) AS total_electricians,
+  COALESCE({_s("status = 'Active'")}, 0) AS active_users,
+  COALESCE({_s("status = 'Inactive'")}, 0) AS inactive_users
+FROM users""")
+def _system_user_stats(T):
+    return stats.system_user_stats(T)
+
+
+@register("login_activity", tables=("activity_logs",), oracle=f"""
+SELECT COUNT(DISTINCT user_id) AS unique_logins, COUNT(*) AS total_logins
+FROM activity_logs
+WHERE action = 'Login' AND created_at >= CAST(DATE '{LOG_AS_OF}' - INTERVAL 30 DAY AS DATE)""")
+def _login_activity(T):
+    return stats.login_activity(T, LOG_AS_OF)
+
+
+@register("daily_logins", tables=("activity_logs",), oracle=f"""
+SELECT CAST(created_at AS DATE) AS date, COUNT(DISTINCT user_id) AS unique_users,
+       COUNT(*) AS login_count
+FROM activity_logs
+WHERE action = 'Login' AND created_at >= CAST(DATE '{LOG_AS_OF}' - INTERVAL 7 DAY AS DATE)
+GROUP BY CAST(created_at AS DATE)
+ORDER BY date DESC""")
+def _daily_logins(T):
+    return stats.daily_logins(T, LOG_AS_OF)
+
+
+_SINCE30 = f"CAST(DATE '{LOG_AS_OF}' - INTERVAL 30 DAY AS DATE)"
+
+
+@register("account_activity", tables=("users", "activity_logs"), oracle=f"""
+SELECT COALESCE({_s(f"CAST(created_at AS DATE) >= {_SINCE30}")}, 0) AS new_registrations,
+       COALESCE({_s(f"action = 'Password Reset' AND created_at >= {_SINCE30}")}, 0) AS password_resets
+FROM (SELECT created_at, 'Registration' AS action FROM users
+      UNION ALL
+      SELECT created_at, action FROM activity_logs WHERE action = 'Password Reset') AS combined_activity""")
+def _account_activity(T):
+    return stats.account_activity(T, LOG_AS_OF)
+
+
+@register("deactivated_users", tables=("users",), oracle="""
+SELECT COUNT(*) AS deactivated_users FROM users WHERE status = 'Inactive'""")
+def _deactivated_users(T):
+    return stats.deactivated_users(T)
+
+
+@register("daily_summary", tables=("tasks",), oracle=f"""
+SELECT scheduled_date, COUNT(*) AS total_tasks, {_s("status = 'Completed'")} AS completed_tasks,
+  {_s("status = 'In Progress'")} AS in_progress_tasks,
+  {_s("status IN ('Pending', 'Assigned')")} AS pending_tasks
+FROM tasks WHERE scheduled_date IS NOT NULL GROUP BY scheduled_date""")
+def _daily_summary(T):
+    return stats.daily_summary(T)
+
+
+@register("active_electricians", tables=("tasks",), oracle="""
+SELECT scheduled_date, COUNT(DISTINCT assigned_to) AS active_electricians
+FROM tasks WHERE scheduled_date IS NOT NULL GROUP BY scheduled_date""")
+def _active_electricians(T):
+    return stats.active_electricians(T)
+
+
+@register("electrician_activity", tables=("users", "tasks"), oracle=f"""
+SELECT t.scheduled_date, u.full_name AS electrician_name, COUNT(t.id) AS total_tasks,
+  {_s("t.status = 'Completed'")} AS tasks_completed,
+  {_s("t.status = 'In Progress'")} AS tasks_in_progress
+FROM users u
+JOIN tasks t ON u.id = t.assigned_to AND t.scheduled_date IS NOT NULL
+WHERE u.role = 'Electrician' AND u.status = 'Active'
+GROUP BY t.scheduled_date, u.id, u.full_name
+HAVING COUNT(t.id) > 0
+ORDER BY t.scheduled_date DESC, tasks_completed DESC""")
+def _electrician_activity(T):
+    return stats.electrician_activity(T)
+
+
+@register("tasks_by_status", tables=("tasks",), oracle="""
+SELECT scheduled_date, status, COUNT(*) AS count
+FROM tasks WHERE scheduled_date IS NOT NULL GROUP BY scheduled_date, status""")
+def _tasks_by_status(T):
+    return stats.tasks_by_status(T)
+
+
+@register("electrician_rating", tables=("electrician_details", "tasks", "task_ratings"), oracle="""
+SELECT electrician_id,
+       CAST(CAST((a4 + 50) // 100 AS DECIMAL(6,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(3,2)) AS rating
+FROM (
+  SELECT ed.electrician_id,
+         (SUM(tr.rating) * 20000 + COUNT(tr.rating)) // (2 * COUNT(tr.rating)) AS a4
+  FROM electrician_details ed
+  JOIN tasks t ON t.assigned_to = ed.electrician_id
+  JOIN task_ratings tr ON tr.task_id = t.id
+  GROUP BY ed.electrician_id) AS m""")
+def _electrician_rating(T):
+    return stats.electrician_rating(T)
+
+
+@register("completed_counter", tables=("electrician_details", "activity_logs"), oracle="""
+SELECT ed.electrician_id, COUNT(al.id) AS total_tasks_completed
+FROM electrician_details ed
+LEFT JOIN activity_logs al ON al.user_id = ed.electrician_id AND al.action = 'Task Completed'
+GROUP BY ed.electrician_id""")
+def _completed_counter(T):
+    return stats.completed_counter(T)
+
+
+@register("last_login", tables=("users", "activity_logs"), oracle="""
+SELECT u.id, MAX(al.created_at) AS last_login
+FROM users u LEFT JOIN activity_logs al ON al.user_id = u.id AND al.action = 'Login'
+GROUP BY u.id""")
+def _last_login(T):
+    return stats.last_login(T)
