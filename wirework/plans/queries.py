@@ -389,3 +389,300 @@ WHERE al.action = 'Login'
 ORDER BY al.created_at DESC, al.id DESC LIMIT 10""")
 def _recent_logins(T):
     return listings.recent_logins(T)
+
+
+# ---------------------------------------------------------------------------
+# D2-D17 change application
+# ---------------------------------------------------------------------------
+from ..operators import changes  # noqa: E402
+
+
+@register("valid_ratings", tables=("rating_events",), oracle="""
+SELECT * FROM rating_events WHERE rating BETWEEN 1 AND 5""")
+def _valid_ratings(T):
+    return changes.valid_ratings(T.rating_events)[0]
+
+
+@register("rejected_ratings", tables=("rating_events",), oracle="""
+SELECT * FROM rating_events WHERE rating IS NULL OR rating NOT BETWEEN 1 AND 5""")
+def _rejected_ratings(T):
+    return changes.valid_ratings(T.rating_events)[1]
+
+
+@register("latest_ratings", tables=("task_ratings", "rating_events", "tasks"), oracle="""
+WITH latest AS (
+  SELECT task_id, rating, rated_at FROM rating_events
+  WHERE rating BETWEEN 1 AND 5 AND task_id IN (SELECT id FROM tasks)
+  QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY rated_at DESC, seq DESC) = 1)
+SELECT r.id, r.task_id,
+       CASE WHEN l.task_id IS NOT NULL THEN l.rating ELSE r.rating END AS rating,
+       CASE WHEN l.task_id IS NOT NULL THEN NULL ELSE r.feedback END AS feedback,
+       CASE WHEN l.task_id IS NOT NULL THEN l.rated_at ELSE r.rated_at END AS rated_at
+FROM task_ratings r LEFT JOIN latest l ON l.task_id = r.task_id
+UNION ALL
+SELECT (SELECT COALESCE(MAX(id), 0) FROM task_ratings) + row_number() OVER (ORDER BY l.task_id) AS id,
+       l.task_id, l.rating, CAST(NULL AS VARCHAR) AS feedback, l.rated_at
+FROM latest l WHERE l.task_id NOT IN (SELECT task_id FROM task_ratings)""")
+def _latest_ratings(T):
+    return changes.latest_ratings(T.task_ratings, T.rating_events, T.tasks)
+
+
+@register("latest_completions", tables=("task_completions", "completion_events", "tasks"), oracle="""
+WITH latest AS (
+  SELECT task_id, completion_notes, materials_used,
+         CAST(COALESCE(additional_charges, 0) AS DECIMAL(10,2)) AS additional_charges, completed_at
+  FROM completion_events WHERE task_id IN (SELECT id FROM tasks)
+  QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY completed_at DESC, seq DESC) = 1)
+SELECT c.id, c.task_id,
+       CASE WHEN l.task_id IS NOT NULL THEN l.completion_notes ELSE c.completion_notes END AS completion_notes,
+       CASE WHEN l.task_id IS NOT NULL THEN l.materials_used ELSE c.materials_used END AS materials_used,
+       CASE WHEN l.task_id IS NOT NULL THEN l.additional_charges ELSE c.additional_charges END AS additional_charges,
+       c.customer_signature,
+       CASE WHEN l.task_id IS NOT NULL THEN l.completed_at ELSE c.completed_at END AS completed_at
+FROM task_completions c LEFT JOIN latest l ON l.task_id = c.task_id
+UNION ALL
+SELECT (SELECT COALESCE(MAX(id), 0) FROM task_completions) + row_number() OVER (ORDER BY l.task_id),
+       l.task_id, l.completion_notes, l.materials_used, l.additional_charges, CAST(NULL AS BLOB), l.completed_at
+FROM latest l WHERE l.task_id NOT IN (SELECT task_id FROM task_completions)""")
+def _latest_completions(T):
+    return changes.latest_completions(T.task_completions, T.completion_events, T.tasks)
+
+
+_RESOLVE_CTE = """
+WITH known AS (SELECT phone, MIN(id) AS customer_id FROM customers WHERE phone IS NOT NULL GROUP BY phone),
+firsts AS (
+  SELECT customer_phone, MIN(request_id) AS first_request FROM customer_intake
+  WHERE customer_phone IS NOT NULL GROUP BY customer_phone),
+fresh AS (
+  SELECT f.customer_phone, f.first_request,
+         (SELECT COALESCE(MAX(id), 0) FROM customers) + row_number() OVER (ORDER BY f.first_request) AS id
+  FROM firsts f WHERE f.customer_phone NOT IN (SELECT phone FROM known))"""
+
+
+@register("resolve_customers", tables=("customers", "customer_intake"), oracle=_RESOLVE_CTE + """
+SELECT i.request_id, COALESCE(k.customer_id, f.id) AS customer_id
+FROM customer_intake i
+LEFT JOIN known k ON k.phone = i.customer_phone
+LEFT JOIN fresh f ON f.customer_phone = i.customer_phone""")
+def _resolve_customers(T):
+    return changes.resolve_customers(T.customers, T.customer_intake)[1].select("request_id", "customer_id")
+
+
+@register("new_customers", tables=("customers", "customer_intake"), oracle=_RESOLVE_CTE + """
+SELECT f.id, i.customer_name AS name, CAST(NULL AS VARCHAR) AS email, f.customer_phone AS phone,
+       i.customer_address AS address, i.requested_at AS created_at
+FROM fresh f JOIN customer_intake i ON i.request_id = f.first_request""")
+def _new_customers(T):
+    return changes.resolve_customers(T.customers, T.customer_intake)[0]
+
+
+_INTAKE_CTE = _RESOLVE_CTE + """,
+resolved AS (
+  SELECT i.*, COALESCE(k.customer_id, f.id) AS customer_id
+  FROM customer_intake i
+  LEFT JOIN known k ON k.phone = i.customer_phone
+  LEFT JOIN fresh f ON f.customer_phone = i.customer_phone),
+new_tasks AS (
+  SELECT (SELECT COALESCE(MAX(id), 0) FROM tasks) + row_number() OVER (ORDER BY request_id) AS id,
+         'T' || right(CAST(epoch_ms(requested_at) AS VARCHAR), 6) AS task_code, title,
+         CAST(NULL AS VARCHAR) AS description, customer_id, priority, 'Pending' AS status, created_by,
+         CAST(NULL AS BIGINT) AS assigned_to, scheduled_date, CAST(NULL AS VARCHAR) AS scheduled_time_start,
+         CAST(NULL AS VARCHAR) AS scheduled_time_end, CAST(NULL AS DECIMAL(4,2)) AS estimated_hours,
+         CAST(NULL AS TIMESTAMP) AS actual_start_time, CAST(NULL AS TIMESTAMP) AS actual_end_time,
+         requested_at AS created_at, requested_at AS updated_at
+  FROM resolved WHERE customer_id IS NOT NULL)"""
+
+
+@register("task_intake", tables=("customers", "customer_intake", "tasks"), oracle=_INTAKE_CTE + """
+SELECT * FROM new_tasks""")
+def _task_intake(T):
+    _, resolved = changes.resolve_customers(T.customers, T.customer_intake)
+    return changes.task_intake(resolved, T.tasks)[0]
+
+
+@register("task_code_collisions", tables=("customers", "customer_intake", "tasks"), oracle=_INTAKE_CTE + """
+SELECT task_code, COUNT(*) AS n
+FROM (SELECT task_code FROM new_tasks UNION ALL SELECT task_code FROM tasks) AS c
+GROUP BY task_code HAVING COUNT(*) > 1""")
+def _task_code_collisions(T):
+    _, resolved = changes.resolve_customers(T.customers, T.customer_intake)
+    return changes.task_intake(resolved, T.tasks)[1]
+
+
+@register("patch_customers", tables=("customers", "customer_patches"), oracle="""
+WITH live AS (
+  SELECT * FROM customer_patches
+  WHERE COALESCE(name, '') <> '' OR COALESCE(phone, '') <> '' OR COALESCE(address, '') <> ''),
+latest AS (
+  SELECT customer_id,
+         arg_max(name, seq) FILTER (WHERE name IS NOT NULL) AS p_name,
+         arg_max(phone, seq) FILTER (WHERE phone IS NOT NULL) AS p_phone,
+         arg_max(address, seq) FILTER (WHERE address IS NOT NULL) AS p_address
+  FROM live GROUP BY customer_id)
+SELECT c.id, COALESCE(l.p_name, c.name) AS name, c.email, COALESCE(l.p_phone, c.phone) AS phone,
+       COALESCE(l.p_address, c.address) AS address, c.created_at
+FROM customers c LEFT JOIN latest l ON l.customer_id = c.id""")
+def _patch_customers(T):
+    return changes.patch_customers(T.customers, T.customer_patches)
+
+
+@register("replace_materials", tables=("task_materials", "material_payload", "tasks"), oracle="""
+WITH accepted AS (
+  SELECT p.* FROM material_payload p
+  WHERE (p.op = 'edit' AND p.task_id IN (SELECT id FROM tasks WHERE status IS NULL OR status NOT IN ('Completed', 'Cancelled')))
+     OR (p.op = 'create' AND p.task_id IN (SELECT id FROM tasks))),
+cleared AS (SELECT DISTINCT task_id FROM accepted WHERE op = 'edit')
+SELECT m.* FROM task_materials m WHERE m.task_id NOT IN (SELECT task_id FROM cleared)
+UNION ALL
+SELECT (SELECT COALESCE(MAX(id), 0) FROM task_materials) + row_number() OVER (ORDER BY task_id, pos) AS id,
+       task_id, CASE WHEN COALESCE(name, '') <> '' THEN name ELSE material_name END AS material_name,
+       CAST(CASE WHEN quantity IS NULL OR quantity = 0 THEN 1 ELSE quantity END AS INTEGER) AS quantity,
+       CAST(NULL AS DECIMAL(10,2)) AS cost
+FROM accepted WHERE pos IS NOT NULL""")
+def _replace_materials(T):
+    return changes.replace_materials(T.task_materials, T.material_payload, T.tasks)
+
+
+_ISSUE_ACC = """
+WITH acc AS (
+  SELECT c.* FROM issue_changes c
+  WHERE c.status IN ('open', 'in_progress', 'resolved')
+    AND c.changed_by IN (SELECT id FROM users WHERE role IN ('Manager', 'Admin'))
+    AND c.issue_id IN (SELECT id FROM issues))"""
+
+
+@register("resolve_issues", tables=("issues", "issue_changes", "users"), oracle=_ISSUE_ACC + """,
+per AS (
+  SELECT issue_id,
+         arg_max(status, (changed_at, seq)) AS p_status,
+         arg_max(changed_at, (changed_at, seq)) FILTER (WHERE status = 'resolved') AS p_at,
+         arg_max(changed_by, (changed_at, seq)) FILTER (WHERE status = 'resolved') AS p_by,
+         COALESCE(string_agg(E'\\n\\nRESOLUTION: ' || resolution_notes, '' ORDER BY changed_at, seq)
+                  FILTER (WHERE status = 'resolved' AND COALESCE(resolution_notes, '') <> ''), '') AS p_notes
+  FROM acc GROUP BY issue_id)
+SELECT i.id, i.task_id, i.reported_by, i.issue_type,
+       CASE WHEN p.issue_id IS NOT NULL THEN i.description || p.p_notes ELSE i.description END AS description,
+       i.priority, COALESCE(p.p_status, i.status) AS status, i.requested_action, i.created_at,
+       COALESCE(p.p_at, i.resolved_at) AS resolved_at, COALESCE(p.p_by, i.resolved_by) AS resolved_by
+FROM issues i LEFT JOIN per p ON p.issue_id = i.id""")
+def _resolve_issues(T):
+    return changes.resolve_issues(T.issues, T.issue_changes, T.users)
+
+
+_ISSUE_OK = """
+WITH ok AS (
+  SELECT r.* FROM issue_requests r
+  WHERE r.reported_by IN (SELECT id FROM users WHERE role = 'Electrician')
+    AND EXISTS (SELECT 1 FROM tasks t WHERE t.id = r.task_id AND t.assigned_to = r.reported_by))"""
+
+
+@register("issue_intake", tables=("issue_requests", "tasks", "users", "issues"), oracle=_ISSUE_OK + """
+SELECT (SELECT COALESCE(MAX(id), 0) FROM issues) + row_number() OVER (ORDER BY request_id) AS id,
+       task_id, reported_by, issue_type, description,
+       CASE WHEN COALESCE(priority, '') <> '' THEN priority ELSE 'normal' END AS priority,
+       'open' AS status, requested_action, requested_at AS created_at,
+       CAST(NULL AS TIMESTAMP) AS resolved_at, CAST(NULL AS BIGINT) AS resolved_by
+FROM ok""")
+def _issue_intake(T):
+    return changes.issue_intake(T.issue_requests, T.tasks, T.users, T.issues)[0]
+
+
+@register("issue_intake_rejected", tables=("issue_requests", "tasks", "users"), oracle=_ISSUE_OK + """
+SELECT * FROM issue_requests WHERE request_id NOT IN (SELECT request_id FROM ok)""")
+def _issue_intake_rejected(T):
+    return changes.issue_intake(T.issue_requests, T.tasks, T.users, T.issues)[1]
+
+
+@register("purge_tasks", tables=("tasks",), oracle="""
+SELECT * FROM tasks WHERE status = 'Completed'""")
+def _purge_tasks(T):
+    out, _ = changes.purge_tasks(T, T.tasks.select("id"))
+    return out.tasks
+
+
+@register("purge_tasks_children", tables=("tasks", "task_ratings", "task_completions", "task_materials", "issues"),
+          oracle="""
+WITH doomed AS (SELECT id FROM tasks WHERE status IS NULL OR status <> 'Completed')
+SELECT 'task_ratings' AS table_name, COUNT(*) AS remaining FROM task_ratings WHERE task_id NOT IN (SELECT id FROM doomed)
+UNION ALL SELECT 'task_completions', COUNT(*) FROM task_completions WHERE task_id NOT IN (SELECT id FROM doomed)
+UNION ALL SELECT 'task_materials', COUNT(*) FROM task_materials WHERE task_id NOT IN (SELECT id FROM doomed)
+UNION ALL SELECT 'issues', COUNT(*) FROM issues WHERE task_id NOT IN (SELECT id FROM doomed)""")
+def _purge_tasks_children(T):
+    from pyspark.sql import functions as F
+
+    out, _ = changes.purge_tasks(T, T.tasks.select("id"))
+    parts = [getattr(out, n).agg(F.count(F.lit(1)).alias("remaining"))
+             .select(F.lit(n).alias("table_name"), "remaining")
+             for n in ("task_ratings", "task_completions", "task_materials", "issues")]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+@register("toggle_status", tables=("users", "toggle_requests"), oracle="""
+WITH flips AS (SELECT user_id, COUNT(*) AS n FROM toggle_requests GROUP BY user_id)
+SELECT u.id, u.username, u.email, u.password, u.full_name, u.phone, u.role,
+       CASE WHEN COALESCE(f.n % 2 = 1, false) THEN (CASE WHEN u.status = 'Active' THEN 'Inactive' ELSE 'Active' END)
+            ELSE u.status END AS status,
+       u.created_at, u.last_login
+FROM users u LEFT JOIN flips f ON f.user_id = u.id""")
+def _toggle_status(T):
+    return changes.toggle_status(T.users, T.toggle_requests)
+
+
+_PATCH_CTE = """
+WITH latest AS (
+  SELECT * FROM user_patches QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1)"""
+
+
+@register("upsert_users", tables=("users", "user_patches"), oracle=_PATCH_CTE + """
+SELECT u.id, u.username, u.email, u.password,
+       CASE WHEN l.user_id IS NOT NULL THEN l.full_name ELSE u.full_name END AS full_name,
+       CASE WHEN l.user_id IS NOT NULL THEN COALESCE(regexp_replace(l.phone, '[\\s-]', '', 'g'), '') ELSE u.phone END AS phone,
+       u.role,
+       CASE WHEN l.user_id IS NOT NULL THEN l.status ELSE u.status END AS status,
+       u.created_at, u.last_login
+FROM users u LEFT JOIN latest l ON l.user_id = u.id""")
+def _upsert_users(T):
+    return changes.upsert_details(T.users, T.electrician_details, T.user_patches, TASK_AS_OF)[0]
+
+
+@register("upsert_details", tables=("users", "electrician_details", "user_patches"), oracle=_PATCH_CTE + """,
+techs AS (
+  SELECT l.user_id AS electrician_id,
+         CASE WHEN COALESCE(l.skills, '') <> '' THEN l.skills ELSE '' END AS s,
+         CASE WHEN COALESCE(l.certifications, '') <> '' THEN l.certifications ELSE '' END AS c
+  FROM latest l JOIN users u ON u.id = l.user_id WHERE u.role = 'Electrician')
+SELECT d.electrician_id, d.employee_code, COALESCE(t.s, d.skills) AS skills,
+       CASE WHEN t.electrician_id IS NOT NULL THEN t.c ELSE d.certifications END AS certifications,
+       d.rating, d.total_tasks_completed, d.join_date
+FROM electrician_details d LEFT JOIN techs t ON t.electrician_id = d.electrician_id
+UNION ALL
+SELECT t.electrician_id, CAST(NULL AS VARCHAR), t.s, t.c, CAST(0 AS DECIMAL(3,2)), 0, DATE '""" + TASK_AS_OF + """'
+FROM techs t WHERE t.electrician_id NOT IN (SELECT electrician_id FROM electrician_details)""")
+def _upsert_details(T):
+    return changes.upsert_details(T.users, T.electrician_details, T.user_patches, TASK_AS_OF)[1]
+
+
+@register("mark_read", tables=("notifications", "notification_reads"), oracle="""
+SELECT n.id, n.user_id, n.type, n.title, n.message,
+       CASE WHEN EXISTS (SELECT 1 FROM notification_reads r WHERE r.id = n.id AND r.user_id = n.user_id)
+            THEN true ELSE n.is_read END AS is_read,
+       n.created_at
+FROM notifications n""")
+def _mark_read(T):
+    return changes.mark_read(T.notifications, T.notification_reads)
+
+
+@register("activity_entries", tables=("task_changes", "tasks", "activity_logs"), oracle="""
+SELECT (SELECT COALESCE(MAX(id), 0) FROM activity_logs)
+         + row_number() OVER (ORDER BY c.changed_at, c.task_id, c.seq) AS id,
+       CAST(NULL AS BIGINT) AS user_id, 'Task Status Update' AS action,
+       'Updated task ' || CAST(c.task_id AS VARCHAR) || ' status to ' || c.status AS description,
+       CAST(NULL AS VARCHAR) AS ip_address, c.changed_at AS created_at
+FROM task_changes c
+WHERE c.kind = 'status' AND c.status IN ('Pending', 'Assigned', 'In Progress', 'Completed', 'Cancelled')
+  AND c.task_id IN (SELECT id FROM tasks)""")
+def _activity_entries(T):
+    return changes.status_change_log(T.tasks, T.task_changes, T.activity_logs)

@@ -79,6 +79,75 @@ FROM {lineitem}""",
 }
 # ---------------------------------------------------------------------------
 
+# Change batches for the write operators the fixtures above do not cover.  Each
+# reads a whole driver table, so the batch grows with the data.
+DERIVATIONS.update({
+    "completion_events": """
+SELECT l_orderkey AS task_id, 'line ' || CAST(l_linenumber AS STRING) AS completion_notes,
+       CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE 'qty ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS materials_used,
+       CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_tax * 100 AS DECIMAL(10,2)) END AS additional_charges,
+       l_shipdate AS completed_at, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS seq
+FROM {lineitem}""",
+    "customer_intake": """
+SELECT o_orderkey AS request_id, 'Client ' || CAST(o_custkey AS STRING) AS customer_name,
+       '07' || lpad(CAST(o_custkey % 150 AS STRING), 8, '0') AS customer_phone,
+       'Street ' || CAST(o_custkey % 37 AS STRING) AS customer_address,
+       'Job ' || CAST(o_orderkey AS STRING) AS title,
+       CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'High' WHEN o_orderpriority = '5-LOW' THEN 'Low' ELSE 'Medium' END AS priority,
+       CAST(o_orderdate + INTERVAL '2' DAY AS DATE) AS scheduled_date,
+       o_orderdate + INTERVAL '1' SECOND * (o_orderkey % 86400) AS requested_at,
+       o_custkey - o_custkey % 10 + 2 AS created_by
+FROM {orders}""",
+    "customer_patches": """
+SELECT o_orderkey % 120 AS customer_id,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'Client ' || CAST(o_custkey AS STRING) WHEN o_orderkey % 3 = 1 THEN '' END AS name,
+       CASE WHEN o_orderkey % 5 = 0 THEN '07' || lpad(CAST(o_custkey % 97 AS STRING), 8, '0') END AS phone,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'Avenue ' || CAST(o_orderkey % 11 AS STRING) END AS address,
+       o_orderkey AS seq
+FROM {orders}""",
+    "material_payload": """
+SELECT l_orderkey AS task_id, CASE WHEN l_orderkey % 2 = 0 THEN 'edit' ELSE 'create' END AS op,
+       l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS pos,
+       CASE WHEN l_linenumber = 1 THEN '' ELSE 'item ' || CAST(l_partkey AS STRING) END AS name,
+       'part ' || CAST(l_partkey AS STRING) AS material_name,
+       CASE WHEN l_linenumber = 2 THEN 0 WHEN l_linenumber = 3 THEN NULL ELSE CAST(l_quantity AS INT) END AS quantity
+FROM {lineitem}""",
+    "issue_changes": """
+SELECT event_id - 1 AS issue_id,
+       CASE WHEN value < 15 THEN 'in_progress' ELSE 'resolved' END AS status,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'fixed ' || CAST(event_id AS STRING) END AS resolution_notes,
+       user_id - user_id % 10 + 1 AS changed_by, ts + INTERVAL '2' HOUR AS changed_at, event_id AS seq
+FROM {events}""",
+    "issue_requests": """
+SELECT o_orderkey AS request_id, o_orderkey AS task_id,
+       CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS reported_by,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'safety' ELSE 'materials' END AS issue_type,
+       'issue on order ' || CAST(o_orderkey AS STRING) AS description,
+       CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'urgent' ELSE 'emergency' END AS priority,
+       CAST(NULL AS STRING) AS requested_action, o_orderdate + INTERVAL '3' DAY AS requested_at
+FROM {orders}""",
+    "user_patches": """
+SELECT c_custkey AS user_id, upper(c_name) AS full_name,
+       CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE '077-' || lpad(CAST(c_custkey AS STRING), 7, '0') END AS phone,
+       CASE WHEN c_acctbal > 5000 THEN 'Inactive' ELSE 'Active' END AS status,
+       CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment || ' wiring' END AS skills,
+       CAST(NULL AS STRING) AS certifications, c_custkey AS seq
+FROM {customer}""",
+    "user_requests": """
+SELECT s_suppkey AS request_id, 'u' || CAST(s_suppkey * 13 % 3000 AS STRING) AS username,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'u' || CAST(s_suppkey AS STRING) || '@example.test' ELSE 'new' || CAST(s_suppkey % 40 AS STRING) || '@example.test' END AS email,
+       s_name AS full_name, '0771234567' AS phone,
+       CASE WHEN s_suppkey % 4 = 0 THEN 'Manager' ELSE 'Electrician' END AS role,
+       CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'NEW' || lpad(CAST(s_suppkey AS STRING), 5, '0') END AS employee_code,
+       'General' AS skills, CAST(NULL AS STRING) AS certifications
+FROM {supplier}""",
+    "toggle_requests": """
+SELECT user_id, event_id AS seq FROM {events} WHERE event_type = 'signup'""",
+    "notification_reads": """
+SELECT event_id - 1 AS id, CASE WHEN event_id % 7 = 0 THEN user_id + 1 ELSE user_id END AS user_id
+FROM {events}""",
+})
+
 # Raw driver tables each derivation reads.
 SOURCES: dict[str, tuple[str, ...]] = {
     "users": ("customer",),
@@ -93,6 +162,16 @@ SOURCES: dict[str, tuple[str, ...]] = {
     "notifications": ("events",),
     "issues": ("events",),
     "task_changes": ("lineitem",),
+    "completion_events": ("lineitem",),
+    "customer_intake": ("orders",),
+    "customer_patches": ("orders",),
+    "material_payload": ("lineitem",),
+    "issue_changes": ("events",),
+    "issue_requests": ("orders",),
+    "user_patches": ("customer",),
+    "user_requests": ("supplier",),
+    "toggle_requests": ("events",),
+    "notification_reads": ("events",),
 }
 
 # Derived output columns of each statement (the rest of the schema is typed NULL).
@@ -117,13 +196,15 @@ _DERIVED_COLUMNS: dict[str, tuple[str, ...]] = {
 
 
 def derived_columns(name: str) -> tuple[str, ...]:
-    return _DERIVED_COLUMNS[name]
+    if name in _DERIVED_COLUMNS:
+        return _DERIVED_COLUMNS[name]
+    return tuple(f.name for f in SCHEMAS[name].fields)
 
 
 def duckdb_view_sql(name: str) -> str:
     """The DuckDB text of one derived table, conformed to its full schema."""
     inner = DERIVATIONS[name].format(**{s: s for s in SOURCES[name]})
-    have = set(_DERIVED_COLUMNS[name])
+    have = set(derived_columns(name))
     cols = []
     for f in SCHEMAS[name].fields:
         src = f.name if f.name in have else "NULL"
@@ -132,6 +213,10 @@ def duckdb_view_sql(name: str) -> str:
 
 
 def with_tables(sql: str, names: list[str]) -> str:
-    """Prefix an oracle query with CTEs that define the derived tables it reads."""
+    """Prefix an oracle query with CTEs that define the derived tables it reads
+    (a query that starts with its own WITH gets its CTEs appended)."""
     ctes = ",\n".join(f"{n} AS ({duckdb_view_sql(n)})" for n in names)
+    body = sql.lstrip()
+    if body.upper().startswith("WITH "):
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"

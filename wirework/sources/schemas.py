@@ -122,3 +122,43 @@ def duckdb_type(dt: T.DataType) -> str:
     if isinstance(dt, T.DoubleType):
         return "DOUBLE"
     raise TypeError(f"no DuckDB mapping for {dt}")
+
+# change batches derived from the test tables for the remaining write operators
+COMPLETION_EVENTS = _struct(
+    ("task_id", _L), ("completion_notes", _S), ("materials_used", _S),
+    ("additional_charges", T.DecimalType(10, 2)), ("completed_at", _TS), ("seq", _L),
+)
+CUSTOMER_INTAKE = _struct(
+    ("request_id", _L), ("customer_name", _S), ("customer_phone", _S), ("customer_address", _S),
+    ("title", _S), ("priority", _S), ("scheduled_date", _D), ("requested_at", _TS),
+    ("created_by", _L),
+)
+CUSTOMER_PATCHES = _struct(("customer_id", _L), ("name", _S), ("phone", _S), ("address", _S),
+                           ("seq", _L))
+MATERIAL_PAYLOAD = _struct(("task_id", _L), ("op", _S), ("pos", _L), ("name", _S),
+                           ("material_name", _S), ("quantity", _I))
+ISSUE_CHANGES = _struct(("issue_id", _L), ("status", _S), ("resolution_notes", _S),
+                        ("changed_by", _L), ("changed_at", _TS), ("seq", _L))
+ISSUE_REQUESTS = _struct(("request_id", _L), ("task_id", _L), ("reported_by", _L),
+                         ("issue_type", _S), ("description", _S), ("priority", _S),
+                         ("requested_action", _S), ("requested_at", _TS))
+USER_PATCHES = _struct(("user_id", _L), ("full_name", _S), ("phone", _S), ("status", _S),
+                       ("skills", _S), ("certifications", _S), ("seq", _L))
+USER_REQUESTS = _struct(("request_id", _L), ("username", _S), ("email", _S), ("full_name", _S),
+                        ("phone", _S), ("role", _S), ("employee_code", _S), ("skills", _S),
+                        ("certifications", _S))
+TOGGLE_REQUESTS = _struct(("user_id", _L), ("seq", _L))
+NOTIFICATION_READS = _struct(("id", _L), ("user_id", _L))
+
+SCHEMAS.update({
+    "completion_events": COMPLETION_EVENTS,
+    "customer_intake": CUSTOMER_INTAKE,
+    "customer_patches": CUSTOMER_PATCHES,
+    "material_payload": MATERIAL_PAYLOAD,
+    "issue_changes": ISSUE_CHANGES,
+    "issue_requests": ISSUE_REQUESTS,
+    "user_patches": USER_PATCHES,
+    "user_requests": USER_REQUESTS,
+    "toggle_requests": TOGGLE_REQUESTS,
+    "notification_reads": NOTIFICATION_READS,
+})

@@ -25,7 +25,7 @@ TABLE_NAMES = (
 
 @dataclass(frozen=True)
 class Tables:
-    """The twelve tables of the data model plus the two change-batch tables."""
+    """The twelve tables of the data model plus optional change batches."""
 
     users: DataFrame
     electrician_details: DataFrame
@@ -41,6 +41,16 @@ class Tables:
     system_settings: DataFrame
     rating_events: DataFrame | None = None
     task_changes: DataFrame | None = None
+    completion_events: DataFrame | None = None
+    customer_intake: DataFrame | None = None
+    customer_patches: DataFrame | None = None
+    material_payload: DataFrame | None = None
+    issue_changes: DataFrame | None = None
+    issue_requests: DataFrame | None = None
+    user_patches: DataFrame | None = None
+    user_requests: DataFrame | None = None
+    toggle_requests: DataFrame | None = None
+    notification_reads: DataFrame | None = None
 
     def with_(self, **changes: DataFrame) -> "Tables":
         return replace(self, **changes)
