@@ -686,3 +686,110 @@ WHERE c.kind = 'status' AND c.status IN ('Pending', 'Assigned', 'In Progress', '
   AND c.task_id IN (SELECT id FROM tasks)""")
 def _activity_entries(T):
     return changes.status_change_log(T.tasks, T.task_changes, T.activity_logs)
+
+
+# ---------------------------------------------------------------------------
+# D1 task change fold, E2 / E3 notifications.  The oracle is an independent
+# step-by-step fold (recursive CTE), not the window formulation.
+# ---------------------------------------------------------------------------
+from ..operators import task_changes as tch  # noqa: E402
+
+_STATUSES = "('Pending', 'Assigned', 'In Progress', 'Completed', 'Cancelled')"
+_OPEN = "COALESCE(f.status NOT IN ('Completed', 'Cancelled'), true)"
+_DIFFERS = f"(ch.ok AND ch.kind = 'edit' AND {_OPEN} AND COALESCE(ch.s, '') <> '' AND ch.s IS DISTINCT FROM f.status)"
+_FOLD = f"""
+WITH RECURSIVE
+ch_all AS (
+  SELECT c.task_id, c.changed_at, c.seq, c.kind, c.status AS s, c.assigned_to AS a,
+         CASE WHEN c.kind = 'assign' THEN COALESCE(c.assigned_to IN (
+                   SELECT id FROM users WHERE role = 'Electrician' AND status = 'Active'), false)
+              WHEN c.kind = 'status' THEN COALESCE(c.status IN {_STATUSES}, false)
+              WHEN c.kind = 'edit' THEN NOT (COALESCE(c.status, '') <> '' AND c.status NOT IN {_STATUSES})
+              WHEN c.kind = 'complete' THEN true ELSE false END AS ok,
+         c.task_id IN (SELECT id FROM tasks) AS known
+  FROM task_changes c),
+ch AS (
+  SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY changed_at, seq) AS k
+  FROM ch_all WHERE known),
+fold(task_id, k, status, assigned_to, start_t, end_t, upd, in_status, in_assignee, differs) AS (
+  SELECT t.id, 0, t.status, t.assigned_to, t.actual_start_time, t.actual_end_time, t.updated_at,
+         CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN)
+  FROM tasks t WHERE t.id IN (SELECT task_id FROM ch)
+  UNION ALL
+  SELECT f.task_id, ch.k,
+    CASE WHEN ch.ok AND ch.kind = 'assign' THEN 'Assigned'
+         WHEN ch.ok AND ch.kind = 'status' THEN ch.s
+         WHEN ch.ok AND ch.kind = 'complete' THEN 'Completed'
+         WHEN {_DIFFERS} THEN ch.s
+         ELSE f.status END,
+    CASE WHEN ch.ok AND ch.kind = 'assign' THEN ch.a
+         WHEN {_DIFFERS} AND ch.s = 'Pending' THEN NULL
+         ELSE f.assigned_to END,
+    CASE WHEN ch.ok AND ch.kind = 'status' AND ch.s = 'In Progress' THEN ch.changed_at
+         WHEN {_DIFFERS} AND ch.s = 'In Progress' THEN ch.changed_at ELSE f.start_t END,
+    CASE WHEN ch.ok AND ch.kind = 'status' AND ch.s = 'Completed' THEN ch.changed_at
+         WHEN ch.ok AND ch.kind = 'complete' THEN ch.changed_at
+         WHEN {_DIFFERS} AND ch.s = 'Completed' THEN ch.changed_at ELSE f.end_t END,
+    CASE WHEN ch.ok AND (ch.kind <> 'edit' OR {_OPEN}) THEN ch.changed_at ELSE f.upd END,
+    f.status, f.assigned_to, {_DIFFERS}
+  FROM fold f JOIN ch ON ch.task_id = f.task_id AND ch.k = f.k + 1)"""
+
+_TASK_COLS = ["id", "task_code", "title", "description", "customer_id", "priority", "status",
+              "created_by", "assigned_to", "scheduled_date", "scheduled_time_start",
+              "scheduled_time_end", "estimated_hours", "actual_start_time", "actual_end_time",
+              "created_at", "updated_at"]
+_FOLDED = {"status": "status", "assigned_to": "assigned_to", "actual_start_time": "start_t",
+           "actual_end_time": "end_t", "updated_at": "upd"}
+_FINAL_SEL = ", ".join(
+    f"CASE WHEN fl.task_id IS NOT NULL THEN fl.{_FOLDED[c]} ELSE t.{c} END AS {c}" if c in _FOLDED
+    else f"t.{c}" for c in _TASK_COLS)
+
+
+@register("apply_task_changes", tables=("tasks", "task_changes", "users"), oracle=_FOLD + f""",
+final AS (SELECT * FROM fold QUALIFY k = max(k) OVER (PARTITION BY task_id))
+SELECT {_FINAL_SEL}
+FROM tasks t LEFT JOIN final fl ON fl.task_id = t.id""")
+def _apply_task_changes(T):
+    return tch.apply_task_changes(T.tasks, T.task_changes, T.users)[0]
+
+
+@register("task_change_rejects", tables=("tasks", "task_changes", "users"), oracle=_FOLD + """
+SELECT * FROM (
+  SELECT ch.task_id, ch.changed_at, ch.seq, ch.kind, ch.s AS status, ch.a AS assigned_to,
+    CASE WHEN NOT ch.ok AND ch.kind = 'assign' THEN 'invalid or inactive electrician'
+         WHEN NOT ch.ok AND ch.kind IN ('status', 'edit') THEN 'invalid status value'
+         WHEN NOT ch.ok AND ch.kind = 'complete' THEN 'not assigned to this task'
+         WHEN NOT ch.ok THEN 'unknown change kind'
+         WHEN ch.kind = 'edit' AND f.in_status IN ('Completed', 'Cancelled')
+           THEN 'cannot update ' || lower(f.in_status) || ' tasks' END AS reason
+  FROM fold f JOIN ch ON ch.task_id = f.task_id AND ch.k = f.k WHERE f.k > 0
+  UNION ALL
+  SELECT task_id, changed_at, seq, kind, s, a,
+    CASE WHEN kind = 'assign' THEN CASE WHEN NOT ok THEN 'invalid or inactive electrician' END
+         WHEN kind IN ('status', 'edit', 'complete') THEN 'task not found'
+         ELSE 'unknown change kind' END
+  FROM ch_all WHERE NOT known) AS r
+WHERE reason IS NOT NULL""")
+def _task_change_rejects(T):
+    return tch.apply_task_changes(T.tasks, T.task_changes, T.users)[1]
+
+
+@register("notify_assigned", tables=("tasks", "task_changes", "users"), oracle=_FOLD + """
+SELECT a AS user_id, 'task' AS type, 'New Task Assigned' AS title,
+       'You have been assigned a new task #' || CAST(task_id AS VARCHAR) AS message,
+       task_id, changed_at, seq
+FROM ch_all WHERE kind = 'assign' AND ok""")
+def _notify_assigned(T):
+    n = tch.apply_task_changes(T.tasks, T.task_changes, T.users)[2]
+    return n.filter(n.title == tch.ASSIGNED_TITLE)
+
+
+@register("notify_unassigned", tables=("tasks", "task_changes", "users"), oracle=_FOLD + """
+SELECT f.in_assignee AS user_id, 'task' AS type, 'Task Reassignment' AS title,
+       'Task #' || CAST(f.task_id AS VARCHAR) || ' has been unassigned and is now pending reassignment' AS message,
+       ch.task_id, ch.changed_at, ch.seq
+FROM fold f JOIN ch ON ch.task_id = f.task_id AND ch.k = f.k
+WHERE f.k > 0 AND f.differs AND ch.s = 'Pending' AND f.in_assignee IS NOT NULL""")
+def _notify_unassigned(T):
+    n = tch.apply_task_changes(T.tasks, T.task_changes, T.users)[2]
+    return n.filter(n.title == tch.UNASSIGNED_TITLE)

@@ -217,6 +217,8 @@ def with_tables(sql: str, names: list[str]) -> str:
     (a query that starts with its own WITH gets its CTEs appended)."""
     ctes = ",\n".join(f"{n} AS ({duckdb_view_sql(n)})" for n in names)
     body = sql.lstrip()
+    if body.upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {ctes},\n{body[14:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"
