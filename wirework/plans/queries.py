@@ -793,3 +793,133 @@ WHERE f.k > 0 AND f.differs AND ch.s = 'Pending' AND f.in_assignee IS NOT NULL""
 def _notify_unassigned(T):
     n = tch.apply_task_changes(T.tasks, T.task_changes, T.users)[2]
     return n.filter(n.title == tch.UNASSIGNED_TITLE)
+
+
+# ---------------------------------------------------------------------------
+# E1, E4, E5 notifications
+# ---------------------------------------------------------------------------
+from ..operators import notify  # noqa: E402
+
+
+@register("notify_task_created", tables=("customers", "customer_intake", "tasks", "users"),
+          oracle=_INTAKE_CTE + """
+SELECT n.id AS task_id, 'Manager' AS audience, 'task' AS type, 'New Task Created' AS title,
+       'New task "' || n.title || '" has been created and needs assignment' AS message,
+       (SELECT COUNT(*) FROM users WHERE role = 'Manager' AND status = 'Active') AS recipients
+FROM new_tasks n""")
+def _notify_task_created(T):
+    _, resolved = changes.resolve_customers(T.customers, T.customer_intake)
+    new_tasks, _ = changes.task_intake(resolved, T.tasks)
+    return notify.notify_task_created(new_tasks, T.users)
+
+
+@register("notify_issue_resolved", tables=("issues", "issue_changes", "users"), oracle=_ISSUE_ACC + """
+SELECT i.reported_by AS user_id, 'issue' AS type, 'Issue Resolved' AS title,
+       'Your reported issue "' || i.issue_type || '" has been resolved.' AS message,
+       a.issue_id, a.changed_at, a.seq
+FROM acc a JOIN issues i ON i.id = a.issue_id WHERE a.status = 'resolved'""")
+def _notify_issue_resolved(T):
+    return notify.notify_issue_resolved(T.issues, T.issue_changes, T.users)
+
+
+@register("notify_issue_reported", tables=("issue_requests", "tasks", "users", "issues"),
+          oracle=_ISSUE_OK + """,
+new_issues AS (
+  SELECT (SELECT COALESCE(MAX(id), 0) FROM issues) + row_number() OVER (ORDER BY request_id) AS id,
+         task_id, issue_type FROM ok),
+base AS (
+  SELECT n.id AS issue_id, t.created_by, t.title AS task_title, n.issue_type
+  FROM new_issues n JOIN tasks t ON t.id = n.task_id)
+SELECT issue_id, created_by AS user_id, CAST(NULL AS VARCHAR) AS audience, CAST(NULL AS BIGINT) AS exclude_user_id,
+       'issue' AS type, 'New Issue Reported' AS title,
+       'An issue has been reported for task "' || task_title || '" - ' || issue_type AS message
+FROM base
+UNION ALL
+SELECT issue_id, CAST(NULL AS BIGINT), 'Manager', created_by, 'issue', 'New Issue Reported',
+       'An issue has been reported for task "' || task_title || '" - ' || issue_type
+FROM base""")
+def _notify_issue_reported(T):
+    new_issues, _ = changes.issue_intake(T.issue_requests, T.tasks, T.users, T.issues)
+    return notify.notify_issue_reported(new_issues, T.tasks)
+
+
+# ---------------------------------------------------------------------------
+# C8, C18, A2 reports
+# ---------------------------------------------------------------------------
+from . import reports  # noqa: E402
+
+
+@register("user_performance_report", tables=("users", "tasks", "task_ratings"), oracle=f"""
+WITH s AS (
+  SELECT COUNT(DISTINCT u.id) AS total_electricians, COUNT(t.id) AS total_tasks_assigned,
+         CAST(SUM(CASE WHEN t.status = 'Completed' THEN 1 ELSE 0 END) AS BIGINT) AS total_completed,
+         ROUND(AVG(tr.rating), 4) AS overall_avg_rating
+  {_PERF_JOIN}),
+b AS (
+  SELECT u.id, u.full_name,
+    COUNT(CASE WHEN t.status = 'Completed' THEN 1 END) * IFNULL(AVG(tr.rating), 1) AS score
+  {_PERF_JOIN}
+  GROUP BY u.id, u.full_name HAVING COUNT(t.id) > 0
+  ORDER BY score DESC, u.id LIMIT 1)
+SELECT s.*, COALESCE((SELECT full_name FROM b), 'N/A') AS best_performer,
+       'Last 12 Months' AS report_period,
+       strftime(DATE '{TASK_AS_OF}' - INTERVAL 365 DAY, '%Y-%m-%d') AS period_start,
+       strftime(DATE '{TASK_AS_OF}', '%Y-%m-%d') AS period_end,
+       strftime(DATE '{TASK_AS_OF}', '%Y-%m-%dT%H:%M:%S.000Z') AS report_date
+FROM s""")
+def _user_performance_report(T):
+    return reports.user_performance_report(T, TASK_AS_OF).summary
+
+
+@register("system_usage_report")
+def _system_usage_report(T):
+    return reports.system_usage_report(T, LOG_AS_OF).summary
+
+
+@register("daily_stats_summary", tables=("tasks",), oracle=f"""
+SELECT COUNT(*) AS total_tasks, {_s("status = 'Completed'")} AS completed_tasks,
+       {_s("status = 'In Progress'")} AS in_progress_tasks,
+       {_s("status IN ('Pending', 'Assigned')")} AS pending_tasks,
+       (SELECT COUNT(DISTINCT assigned_to) FROM tasks
+        WHERE scheduled_date = DATE '{TASK_AS_OF}' AND assigned_to IS NOT NULL) AS active_electricians
+FROM tasks WHERE scheduled_date = DATE '{TASK_AS_OF}'""")
+def _daily_stats_summary(T):
+    return reports.daily_stats_summary(T, TASK_AS_OF)
+
+
+@register("daily_stats_report")
+def _daily_stats_report(T):
+    return reports.daily_stats_report(T, TASK_AS_OF).summary
+
+
+@register("report_log", tables=("report_requests", "users", "reports"), oracle="""
+WITH ok AS (
+  SELECT r.* FROM report_requests r JOIN users u ON u.id = r.generated_by
+  WHERE (r.report_type = 'user_performance' AND u.role IN ('Manager', 'Admin'))
+     OR (r.report_type = 'system_usage' AND u.role = 'Admin')
+     OR (r.report_type = 'daily_stats' AND u.role IN ('Manager', 'Admin')))
+SELECT (SELECT COALESCE(MAX(id), 0) FROM reports) + row_number() OVER (ORDER BY request_id) AS id,
+       report_type, generated_by,
+       '{' || concat_ws(',',
+         CASE WHEN start_date IS NOT NULL THEN '"start_date":"' || strftime(start_date, '%Y-%m-%d') || '"' END,
+         CASE WHEN end_date IS NOT NULL THEN '"end_date":"' || strftime(end_date, '%Y-%m-%d') || '"' END) || '}'
+         AS parameters,
+       CAST(NULL AS VARCHAR) AS file_path, requested_at AS created_at
+FROM ok""")
+def _report_log(T):
+    return reports.report_log(T.report_requests, T.users, T.reports)
+
+
+# ---------------------------------------------------------------------------
+# F1-F8 data quality
+# ---------------------------------------------------------------------------
+from ..functions import columns as fc  # noqa: E402
+from ..operators import quality  # noqa: E402
+
+
+@register("check_keys", tables=("users", "electrician_details", "customers", "tasks", "task_materials",
+                                "task_completions", "task_ratings", "activity_logs", "notifications",
+                                "issues", "reports", "system_settings"),
+          oracle=quality.check_keys_sql())
+def _check_keys(T):
+    return quality.check_keys(T)

@@ -143,6 +143,14 @@ SELECT s_suppkey AS request_id, 'u' || CAST(s_suppkey * 13 % 3000 AS STRING) AS
 FROM {supplier}""",
     "toggle_requests": """
 SELECT user_id, event_id AS seq FROM {events} WHERE event_type = 'signup'""",
+    "report_requests": """
+SELECT event_id AS request_id,
+       CASE event_id % 4 WHEN 0 THEN 'user_performance' WHEN 1 THEN 'system_usage' WHEN 2 THEN 'daily_stats' ELSE 'audit' END AS report_type,
+       user_id AS generated_by,
+       CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS start_date,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(ts + INTERVAL '7' DAY AS DATE) END AS end_date,
+       ts AS requested_at
+FROM {events}""",
     "notification_reads": """
 SELECT event_id - 1 AS id, CASE WHEN event_id % 7 = 0 THEN user_id + 1 ELSE user_id END AS user_id
 FROM {events}""",
@@ -172,6 +180,7 @@ SOURCES: dict[str, tuple[str, ...]] = {
     "user_requests": ("supplier",),
     "toggle_requests": ("events",),
     "notification_reads": ("events",),
+    "report_requests": ("events",),
 }
 
 # Derived output columns of each statement (the rest of the schema is typed NULL).
@@ -202,7 +211,11 @@ def derived_columns(name: str) -> tuple[str, ...]:
 
 
 def duckdb_view_sql(name: str) -> str:
-    """The DuckDB text of one derived table, conformed to its full schema."""
+    """The DuckDB text of one derived table, conformed to its full schema
+    (tables without a derivation, reports and system_settings, are empty)."""
+    if name not in DERIVATIONS:
+        cols = ", ".join(f"CAST(NULL AS {duckdb_type(f.dataType)}) AS {f.name}" for f in SCHEMAS[name].fields)
+        return f"SELECT {cols} WHERE false"
     inner = DERIVATIONS[name].format(**{s: s for s in SOURCES[name]})
     have = set(derived_columns(name))
     cols = []

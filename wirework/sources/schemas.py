@@ -149,6 +149,8 @@ USER_REQUESTS = _struct(("request_id", _L), ("username", _S), ("email", _S), ("f
                         ("certifications", _S))
 TOGGLE_REQUESTS = _struct(("user_id", _L), ("seq", _L))
 NOTIFICATION_READS = _struct(("id", _L), ("user_id", _L))
+REPORT_REQUESTS = _struct(("request_id", _L), ("report_type", _S), ("generated_by", _L),
+                          ("start_date", _D), ("end_date", _D), ("requested_at", _TS))
 
 SCHEMAS.update({
     "completion_events": COMPLETION_EVENTS,
@@ -161,4 +163,5 @@ SCHEMAS.update({
     "user_requests": USER_REQUESTS,
     "toggle_requests": TOGGLE_REQUESTS,
     "notification_reads": NOTIFICATION_READS,
+    "report_requests": REPORT_REQUESTS,
 })

@@ -51,6 +51,7 @@ class Tables:
     user_requests: DataFrame | None = None
     toggle_requests: DataFrame | None = None
     notification_reads: DataFrame | None = None
+    report_requests: DataFrame | None = None
 
     def with_(self, **changes: DataFrame) -> "Tables":
         return replace(self, **changes)
