@@ -390,3 +390,141 @@ def status_change_log(tasks: DataFrame, changes: DataFrame, logs: DataFrame) ->
     ok = ok.withColumnRenamed("changed_at", "created_at")
     return activity_entries(ok, "Task Status Update", ["task_id", "status"], logs,
                             ["created_at", "task_id", "seq"])
+
+
+# --- D12: off-boarding users -------------------------------------------------------------
+
+def purge_users(T: Tables, ids: DataFrame, acting_user: int) -> tuple[Tables, DataFrame]:
+    """Delete users with their details, notifications, logs and the
+    completions / ratings of tasks assigned to them; unassign their tasks and
+    hand the tasks they created to a surviving admin.
+
+    Refused, in this order: unknown ids; admins once deleting them would leave
+    one or no active admin (checked in id order, as one request after another
+    would); the acting user; users still named by issues or reports (their keys
+    would abort the delete); creators of tasks when no admin survives.
+    Returns (new tables, refused ids with a reason).
+    """
+    from ..plans.ids import prefix_sum
+
+    req = ids.select("id").distinct()
+    known = T.users.join(req, "id", "left_semi").select("id", "role", "status")
+    unknown = req.join(known, "id", "left_anti").select("id", F.lit("User not found").alias("reason"))
+    refs = (T.issues.select(F.col("reported_by").alias("id"))
+            .unionByName(T.issues.select(F.col("resolved_by").alias("id")))
+            .unionByName(T.reports.select(F.col("generated_by").alias("id")))
+            .filter(F.col("id").isNotNull()).distinct().withColumn("_ref", F.lit(True)))
+    cand = (known.join(refs, "id", "left")
+            .withColumn("_self", F.col("id") == F.lit(acting_user))
+            .withColumn("_ref", F.coalesce(F.col("_ref"), F.lit(False))))
+    is_admin = F.col("role") == "Admin"
+    # last-admin rule: admins in id order; only deletions of active admins
+    # lower the count, and eligible ones are deleted while more than one is left
+    n_active = T.users.filter(is_admin & (F.col("status") == "Active")).agg(
+        F.count(F.lit(1)).alias("_a"))                                     # one row
+    admins = cand.filter(is_admin).withColumn(
+        "_elig_active", ((F.col("status") == "Active") & ~F.col("_self") & ~F.col("_ref")).cast("int"))
+    admins = prefix_sum(admins, ["id"], "_elig_active", "_before").crossJoin(F.broadcast(n_active))
+    admins = admins.withColumn("_last", (F.col("_a") - F.col("_before")) <= 1).select("id", "_last")
+    cand = cand.join(admins, "id", "left").withColumn("_last", F.coalesce(F.col("_last"), F.lit(False)))
+    reason = (F.when(F.col("_last"), F.lit("Cannot delete the last admin user"))
+              .when(F.col("_self"), F.lit("Cannot delete your own account"))
+              .when(F.col("_ref"), F.lit("User has associated records in the system")))
+    decided = cand.withColumn("reason", reason)
+    doomed = decided.filter(F.col("reason").isNull()).select("id")
+    # creator hand-over: the smallest surviving admin id
+    survivors = T.users.filter(is_admin).join(doomed, "id", "left_anti").agg(F.min("id").alias("_heir"))
+    creators = T.tasks.select(F.col("created_by").alias("id")).distinct()
+    orphaned = doomed.join(creators, "id", "left_semi").crossJoin(F.broadcast(survivors)).filter(
+        F.col("_heir").isNull()).select("id", F.lit("No other admin to take over created tasks").alias("reason"))
+    doomed = doomed.join(orphaned, "id", "left_anti")
+    refused = (decided.filter(F.col("reason").isNotNull()).select("id", "reason")
+               .unionByName(orphaned).unionByName(unknown))
+
+    gone = doomed.withColumn("_gone", F.lit(True))
+    by_assignee = T.tasks.join(doomed.withColumnRenamed("id", "assigned_to"), "assigned_to", "left_semi") \
+        .select(F.col("id").alias("task_id"))
+    tasks = (T.tasks.join(gone.withColumnRenamed("id", "assigned_to").withColumnRenamed("_gone", "_ga"),
+                          "assigned_to", "left")
+             .join(gone.withColumnRenamed("id", "created_by").withColumnRenamed("_gone", "_gc"),
+                   "created_by", "left")
+             .crossJoin(F.broadcast(survivors)))
+    tasks = tasks.select(*[
+        F.when(F.col("_ga"), F.lit(None).cast("bigint")).otherwise(F.col("assigned_to")).alias("assigned_to")
+        if f.name == "assigned_to" else
+        F.when(F.col("_gc"), F.col("_heir")).otherwise(F.col("created_by")).alias("created_by")
+        if f.name == "created_by" else F.col(f.name)
+        for f in SCHEMAS["tasks"].fields])
+    out = T.with_(
+        users=T.users.join(doomed, "id", "left_anti"),
+        electrician_details=T.electrician_details.join(
+            doomed.withColumnRenamed("id", "electrician_id"), "electrician_id", "left_anti"),
+        notifications=T.notifications.join(doomed.withColumnRenamed("id", "user_id"), "user_id", "left_anti"),
+        task_completions=T.task_completions.join(by_assignee, "task_id", "left_anti"),
+        task_ratings=T.task_ratings.join(by_assignee, "task_id", "left_anti"),
+        activity_logs=T.activity_logs.join(doomed.withColumnRenamed("id", "user_id"), "user_id", "left_anti"),
+        tasks=tasks,
+    )
+    return out, refused
+
+
+# --- D15: user intake -----------------------------------------------------------------------
+
+def user_intake(users: DataFrame, requests: DataFrame, as_of: _dt.date | str,
+                case_insensitive: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A request is refused when its e-mail or username is already taken,
+    by an existing user or by an earlier accepted request of the batch.
+
+    Exact one-after-another semantics without a sequential loop over rows: in
+    each round, every live request that is the earliest live one for both its
+    e-mail and its username is accepted (no earlier request can still take its
+    keys); live requests sharing a key with a just-accepted one are refused.
+    Each round accepts at least the earliest live request; rounds = longest
+    chain of requests competing for keys.  Lineage is cut each round.
+    Returns (new users, new technician details, refused requests).
+    """
+    def key(c: str) -> Column:
+        return F.lower(F.col(c)) if case_insensitive else F.col(c)
+
+    req = requests.withColumn("_e", key("email")).withColumn("_u", key("username"))
+    taken_e = users.select(key("email").alias("_e")).filter(F.col("_e").isNotNull()).distinct()
+    taken_u = users.select(key("username").alias("_u")).filter(F.col("_u").isNotNull()).distinct()
+    live = req.join(taken_e, "_e", "left_anti").join(taken_u, "_u", "left_anti")
+    accepted = None
+    while True:
+        first_e = live.groupBy("_e").agg(F.min("request_id").alias("_fe"))
+        first_u = live.groupBy("_u").agg(F.min("request_id").alias("_fu"))
+        ok = (live.join(first_e, "_e", "left").join(first_u, "_u", "left")
+              .filter(F.coalesce(F.col("_fe") == F.col("request_id"), F.col("_e").isNull())
+                      & F.coalesce(F.col("_fu") == F.col("request_id"), F.col("_u").isNull()))
+              .drop("_fe", "_fu"))
+        ok = _checkpoint(ok)
+        if ok.limit(1).count() == 0:
+            break
+        accepted = ok if accepted is None else accepted.unionByName(ok)
+        live = (live.join(ok.select("request_id"), "request_id", "left_anti")
+                .join(ok.select("_e").filter(F.col("_e").isNotNull()).distinct(), "_e", "left_anti")
+                .join(ok.select("_u").filter(F.col("_u").isNotNull()).distinct(), "_u", "left_anti"))
+        live = _checkpoint(live)
+        if live.limit(1).count() == 0:
+            break
+    if accepted is None:
+        accepted = req.limit(0)
+    refused = requests.join(accepted.select("request_id"), "request_id", "left_anti")
+    rows = assign_ids(accepted.drop("_e", "_u"), ["request_id"], max_id(users))
+    new_users = conform(rows.withColumn("status", F.lit("Active")), "users")
+    det = rows.filter((F.col("role") == "Electrician") & _truthy(F.col("employee_code"))).select(
+        F.col("id").alias("electrician_id"), "employee_code", "skills", "certifications",
+        F.lit(0).cast("decimal(3,2)").alias("rating"), F.lit(0).alias("total_tasks_completed"),
+        lit_date(as_of).alias("join_date"))
+    return new_users, conform(det, "electrician_details"), refused
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the cluster's shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

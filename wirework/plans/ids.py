@@ -68,3 +68,27 @@ def assign_ids(df: DataFrame, order: list[str], start: DataFrame | int, id_col:
 def max_id(df: DataFrame, col: str = "id") -> DataFrame:
     """One-row DataFrame ``start`` = max(col) (NULL -> 0)."""
     return df.agg(F.coalesce(F.max(col), F.lit(0)).cast("bigint").alias("start"))
+
+
+def prefix_sum(df: DataFrame, order: list[str], value: str, out_col: str,
+               buckets: int | None = None) -> DataFrame:
+    """Add ``out_col`` = sum of ``value`` over all rows strictly before each row
+    in ``order`` (order must be unique), computed per key-range bucket plus a
+    per-bucket offset, like ``assign_ids``; no single-partition window."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    first = order[0]
+    key = _as_number(F.col(first), df.schema[first].dataType)
+    span = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(n) + F.lit(1e-9)
+    bucketed = df.crossJoin(F.broadcast(span)).withColumn(
+        "_b", F.coalesce(F.least(F.floor((key - F.col("_lo")) / width), F.lit(n - 1)).cast("int"),
+                         F.lit(-1))).drop("_lo", "_hi")
+    w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = bucketed.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    totals = bucketed.groupBy("_b").agg(F.sum(value).alias("_t"))
+    prior = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_b", F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_off"))
+    return (within.join(F.broadcast(offsets), "_b")
+            .withColumn(out_col, (F.col("_off") + F.col("_in")).cast("bigint"))
+            .drop("_b", "_in", "_off"))

@@ -923,3 +923,164 @@ from ..operators import quality  # noqa: E402
           oracle=quality.check_keys_sql())
 def _check_keys(T):
     return quality.check_keys(T)
+
+
+# ---------------------------------------------------------------------------
+# D12 off-boarding (batch: every user, acting admin 10), D15 intake
+# ---------------------------------------------------------------------------
+ACTING_ADMIN = 10
+
+_PURGE_CTE = f"""
+WITH known AS (SELECT id, role, status FROM users),
+refs AS (
+  SELECT reported_by AS id FROM issues UNION SELECT resolved_by FROM issues
+  UNION SELECT generated_by FROM reports),
+cand AS (
+  SELECT k.*, k.id = {ACTING_ADMIN} AS self,
+         COALESCE(k.id IN (SELECT id FROM refs WHERE id IS NOT NULL), false) AS ref
+  FROM known k),
+adm AS (
+  SELECT id,
+    (SELECT COUNT(*) FROM users WHERE role = 'Admin' AND status = 'Active')
+      - COALESCE(SUM(CASE WHEN status = 'Active' AND NOT self AND NOT ref THEN 1 ELSE 0 END)
+                 OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 1 AS last
+  FROM cand WHERE role = 'Admin'),
+decided AS (
+  SELECT c.id, CASE WHEN COALESCE(a.last, false) THEN 'Cannot delete the last admin user'
+                    WHEN c.self THEN 'Cannot delete your own account'
+                    WHEN c.ref THEN 'User has associated records in the system' END AS reason
+  FROM cand c LEFT JOIN adm a ON a.id = c.id),
+doomed0 AS (SELECT id FROM decided WHERE reason IS NULL),
+heir AS (SELECT MIN(id) AS h FROM users WHERE role = 'Admin' AND id NOT IN (SELECT id FROM doomed0)),
+orphaned AS (
+  SELECT id FROM doomed0
+  WHERE id IN (SELECT created_by FROM tasks WHERE created_by IS NOT NULL) AND (SELECT h FROM heir) IS NULL),
+doomed AS (SELECT id FROM doomed0 WHERE id NOT IN (SELECT id FROM orphaned))"""
+
+
+def _purge_users(T):
+    return changes.purge_users(T, T.users.select("id"), ACTING_ADMIN)
+
+
+@register("purge_users_refused", tables=("users", "issues", "reports", "tasks"), oracle=_PURGE_CTE + """
+SELECT id, reason FROM decided WHERE reason IS NOT NULL
+UNION ALL SELECT id, 'No other admin to take over created tasks' FROM orphaned""")
+def _purge_users_refused(T):
+    return _purge_users(T)[1]
+
+
+@register("purge_users_remaining", tables=("users", "issues", "reports", "tasks"), oracle=_PURGE_CTE + """
+SELECT * FROM users WHERE id NOT IN (SELECT id FROM doomed)""")
+def _purge_users_remaining(T):
+    return _purge_users(T)[0].users
+
+
+_PURGED_TASK_SEL = ", ".join(
+    "CASE WHEN assigned_to IN (SELECT id FROM doomed) THEN NULL ELSE assigned_to END AS assigned_to"
+    if c == "assigned_to" else
+    "CASE WHEN created_by IN (SELECT id FROM doomed) THEN (SELECT h FROM heir) ELSE created_by END AS created_by"
+    if c == "created_by" else c for c in _TASK_COLS)
+
+
+@register("purge_users_tasks", tables=("users", "issues", "reports", "tasks"), oracle=_PURGE_CTE + f"""
+SELECT {_PURGED_TASK_SEL} FROM tasks""")
+def _purge_users_tasks(T):
+    return _purge_users(T)[0].tasks
+
+
+@register("purge_users_children", tables=("users", "issues", "reports", "tasks", "electrician_details",
+                                          "notifications", "task_completions", "task_ratings",
+                                          "activity_logs"), oracle=_PURGE_CTE + """,
+gone_tasks AS (SELECT id FROM tasks WHERE assigned_to IN (SELECT id FROM doomed))
+SELECT 'electrician_details' AS table_name, COUNT(*) AS remaining FROM electrician_details
+  WHERE electrician_id NOT IN (SELECT id FROM doomed)
+UNION ALL SELECT 'notifications', COUNT(*) FROM notifications WHERE user_id IS NULL OR user_id NOT IN (SELECT id FROM doomed)
+UNION ALL SELECT 'task_completions', COUNT(*) FROM task_completions WHERE task_id NOT IN (SELECT id FROM gone_tasks)
+UNION ALL SELECT 'task_ratings', COUNT(*) FROM task_ratings WHERE task_id NOT IN (SELECT id FROM gone_tasks)
+UNION ALL SELECT 'activity_logs', COUNT(*) FROM activity_logs WHERE user_id IS NULL OR user_id NOT IN (SELECT id FROM doomed)""")
+def _purge_users_children(T):
+    from pyspark.sql import functions as F
+
+    out = _purge_users(T)[0]
+    parts = [getattr(out, n).agg(F.count(F.lit(1)).alias("remaining"))
+             .select(F.lit(n).alias("table_name"), "remaining")
+             for n in ("electrician_details", "notifications", "task_completions", "task_ratings",
+                       "activity_logs")]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+@register("user_intake")
+def _user_intake(T):
+    return changes.user_intake(T.users, T.user_requests, TASK_AS_OF)[0]
+
+
+@register("user_intake_refused")
+def _user_intake_refused(T):
+    return changes.user_intake(T.users, T.user_requests, TASK_AS_OF)[2]
+
+
+# ---------------------------------------------------------------------------
+# F1-F6, F8 row rules (F7 registered above as check_keys)
+# ---------------------------------------------------------------------------
+def _trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+_NORM = ("replace(replace(replace(replace(replace(" + _trim_sql("full_name")
+         + ", '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')")
+_NAME_OK = f"""(full_name IS NOT NULL AND {_NORM} <> '' AND NOT regexp_matches({_NORM}, '^[0-9]+$')
+  AND NOT (length(regexp_replace({_NORM}, '\\s', '', 'g')) > 0
+           AND length(regexp_replace({_NORM}, '[^0-9]', '', 'g')) / length(regexp_replace({_NORM}, '\\s', '', 'g')) > 0.7)
+  AND length({_NORM}) >= 2)"""
+_PHONE_OK = """(phone IS NOT NULL AND phone <> ''
+  AND regexp_matches(regexp_replace(phone, '[\\s-]', '', 'g'), '^(?:\\+94|0)?7[0-9]{8}$'))"""
+
+
+@register("field_rules", tables=("users",), oracle=f"""
+SELECT id, {_PHONE_OK} AS phone_ok, {_NAME_OK} AS name_ok,
+       COALESCE(regexp_replace(phone, '[\\s-]', '', 'g'), '') AS phone_clean, {_NORM} AS name_clean
+FROM users""")
+def _field_rules(T):
+    return T.users.select("id", fc.phone_valid("phone").alias("phone_ok"),
+                          fc.full_name_valid(fc.normalise_text("full_name")).alias("name_ok"),
+                          fc.clean_phone("phone").alias("phone_clean"),
+                          fc.normalise_text("full_name").alias("name_clean"))
+
+
+@register("status_rules", tables=("task_changes",), oracle="""
+SELECT task_id, seq, COALESCE(status IN ('Pending', 'Assigned', 'In Progress', 'Completed', 'Cancelled'), false)
+       AS status_ok FROM task_changes""")
+def _status_rules(T):
+    return T.task_changes.select("task_id", "seq", fc.status_valid("status").alias("status_ok"))
+
+
+@register("check_users", tables=("users",), oracle=f"""
+SELECT id, concat_ws('; ',
+  CASE WHEN NOT COALESCE(regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$'), false) THEN 'Invalid email format' END,
+  CASE WHEN password IS NOT NULL AND length(password) < 6 THEN 'Password must be at least 6 characters' END,
+  CASE WHEN full_name IS NULL OR full_name = '' THEN 'Full name is required' END,
+  CASE WHEN NOT {_NAME_OK} THEN 'Full name cannot be only numbers and must be at least 2 characters long' END,
+  CASE WHEN phone IS NULL OR phone = '' THEN 'Phone number is required' END,
+  CASE WHEN NOT {_PHONE_OK} THEN 'Please enter a valid Sri Lankan mobile number (07X XXX XXXX)' END,
+  CASE WHEN NOT COALESCE(role IN ('Admin', 'Manager', 'Electrician'), false) THEN 'Invalid role' END) AS errors
+FROM users""")
+def _check_users(T):
+    from pyspark.sql import functions as F
+
+    return quality.check_users(T.users).select("id", F.array_join("errors", "; ").alias("errors"))
+
+
+@register("check_tasks", tables=("tasks",), oracle="""
+SELECT id, concat_ws('; ',
+  CASE WHEN title IS NULL OR title = '' THEN 'title: Invalid value' END,
+  CASE WHEN NOT COALESCE(priority IN ('High', 'Medium', 'Low'), false) THEN 'priority: Invalid value' END,
+  CASE WHEN scheduled_date IS NULL THEN 'scheduled_date: Invalid value' END,
+  CASE WHEN estimated_hours IS NULL THEN 'estimated_hours: Invalid value' END) AS errors
+FROM tasks""")
+def _check_tasks(T):
+    from pyspark.sql import functions as F
+
+    return quality.check_tasks(T.tasks).select("id", F.array_join("errors", "; ").alias("errors"))

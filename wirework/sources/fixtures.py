@@ -134,7 +134,8 @@ SELECT c_custkey AS user_id, upper(c_name) AS full_name,
        CAST(NULL AS STRING) AS certifications, c_custkey AS seq
 FROM {customer}""",
     "user_requests": """
-SELECT s_suppkey AS request_id, 'u' || CAST(s_suppkey * 13 % 3000 AS STRING) AS username,
+SELECT s_suppkey AS request_id,
+       CASE WHEN s_suppkey % 7 = 0 THEN 'u' || CAST(s_suppkey AS STRING) ELSE 'new_u' || CAST(s_suppkey % 70 AS STRING) END AS username,
        CASE WHEN s_suppkey % 3 = 0 THEN 'u' || CAST(s_suppkey AS STRING) || '@example.test' ELSE 'new' || CAST(s_suppkey % 40 AS STRING) || '@example.test' END AS email,
        s_name AS full_name, '0771234567' AS phone,
        CASE WHEN s_suppkey % 4 = 0 THEN 'Manager' ELSE 'Electrician' END AS role,
