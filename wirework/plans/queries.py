@@ -1084,3 +1084,49 @@ def _check_tasks(T):
     from pyspark.sql import functions as F
 
     return quality.check_tasks(T.tasks).select("id", F.array_join("errors", "; ").alias("errors"))
+
+
+# ---------------------------------------------------------------------------
+# S1-S3 streaming forms (run with availableNow over files of the derived
+# tables, written under the checkpoint folder; rows-only checks)
+# ---------------------------------------------------------------------------
+def _as_file_stream(df, spark, name: str, files: int = 8, order: str | None = None):
+    from ..sources.schemas import SCHEMAS
+    from ..streaming.streams import scratch_dir
+
+    src = scratch_dir(spark, f"{name}-src")
+    out = df.repartitionByRange(files, order) if order else df.repartition(files)
+    out.write.parquet(src)
+    return spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+@register("daily_logins_stream")
+def _daily_logins_stream(T):
+    from ..streaming import streams
+
+    spark = T.users.sparkSession
+    logs = _as_file_stream(T.activity_logs, spark, "activity_logs", order="created_at")
+    return streams.run_to_parquet(streams.daily_logins_stream(logs), spark, "daily_logins")
+
+
+@register("notify_stream")
+def _notify_stream(T):
+    from ..streaming import streams
+
+    spark = T.users.sparkSession
+    _, resolved = changes.resolve_customers(T.customers, T.customer_intake)
+    new_tasks, _ = changes.task_intake(resolved, T.tasks)
+    stream = _as_file_stream(new_tasks, spark, "tasks", order="id")
+    return streams.run_to_parquet(streams.notify_stream(stream, T.users), spark, "notify")
+
+
+@register("task_state_stream")
+def _task_state_stream(T):
+    from ..streaming import streams
+
+    spark = T.users.sparkSession
+    stream = _as_file_stream(T.task_changes, spark, "task_changes", order="changed_at")
+    handle = streams.task_state_stream(stream, T.tasks, T.users,
+                                       streams.scratch_dir(spark, "task_state"))
+    handle.await_done()
+    return handle.latest(spark)
