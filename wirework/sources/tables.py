@@ -8,7 +8,7 @@ Catalyst (PushedFilters / ReadSchema).
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,41 +23,44 @@ TABLE_NAMES = (
 )
 
 
-@dataclass(frozen=True)
+BATCH_NAMES = (
+    "rating_events", "task_changes", "completion_events", "customer_intake", "customer_patches",
+    "material_payload", "issue_changes", "issue_requests", "user_patches", "user_requests",
+    "toggle_requests", "notification_reads", "report_requests",
+)
+
+
 class Tables:
-    """The twelve tables of the data model plus optional change batches."""
-
-    users: DataFrame
-    electrician_details: DataFrame
-    customers: DataFrame
-    tasks: DataFrame
-    task_materials: DataFrame
-    task_completions: DataFrame
-    task_ratings: DataFrame
-    activity_logs: DataFrame
-    notifications: DataFrame
-    issues: DataFrame
-    reports: DataFrame
-    system_settings: DataFrame
-    rating_events: DataFrame | None = None
-    task_changes: DataFrame | None = None
-    completion_events: DataFrame | None = None
-    customer_intake: DataFrame | None = None
-    customer_patches: DataFrame | None = None
-    material_payload: DataFrame | None = None
-    issue_changes: DataFrame | None = None
-    issue_requests: DataFrame | None = None
-    user_patches: DataFrame | None = None
-    user_requests: DataFrame | None = None
-    toggle_requests: DataFrame | None = None
-    notification_reads: DataFrame | None = None
-    report_requests: DataFrame | None = None
+    """The twelve tables of the data model plus optional change batches.
+
+    Tables are DataFrames given directly or built on first access by a loader
+    (so a query only plans the derivations it reads).  A change batch that was
+    not given reads as ``None``.
+    """
+
+    def __init__(self, loaders: dict[str, Callable[[], DataFrame]] | None = None, **dfs: DataFrame):
+        self._loaders = dict(loaders or {})
+        self._dfs = dict(dfs)
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        dfs = self.__dict__["_dfs"]
+        if name in dfs:
+            return dfs[name]
+        loaders = self.__dict__["_loaders"]
+        if name in loaders:
+            dfs[name] = loaders[name]()
+            return dfs[name]
+        if name in TABLE_NAMES or name in BATCH_NAMES:
+            return None
+        raise AttributeError(name)
 
     def with_(self, **changes: DataFrame) -> "Tables":
-        return replace(self, **changes)
+        return Tables(self._loaders, **{**self._dfs, **changes})
 
     def names(self) -> list[str]:
-        return [f.name for f in fields(self) if getattr(self, f.name) is not None]
+        return [n for n in TABLE_NAMES + BATCH_NAMES if n in self._dfs or n in self._loaders]
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -123,15 +126,18 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
             raw[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return raw[name]
 
-    dfs = {}
-    for name, text in DERIVATIONS.items():
-        binds = {s: source(s) for s in SOURCES[name]}
-        df = spark.sql(text, **binds)
-        assert tuple(df.columns) == derived_columns(name), (name, df.columns)
-        dfs[name] = conform(df, name)
-    dfs["reports"] = empty(spark, "reports")
-    dfs["system_settings"] = empty(spark, "system_settings")
-    return Tables(**dfs)
+    def loader(name: str) -> Callable[[], DataFrame]:
+        def load() -> DataFrame:
+            binds = {s: source(s) for s in SOURCES[name]}
+            df = spark.sql(DERIVATIONS[name], **binds)
+            assert tuple(df.columns) == derived_columns(name), (name, df.columns)
+            return conform(df, name)
+        return load
+
+    loaders = {name: loader(name) for name in DERIVATIONS}
+    loaders["reports"] = lambda: empty(spark, "reports")
+    loaders["system_settings"] = lambda: empty(spark, "system_settings")
+    return Tables(loaders)
 
 
 def seed_tables(spark: SparkSession, as_of: _dt.date) -> Tables:
