@@ -430,14 +430,16 @@ def purge_users(T: Tables, ids: DataFrame, acting_user: int) -> tuple[Tables, Da
     reason = (F.when(F.col("_last"), F.lit("Cannot delete the last admin user"))
               .when(F.col("_self"), F.lit("Cannot delete your own account"))
               .when(F.col("_ref"), F.lit("User has associated records in the system")))
-    decided = cand.withColumn("reason", reason)
+    from ..plans.ids import reuse
+
+    decided = reuse(cand.withColumn("reason", reason).select("id", "role", "reason"))
     doomed = decided.filter(F.col("reason").isNull()).select("id")
     # creator hand-over: the smallest surviving admin id
     survivors = T.users.filter(is_admin).join(doomed, "id", "left_anti").agg(F.min("id").alias("_heir"))
     creators = T.tasks.select(F.col("created_by").alias("id")).distinct()
     orphaned = doomed.join(creators, "id", "left_semi").crossJoin(F.broadcast(survivors)).filter(
         F.col("_heir").isNull()).select("id", F.lit("No other admin to take over created tasks").alias("reason"))
-    doomed = doomed.join(orphaned, "id", "left_anti")
+    doomed = reuse(doomed.join(orphaned, "id", "left_anti"))
     refused = (decided.filter(F.col("reason").isNotNull()).select("id", "reason")
                .unionByName(orphaned).unionByName(unknown))
 
@@ -522,9 +524,6 @@ def user_intake(users: DataFrame, requests: DataFrame, as_of: _dt.date | str,
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        from ..session import ensure_checkpoint_dir
+    from ..plans.ids import materialize
 
-        ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df)

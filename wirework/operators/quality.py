@@ -158,41 +158,66 @@ def _row_rule_failure(r: Rule) -> Column:
 
 
 def check_keys(T: Tables) -> DataFrame:
-    """one row (table_name, rule, column_name, violations) per DDL rule."""
+    """one row (table_name, rule, column_name, violations) per DDL rule.
+
+    One pass per table for the row rules (one conditional aggregate), one
+    shuffle per table for all its key columns (keys unpivoted to (rule, key)
+    and counted together), and one anti join per parent table for all the
+    foreign keys that point at it.
+    """
     spark = T.users.sparkSession
-    parts: list[DataFrame] = []
+    idx = {r: i for i, r in enumerate(RULES)}
+    counts: list[DataFrame] = []   # (rule_idx, violations)
 
-    def label(r: Rule, n: Column) -> list[Column]:
-        return [F.lit(r.table).alias("table_name"), F.lit(r.rule).alias("rule"),
-                F.lit(r.column).alias("column_name"), n.cast("bigint").alias("violations")]
+    def tagged(df: DataFrame, rules: list[Rule]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(idx[r]).alias("r"), F.col(r.column).cast("string").alias("k"))
+                          for r in rules])
+        return df.select(F.explode(pairs).alias("x")).select("x.r", "x.k").filter(F.col("k").isNotNull())
 
-    # row rules: one aggregate per table
-    by_table: dict[str, list[Rule]] = {}
-    for r in RULES:
-        if r.rule in ("not_null", "enum", "check"):
-            by_table.setdefault(r.table, []).append(r)
-    for table, rules in by_table.items():
-        df = getattr(T, table)
-        counts = df.agg(*[F.count(F.when(_row_rule_failure(r), 1)).alias(f"v{i}")
-                          for i, r in enumerate(rules)])
-        for i, r in enumerate(rules):
-            parts.append(counts.select(*label(r, F.col(f"v{i}"))))
-    # key rules
+    by_table: dict[str, dict[str, list[Rule]]] = {}
     for r in RULES:
-        if r.rule in ("primary_key", "unique"):
-            df = getattr(T, r.table)
-            dup = (df.filter(F.col(r.column).isNotNull()).groupBy(r.column).count()
+        kind = {"not_null": "row", "enum": "row", "check": "row", "primary_key": "key",
+                "unique": "key", "foreign_key": "fk"}[r.rule]
+        group = r.ref[0] if kind == "fk" else r.table
+        by_table.setdefault(group, {}).setdefault(kind, []).append(r)
+
+    for group, kinds in by_table.items():
+        if "row" in kinds:
+            rules = kinds["row"]
+            agg = getattr(T, group).agg(*[F.count(F.when(_row_rule_failure(r), 1)).alias(f"v{i}")
+                                          for i, r in enumerate(rules)])
+            stack = F.explode(F.array(*[F.struct(F.lit(idx[r]).alias("r"), F.col(f"v{i}").alias("n"))
+                                        for i, r in enumerate(rules)]))
+            counts.append(agg.select(stack.alias("x")).select("x.r", "x.n"))
+        if "key" in kinds:
+            dup = (tagged(getattr(T, group), kinds["key"]).groupBy("r", "k").count()
                    .filter(F.col("count") > 1))
-            parts.append(dup.agg(*label(r, F.count(F.lit(1)))))
-        elif r.rule == "foreign_key":
-            child = getattr(T, r.table).filter(F.col(r.column).isNotNull()).select(r.column)
-            ptable, pcol = r.ref
-            parent = getattr(T, ptable).select(F.col(pcol).alias(r.column))
-            orphans = child.join(parent, r.column, "left_anti")
-            parts.append(orphans.agg(*label(r, F.count(F.lit(1)))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            counts.append(dup.groupBy("r").agg(F.count(F.lit(1)).alias("n")))
+        if "fk" in kinds:
+            refs = None
+            for child, rules in _by_child(kinds["fk"]).items():
+                part = tagged(getattr(T, child), rules)
+                refs = part if refs is None else refs.unionByName(part)
+            pcol = kinds["fk"][0].ref[1]
+            parent = getattr(T, group).select(F.col(pcol).cast("string").alias("k")).distinct()
+            orphans = refs.join(parent, "k", "left_anti")
+            counts.append(orphans.groupBy("r").agg(F.count(F.lit(1)).alias("n")))
+
+    found = counts[0]
+    for c in counts[1:]:
+        found = found.unionByName(c)
+    labels = spark.createDataFrame(
+        [(i, r.table, r.rule, r.column) for i, r in enumerate(RULES)],
+        "r int, table_name string, rule string, column_name string")
+    return (labels.join(found.groupBy("r").agg(F.sum("n").alias("n")), "r", "left")
+            .select("table_name", "rule", "column_name",
+                    F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("violations")))
+
+
+def _by_child(rules: list[Rule]) -> dict[str, list[Rule]]:
+    out: dict[str, list[Rule]] = {}
+    for r in rules:
+        out.setdefault(r.table, []).append(r)
     return out
 
 

@@ -19,7 +19,6 @@ from ..functions.columns import count_when, lit_date, sum_when
 from ..sources.tables import Tables
 from .performance import active_technicians
 
-_status, _role = F.col("status"), F.col("role")
 
 
 def _one_row(*parts: DataFrame) -> DataFrame:
@@ -35,16 +34,16 @@ def admin_stats(T: Tables) -> DataFrame:
     """User totals by status and role, task totals (one row)."""
     users = T.users.agg(
         F.count(F.lit(1)).alias("totalUsers"),
-        sum_when(_status == "Active").alias("activeUsers"),
-        sum_when(_status == "Inactive").alias("inactiveUsers"),
-        sum_when(_role == "Admin").alias("totalAdmins"),
-        sum_when(_role == "Manager").alias("totalManagers"),
-        sum_when(_role == "Electrician").alias("totalElectricians"),
+        sum_when(F.col("status") == "Active").alias("activeUsers"),
+        sum_when(F.col("status") == "Inactive").alias("inactiveUsers"),
+        sum_when(F.col("role") == "Admin").alias("totalAdmins"),
+        sum_when(F.col("role") == "Manager").alias("totalManagers"),
+        sum_when(F.col("role") == "Electrician").alias("totalElectricians"),
     )
     tasks = T.tasks.agg(
         F.count(F.lit(1)).alias("totalTasks"),
-        sum_when(_status == "Completed").alias("completedTasks"),
-        sum_when(_status == "Pending").alias("pendingTasks"),
+        sum_when(F.col("status") == "Completed").alias("completedTasks"),
+        sum_when(F.col("status") == "Pending").alias("pendingTasks"),
     )
     return _one_row(users, tasks)
 
@@ -53,10 +52,10 @@ def manager_stats(T: Tables, as_of: _dt.date | str) -> DataFrame:
     """Task totals by status, available technicians, tasks created today."""
     tasks = T.tasks.agg(
         F.count(F.lit(1)).alias("totalTasks"),
-        sum_when(_status == "Pending").alias("pendingTasks"),
-        sum_when(_status == "Assigned").alias("assignedTasks"),
-        sum_when(_status == "In Progress").alias("inProgressTasks"),
-        sum_when(_status == "Completed").alias("completedTasks"),
+        sum_when(F.col("status") == "Pending").alias("pendingTasks"),
+        sum_when(F.col("status") == "Assigned").alias("assignedTasks"),
+        sum_when(F.col("status") == "In Progress").alias("inProgressTasks"),
+        sum_when(F.col("status") == "Completed").alias("completedTasks"),
         count_when(F.to_date("created_at") == lit_date(as_of)).alias("todayTasks"),
     )
     techs = active_technicians(T.users).agg(F.count(F.lit(1)).alias("availableElectricians"))
@@ -69,16 +68,16 @@ def electrician_stats(T: Tables, as_of: _dt.date | str) -> DataFrame:
     """C3, set form: one row per technician.  Sums over no tasks stay NULL and
     counts become 0, as the two per-user statements give."""
     today = F.col("scheduled_date") == lit_date(as_of)
-    done = _status == "Completed"
+    done = F.col("status") == "Completed"
     per = (T.tasks.filter(F.col("assigned_to").isNotNull())
            .groupBy(F.col("assigned_to").alias("user_id"))
            .agg(F.count(F.lit(1)).alias("n"),
-                sum_when(_status == "Assigned").alias("assignedTasks"),
-                sum_when(_status == "In Progress").alias("inProgressTasks"),
+                sum_when(F.col("status") == "Assigned").alias("assignedTasks"),
+                sum_when(F.col("status") == "In Progress").alias("inProgressTasks"),
                 sum_when(done).alias("completedTasks"),
                 count_when(today).alias("today_n"),
                 F.sum(F.when(today, F.when(done, 1).otherwise(0))).cast("bigint").alias("todayCompleted")))
-    techs = T.users.filter(_role == "Electrician").select(F.col("id").alias("user_id"))
+    techs = T.users.filter(F.col("role") == "Electrician").select(F.col("id").alias("user_id"))
     return techs.join(per, "user_id", "left").select(
         "user_id",
         F.coalesce("n", F.lit(0)).cast("bigint").alias("totalTasks"),
@@ -91,12 +90,12 @@ def electrician_stats(T: Tables, as_of: _dt.date | str) -> DataFrame:
 
 def issue_stats(T: Tables) -> DataFrame:
     """C4: issue totals by status; unresolved emergency and urgent ones."""
-    unresolved = _status != "resolved"
+    unresolved = F.col("status") != "resolved"
     return T.issues.agg(
         F.count(F.lit(1)).alias("total_issues"),
-        sum_when(_status == "open").alias("open_issues"),
-        sum_when(_status == "in_progress").alias("in_progress_issues"),
-        sum_when(_status == "resolved").alias("resolved_issues"),
+        sum_when(F.col("status") == "open").alias("open_issues"),
+        sum_when(F.col("status") == "in_progress").alias("in_progress_issues"),
+        sum_when(F.col("status") == "resolved").alias("resolved_issues"),
         sum_when((F.col("priority") == "emergency") & unresolved).alias("emergency_issues"),
         sum_when((F.col("priority") == "urgent") & unresolved).alias("urgent_issues"),
     )
@@ -109,11 +108,11 @@ def system_user_stats(T: Tables) -> DataFrame:
     z = F.lit(0)
     return T.users.agg(
         F.count(F.lit(1)).alias("total_users"),
-        F.coalesce(sum_when(_role == "Admin"), z).alias("total_admins"),
-        F.coalesce(sum_when(_role == "Manager"), z).alias("total_managers"),
-        F.coalesce(sum_when(_role == "Electrician"), z).alias("total_electricians"),
-        F.coalesce(sum_when(_status == "Active"), z).alias("active_users"),
-        F.coalesce(sum_when(_status == "Inactive"), z).alias("inactive_users"),
+        F.coalesce(sum_when(F.col("role") == "Admin"), z).alias("total_admins"),
+        F.coalesce(sum_when(F.col("role") == "Manager"), z).alias("total_managers"),
+        F.coalesce(sum_when(F.col("role") == "Electrician"), z).alias("total_electricians"),
+        F.coalesce(sum_when(F.col("status") == "Active"), z).alias("active_users"),
+        F.coalesce(sum_when(F.col("status") == "Inactive"), z).alias("inactive_users"),
     )
 
 
@@ -159,7 +158,7 @@ def account_activity(T: Tables, as_of: _dt.date | str, days: int = 30,
 
 def deactivated_users(T: Tables) -> DataFrame:
     """Number of inactive users."""
-    return T.users.filter(_status == "Inactive").agg(F.count(F.lit(1)).alias("deactivated_users"))
+    return T.users.filter(F.col("status") == "Inactive").agg(F.count(F.lit(1)).alias("deactivated_users"))
 
 
 # --- C14-C17: daily statistics report sections ----------------------------------
@@ -184,9 +183,9 @@ def daily_summary(T: Tables, date: _dt.date | str | None = None) -> DataFrame:
     return _per_date(
         _scheduled(T, date), date,
         F.count(F.lit(1)).alias("total_tasks"),
-        sum_when(_status == "Completed").alias("completed_tasks"),
-        sum_when(_status == "In Progress").alias("in_progress_tasks"),
-        sum_when(_status.isin("Pending", "Assigned")).alias("pending_tasks"))
+        sum_when(F.col("status") == "Completed").alias("completed_tasks"),
+        sum_when(F.col("status") == "In Progress").alias("in_progress_tasks"),
+        sum_when(F.col("status").isin("Pending", "Assigned")).alias("pending_tasks"))
 
 
 def active_electricians(T: Tables, date: _dt.date | str | None = None) -> DataFrame:
@@ -202,8 +201,8 @@ def electrician_activity(T: Tables, date: _dt.date | str | None = None) -> DataF
     per = (_scheduled(T, date).filter(F.col("assigned_to").isNotNull())
            .groupBy("scheduled_date", F.col("assigned_to").alias("id"))
            .agg(F.count(F.lit(1)).alias("total_tasks"),
-                sum_when(_status == "Completed").alias("tasks_completed"),
-                sum_when(_status == "In Progress").alias("tasks_in_progress")))
+                sum_when(F.col("status") == "Completed").alias("tasks_completed"),
+                sum_when(F.col("status") == "In Progress").alias("tasks_in_progress")))
     techs = active_technicians(T.users).select("id", F.col("full_name").alias("electrician_name"))
     return (per.join(techs, "id")
             .select("scheduled_date", "electrician_name", "total_tasks", "tasks_completed",

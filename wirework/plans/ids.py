@@ -31,14 +31,37 @@ def _as_number(c: Column, dt: T.DataType) -> Column:
     return c.cast("double")
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a batch that is read several times (memory, spilling to disk).  The
+    ids computed from it depend on its rows only, so blocks lost with an
+    executor are recomputed to the same values."""
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a reliable checkpoint in the cluster's shared
+    checkpoint folder (set by the platform; tests set their own).  Used where a
+    batch is read several times: it is computed once, and recomputation after a
+    lost executor reads the same rows back."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def assign_ids(df: DataFrame, order: list[str], start: DataFrame | int, id_col: str = "id",
                start_col: str = "start", buckets: int | None = None) -> DataFrame:
     """Add ``id_col`` = start + 1-based rank by ``order`` (order must be unique).
 
     ``start`` is an int or a one-row DataFrame with column ``start_col`` (e.g.
     ``max_id(table)``).  The first order column must be numeric, date or
-    timestamp.
+    timestamp.  The batch is kept once (it is read three times).
     """
+    df = reuse(df)
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     first = order[0]

@@ -757,11 +757,12 @@ def _apply_task_changes(T):
 SELECT * FROM (
   SELECT ch.task_id, ch.changed_at, ch.seq, ch.kind, ch.s AS status, ch.a AS assigned_to,
     CASE WHEN NOT ch.ok AND ch.kind = 'assign' THEN 'invalid or inactive electrician'
-         WHEN NOT ch.ok AND ch.kind IN ('status', 'edit') THEN 'invalid status value'
-         WHEN NOT ch.ok AND ch.kind = 'complete' THEN 'not assigned to this task'
-         WHEN NOT ch.ok THEN 'unknown change kind'
+         WHEN NOT ch.ok AND ch.kind = 'status' THEN 'invalid status value'
          WHEN ch.kind = 'edit' AND f.in_status IN ('Completed', 'Cancelled')
-           THEN 'cannot update ' || lower(f.in_status) || ' tasks' END AS reason
+           THEN 'cannot update ' || lower(f.in_status) || ' tasks'
+         WHEN NOT ch.ok AND ch.kind = 'edit' THEN 'invalid status value'
+         WHEN NOT ch.ok AND ch.kind = 'complete' THEN 'not assigned to this task'
+         WHEN NOT ch.ok THEN 'unknown change kind' END AS reason
   FROM fold f JOIN ch ON ch.task_id = f.task_id AND ch.k = f.k WHERE f.k > 0
   UNION ALL
   SELECT task_id, changed_at, seq, kind, s, a,
