@@ -767,6 +767,7 @@ SELECT * FROM (
   UNION ALL
   SELECT task_id, changed_at, seq, kind, s, a,
     CASE WHEN kind = 'assign' THEN CASE WHEN NOT ok THEN 'invalid or inactive electrician' END
+         WHEN kind = 'status' AND NOT ok THEN 'invalid status value'
          WHEN kind IN ('status', 'edit', 'complete') THEN 'task not found'
          ELSE 'unknown change kind' END
   FROM ch_all WHERE NOT known) AS r
