@@ -249,3 +249,18 @@ def test_visible_rows_and_roles(spark):
     assert listings.report_allowed("system_usage", "Admin")
     assert not listings.report_allowed("system_usage", "Manager")
     assert listings.can_view_issues("Manager") and not listings.can_view_issues("Electrician")
+
+
+def test_load_tables_round_trip(spark, T):
+    import tempfile
+
+    from wirework.sources.sinks import write_tables
+    from wirework.sources.tables import load_tables
+
+    path = tempfile.mkdtemp(prefix="wirework-tables-", dir="/tmp")
+    write_tables(T, path)
+    L = load_tables(spark, path)
+    for name in ("users", "tasks", "task_ratings", "issues", "reports"):
+        assert getattr(L, name).schema == SCHEMAS[name]
+        assert getattr(L, name).count() == getattr(T, name).count()
+    assert L.task_changes is None

@@ -1132,3 +1132,24 @@ def _task_state_stream(T):
                                        streams.scratch_dir(spark, "task_state"))
     handle.await_done()
     return handle.latest(spark)
+
+
+# ---------------------------------------------------------------------------
+# §2.6 scalar helpers (absolute whole hours, ISO date, time with seconds)
+# ---------------------------------------------------------------------------
+@register("task_time_fields", tables=("tasks",), oracle="""
+SELECT id,
+       CAST(floor(abs(date_diff('millisecond', actual_start_time, actual_end_time)) / 3600000) AS BIGINT)
+         AS hours_between,
+       date_sub('hour', created_at, updated_at) AS hours_to_update,
+       strftime(created_at, '%Y-%m-%d') AS created_on,
+       strftime(actual_start_time, '%H:%M') || ':00' AS start_time
+FROM tasks""")
+def _task_time_fields(T):
+    from pyspark.sql import functions as F
+
+    return T.tasks.select(
+        "id", fc.abs_whole_hours("actual_end_time", "actual_start_time").alias("hours_between"),
+        fc.whole_hours("created_at", "updated_at").alias("hours_to_update"),
+        fc.format_date("created_at").alias("created_on"),
+        fc.format_time(F.date_format("actual_start_time", "HH:mm")).alias("start_time"))
