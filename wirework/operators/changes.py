@@ -421,11 +421,11 @@ def purge_users(T: Tables, ids: DataFrame, acting_user: int) -> tuple[Tables, Da
     # last-admin rule: admins in id order; only deletions of active admins
     # lower the count, and eligible ones are deleted while more than one is left
     n_active = T.users.filter(is_admin & (F.col("status") == "Active")).agg(
-        F.count(F.lit(1)).alias("_a"))                                     # one row
+        F.count(F.lit(1))).scalar()                                        # one-row subquery
     admins = cand.filter(is_admin).withColumn(
         "_elig_active", ((F.col("status") == "Active") & ~F.col("_self") & ~F.col("_ref")).cast("int"))
-    admins = prefix_sum(admins, ["id"], "_elig_active", "_before").crossJoin(F.broadcast(n_active))
-    admins = admins.withColumn("_last", (F.col("_a") - F.col("_before")) <= 1).select("id", "_last")
+    admins = prefix_sum(admins, ["id"], "_elig_active", "_before")
+    admins = admins.withColumn("_last", (n_active - F.col("_before")) <= 1).select("id", "_last")
     cand = cand.join(admins, "id", "left").withColumn("_last", F.coalesce(F.col("_last"), F.lit(False)))
     reason = (F.when(F.col("_last"), F.lit("Cannot delete the last admin user"))
               .when(F.col("_self"), F.lit("Cannot delete your own account"))
@@ -435,10 +435,10 @@ def purge_users(T: Tables, ids: DataFrame, acting_user: int) -> tuple[Tables, Da
     decided = reuse(cand.withColumn("reason", reason).select("id", "role", "reason"))
     doomed = decided.filter(F.col("reason").isNull()).select("id")
     # creator hand-over: the smallest surviving admin id
-    survivors = T.users.filter(is_admin).join(doomed, "id", "left_anti").agg(F.min("id").alias("_heir"))
+    heir = T.users.filter(is_admin).join(doomed, "id", "left_anti").agg(F.min("id")).scalar()
     creators = T.tasks.select(F.col("created_by").alias("id")).distinct()
-    orphaned = doomed.join(creators, "id", "left_semi").crossJoin(F.broadcast(survivors)).filter(
-        F.col("_heir").isNull()).select("id", F.lit("No other admin to take over created tasks").alias("reason"))
+    orphaned = doomed.join(creators, "id", "left_semi").filter(heir.isNull()).select(
+        "id", F.lit("No other admin to take over created tasks").alias("reason"))
     doomed = reuse(doomed.join(orphaned, "id", "left_anti"))
     refused = (decided.filter(F.col("reason").isNotNull()).select("id", "reason")
                .unionByName(orphaned).unionByName(unknown))
@@ -449,12 +449,11 @@ def purge_users(T: Tables, ids: DataFrame, acting_user: int) -> tuple[Tables, Da
     tasks = (T.tasks.join(gone.withColumnRenamed("id", "assigned_to").withColumnRenamed("_gone", "_ga"),
                           "assigned_to", "left")
              .join(gone.withColumnRenamed("id", "created_by").withColumnRenamed("_gone", "_gc"),
-                   "created_by", "left")
-             .crossJoin(F.broadcast(survivors)))
+                   "created_by", "left"))
     tasks = tasks.select(*[
         F.when(F.col("_ga"), F.lit(None).cast("bigint")).otherwise(F.col("assigned_to")).alias("assigned_to")
         if f.name == "assigned_to" else
-        F.when(F.col("_gc"), F.col("_heir")).otherwise(F.col("created_by")).alias("created_by")
+        F.when(F.col("_gc"), heir).otherwise(F.col("created_by")).alias("created_by")
         if f.name == "created_by" else F.col(f.name)
         for f in SCHEMAS["tasks"].fields])
     out = T.with_(

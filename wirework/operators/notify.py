@@ -40,11 +40,10 @@ def notify_task_created(new_tasks: DataFrame, users: DataFrame) -> DataFrame:
     """One audience-addressed notification per new task for all active
     managers; ``recipients`` is how many users the audience holds now."""
     typ, title, tmpl = TASK_CREATED
-    n = active_managers(users).agg(F.count(F.lit(1)).alias("recipients"))   # one row
-    return (new_tasks.select(F.col("id").alias("task_id"), F.lit(MANAGER_AUDIENCE[0]).alias("audience"),
-                             F.lit(typ).alias("type"), F.lit(title).alias("title"),
-                             _msg(tmpl, "title").alias("message"))
-            .crossJoin(F.broadcast(n)))
+    n = active_managers(users).agg(F.count(F.lit(1))).scalar()   # one-row subquery
+    return new_tasks.select(F.col("id").alias("task_id"), F.lit(MANAGER_AUDIENCE[0]).alias("audience"),
+                            F.lit(typ).alias("type"), F.lit(title).alias("title"),
+                            _msg(tmpl, "title").alias("message"), n.alias("recipients"))
 
 
 def notify_issue_resolved(issues: DataFrame, changes: DataFrame, users: DataFrame) -> DataFrame:

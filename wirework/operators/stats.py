@@ -21,10 +21,13 @@ from .performance import active_technicians
 
 
 
-def _one_row(*parts: DataFrame) -> DataFrame:
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Side by side columns of one-row results: the first part is the row, every
+    other part enters as a one-row scalar subquery (a struct of its columns)."""
     out = parts[0]
     for p in parts[1:]:
-        out = out.crossJoin(p)   # every part is a global aggregate: exactly one row
+        sub = p.select(F.struct(*p.columns)).scalar()
+        out = out.select("*", *[sub[c].alias(c) for c in p.columns])
     return out
 
 
@@ -45,7 +48,7 @@ def admin_stats(T: Tables) -> DataFrame:
         sum_when(F.col("status") == "Completed").alias("completedTasks"),
         sum_when(F.col("status") == "Pending").alias("pendingTasks"),
     )
-    return _one_row(users, tasks)
+    return one_row(users, tasks)
 
 
 def manager_stats(T: Tables, as_of: _dt.date | str) -> DataFrame:
@@ -59,7 +62,7 @@ def manager_stats(T: Tables, as_of: _dt.date | str) -> DataFrame:
         count_when(F.to_date("created_at") == lit_date(as_of)).alias("todayTasks"),
     )
     techs = active_technicians(T.users).agg(F.count(F.lit(1)).alias("availableElectricians"))
-    return _one_row(tasks, techs).select(
+    return one_row(tasks, techs).select(
         "totalTasks", "pendingTasks", "assignedTasks", "inProgressTasks", "completedTasks",
         "availableElectricians", "todayTasks")
 

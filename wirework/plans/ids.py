@@ -2,7 +2,7 @@
 
 ``row_number() OVER (ORDER BY k)`` with no partition key moves every row to a
 single task.  Instead rows are cut into key-range buckets (equal width between
-the min and max of the first order column, taken from a one-row aggregate), each
+the min and max of the first order column, a one-row scalar subquery), each
 bucket numbers its own rows with a partitioned window, and a per-bucket count
 (one row per bucket, a bounded side) gives each bucket its offset.  Ids follow
 the global order: new id = ``start + rank(order)``, the numbers a sequential
@@ -66,12 +66,11 @@ def assign_ids(df: DataFrame, order: list[str], start: DataFrame | int, id_col:
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     first = order[0]
     key = _as_number(F.col(first), df.schema[first].dataType)
-    span = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))      # one row
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(n) + F.lit(1e-9)
-    bucketed = df.crossJoin(F.broadcast(span)).withColumn(
-        "_b", F.coalesce(F.least(F.floor((key - F.col("_lo")) / width), F.lit(n - 1)).cast("int"),
+    span = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()   # one row
+    width = (span["hi"] - span["lo"]) / F.lit(n) + F.lit(1e-9)
+    bucketed = df.withColumn(
+        "_b", F.coalesce(F.least(F.floor((key - span["lo"]) / width), F.lit(n - 1)).cast("int"),
                          F.lit(-1)))   # NULL keys sort first
-    bucketed = bucketed.drop("_lo", "_hi")
     w = Window.partitionBy("_b").orderBy(*order)
     numbered = bucketed.withColumn("_pos", F.row_number().over(w))
     counts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))   # <= n rows
@@ -81,11 +80,9 @@ def assign_ids(df: DataFrame, order: list[str], start: DataFrame | int, id_col:
     if isinstance(start, int):
         base: Column = F.lit(start)
     else:
-        out = out.crossJoin(F.broadcast(
-            start.select(F.coalesce(F.col(start_col), F.lit(0)).alias("_start"))))
-        base = F.col("_start")
+        base = F.coalesce(start.select(F.col(start_col)).scalar(), F.lit(0))   # one-row subquery
     out = out.withColumn(id_col, (base + F.col("_off") + F.col("_pos")).cast("bigint"))
-    return out.drop("_b", "_pos", "_off", "_start")
+    return out.drop("_b", "_pos", "_off")
 
 
 def max_id(df: DataFrame, col: str = "id") -> DataFrame:
@@ -102,11 +99,11 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, out_col: str,
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     first = order[0]
     key = _as_number(F.col(first), df.schema[first].dataType)
-    span = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(n) + F.lit(1e-9)
-    bucketed = df.crossJoin(F.broadcast(span)).withColumn(
-        "_b", F.coalesce(F.least(F.floor((key - F.col("_lo")) / width), F.lit(n - 1)).cast("int"),
-                         F.lit(-1))).drop("_lo", "_hi")
+    span = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()   # one row
+    width = (span["hi"] - span["lo"]) / F.lit(n) + F.lit(1e-9)
+    bucketed = df.withColumn(
+        "_b", F.coalesce(F.least(F.floor((key - span["lo"]) / width), F.lit(n - 1)).cast("int"),
+                         F.lit(-1)))
     w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = bucketed.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
     totals = bucketed.groupBy("_b").agg(F.sum(value).alias("_t"))

@@ -48,7 +48,7 @@ def user_performance_report(T: Tables, as_of: _dt.date | str) -> Report:
     summary = performance.performance_summary(T, as_of, facts)
     best = performance.best_performer(T, as_of, facts).agg(F.max("full_name").alias("_best"))  # <= 1 row
     d = lit_date(as_of)
-    out = summary.crossJoin(best).select(
+    out = stats.one_row(summary, best).select(
         "total_electricians", "total_tasks_assigned", "total_completed", "overall_avg_rating",
         F.coalesce(F.col("_best"), F.lit(NO_PERFORMER)).alias("best_performer"),
         F.lit(REPORT_PERIOD).alias("report_period"),
@@ -68,8 +68,8 @@ def system_usage_report(T: Tables, as_of: _dt.date | str) -> Report:
     recent = listings.recent_logins(T).agg(
         F.sort_array(F.collect_list(F.struct("login_time", "user_name", "role", "ip_address")), asc=False)
         .alias("recent_logins"))                                     # at most 10 rows
-    acct = stats.account_activity(T, as_of).crossJoin(stats.deactivated_users(T))
-    row = users.crossJoin(logins).crossJoin(daily).crossJoin(recent).crossJoin(acct)
+    row = stats.one_row(users, logins, daily, recent, stats.account_activity(T, as_of),
+                        stats.deactivated_users(T))
     out = row.select(
         F.struct(F.col("total_users").alias("total"),
                  F.struct(F.col("total_admins").alias("admins"), F.col("total_managers").alias("managers"),
@@ -93,7 +93,7 @@ def daily_stats_summary(T: Tables, date: _dt.date | str) -> DataFrame:
     s = stats.daily_summary(T, date).drop("scheduled_date")
     a = stats.active_electricians(T, date).select(
         F.coalesce(F.col("active_electricians"), F.lit(0)).cast("bigint").alias("active_electricians"))
-    return s.crossJoin(a)
+    return stats.one_row(s, a)
 
 
 def daily_stats_report(T: Tables, date: _dt.date | str) -> Report:
@@ -101,7 +101,7 @@ def daily_stats_report(T: Tables, date: _dt.date | str) -> Report:
     statuses); the per-technician activity is a section."""
     by_status = stats.tasks_by_status(T, date).agg(
         F.sort_array(F.collect_list(F.struct("status", "count"))).alias("tasks_by_status"))
-    out = daily_stats_summary(T, date).crossJoin(by_status).select(
+    out = stats.one_row(daily_stats_summary(T, date), by_status).select(
         F.struct("total_tasks", "completed_tasks", "in_progress_tasks", "pending_tasks",
                  "active_electricians").alias("summary"),
         F.coalesce(F.col("tasks_by_status"), F.array()).alias("tasks_by_status"),
