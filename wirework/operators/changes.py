@@ -435,11 +435,17 @@ def purge_users(T: Tables, ids: DataFrame, acting_user: int) -> tuple[Tables, Da
     decided = reuse(cand.withColumn("reason", reason).select("id", "role", "reason"))
     doomed = decided.filter(F.col("reason").isNull()).select("id")
     # creator hand-over: the smallest surviving admin id
-    heir = T.users.filter(is_admin).join(doomed, "id", "left_anti").agg(F.min("id")).scalar()
-    creators = T.tasks.select(F.col("created_by").alias("id")).distinct()
-    orphaned = doomed.join(creators, "id", "left_semi").filter(heir.isNull()).select(
-        "id", F.lit("No other admin to take over created tasks").alias("reason"))
-    doomed = reuse(doomed.join(orphaned, "id", "left_anti"))
+    # one scalar: the heir is read once on the driver to decide whether the
+    # (rare) no-heir branch, which needs every task creator, has to run at all
+    heir_id = T.users.filter(is_admin).join(doomed, "id", "left_anti").agg(F.min("id")).first()[0]
+    heir = F.lit(heir_id).cast("bigint")
+    if heir_id is None:
+        creators = T.tasks.select(F.col("created_by").alias("id")).distinct()
+        orphaned = doomed.join(creators, "id", "left_semi").select(
+            "id", F.lit("No other admin to take over created tasks").alias("reason"))
+        doomed = reuse(doomed.join(orphaned, "id", "left_anti"))
+    else:
+        orphaned = doomed.limit(0).select("id", F.lit(None).cast("string").alias("reason"))
     refused = (decided.filter(F.col("reason").isNotNull()).select("id", "reason")
                .unionByName(orphaned).unionByName(unknown))
 
