@@ -43,18 +43,24 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession, local_default: str | None = None) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """Return the shared checkpoint folder named by the cluster
+    (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a folder of our own is set.
+    Only a local-mode session (tests, the benchmark) without one gets a folder
+    of its own; on a cluster a machine-local folder would not survive the loss
+    of the machine, so a missing setting is an error there.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) "
+                           "for checkpoints, stream state and intermediate tables")
     path = local_default or tempfile.mkdtemp(prefix="wirework-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
