@@ -99,20 +99,43 @@ def normalise_text(c: Column | str) -> Column:
     return x
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_micros(c: Column | str) -> Column:
+    """Microseconds since the epoch of a wall-clock (timestamp_ntz) value,
+    independent of the session time zone: NTZ minus NTZ is an exact interval."""
+    iv = _c(c).cast("timestamp_ntz") - F.lit(_EPOCH_NTZ).cast("timestamp_ntz")
+    days = F.extract(F.lit("DAY"), iv).cast("bigint")
+    hours = F.extract(F.lit("HOUR"), iv).cast("bigint")
+    minutes = F.extract(F.lit("MINUTE"), iv).cast("bigint")
+    seconds = F.extract(F.lit("SECOND"), iv)
+    return ((days * 24 + hours) * 60 + minutes) * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+
+
+def utc_instant(c: Column | str) -> Column:
+    """The instant whose UTC wall clock is the given NTZ value (the data model's
+    timestamps are UTC by contract); no session-zone cast, so no DST gaps."""
+    return F.timestamp_micros(ntz_micros(c))
+
+
 def whole_hours(start: Column | str, end: Column | str) -> Column:
-    """``TIMESTAMPDIFF(HOUR, start, end)``: elapsed whole hours, truncated."""
-    return F.timestamp_diff("HOUR", _c(start), _c(end))
+    """``TIMESTAMPDIFF(HOUR, start, end)``: elapsed whole hours, truncated toward
+    zero (plain arithmetic on wall-clock micros: no zone, no DST)."""
+    diff = ntz_micros(end) - ntz_micros(start)
+    per_hour = F.lit(3_600_000_000)
+    return F.when(diff >= 0, F.floor(diff / per_hour)).otherwise(-F.floor(-diff / per_hour)).cast("bigint")
 
 
 def abs_whole_hours(start: Column | str, end: Column | str) -> Column:
     """``getTimeDifference``: floor of the absolute difference in hours."""
-    ms = F.abs(F.timestamp_diff("MILLISECOND", _c(start), _c(end)))
-    return F.floor(ms / F.lit(3_600_000)).cast("bigint")
+    micros = F.abs(ntz_micros(end) - ntz_micros(start))
+    return F.floor(micros / F.lit(3_600_000_000)).cast("bigint")
 
 
 def format_date(c: Column | str) -> Column:
     """``formatDate``: ISO date string."""
-    return F.date_format(_c(c), "yyyy-MM-dd")
+    return F.date_format(F.to_date(_c(c)), "yyyy-MM-dd")
 
 
 def format_time(c: Column | str) -> Column:
@@ -120,10 +143,14 @@ def format_time(c: Column | str) -> Column:
     return F.concat(_c(c), F.lit(":00"))
 
 
+def clock_time(c: Column | str) -> Column:
+    """``HH:mm`` of a timestamp_ntz value (read from its wall clock)."""
+    return F.substring(_c(c).cast("timestamp_ntz").cast("string"), 12, 5)
+
+
 def task_code(ts: Column | str) -> Column:
     """D8: 'T' + last six digits of the epoch milliseconds of ``ts`` (UTC)."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    millis = F.timestamp_diff("MILLISECOND", epoch, _c(ts).cast("timestamp_ntz"))
+    millis = F.floor(ntz_micros(ts) / F.lit(1000)).cast("bigint")
     return F.concat(F.lit("T"), F.substring(millis.cast("string"), -6, 6))
 
 

@@ -1152,4 +1152,4 @@ def _task_time_fields(T):
         "id", fc.abs_whole_hours("actual_end_time", "actual_start_time").alias("hours_between"),
         fc.whole_hours("created_at", "updated_at").alias("hours_to_update"),
         fc.format_date("created_at").alias("created_on"),
-        fc.format_time(F.date_format("actual_start_time", "HH:mm")).alias("start_time"))
+        fc.format_time(fc.clock_time("actual_start_time")).alias("start_time"))

@@ -38,7 +38,7 @@ class Report:
 
 
 def _report_date(as_of) -> F.Column:
-    return F.date_format(lit_date(as_of).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.concat(F.date_format(lit_date(as_of), "yyyy-MM-dd"), F.lit("T00:00:00.000Z"))
 
 
 def user_performance_report(T: Tables, as_of: _dt.date | str) -> Report:

@@ -129,7 +129,9 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
     def loader(name: str) -> Callable[[], DataFrame]:
         def load() -> DataFrame:
             binds = {s: source(s) for s in SOURCES[name]}
-            df = spark.sql(DERIVATIONS[name], **binds)
+            # wall-clock literals: NTZ keeps day arithmetic free of the session zone
+            text = DERIVATIONS[name].replace("TIMESTAMP '", "TIMESTAMP_NTZ '")
+            df = spark.sql(text, **binds)
             assert tuple(df.columns) == derived_columns(name), (name, df.columns)
             return conform(df, name)
         return load
