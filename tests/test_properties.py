@@ -101,17 +101,18 @@ def test_fold_matches_sequential_python(spark, init, raw):
     cdf = spark.createDataFrame(
         [(c["task_id"], c["changed_at"], c["seq"], c["kind"], c["status"], c["assigned_to"]) for c in chs],
         SCHEMAS["task_changes"])
-    # hour-wide chunks: every distinct change hour is its own chunk, so the
-    # cross-chunk carry is exercised on nearly every example
-    new, rej, notes = apply_task_changes(tdf, cdf, users, chunk_seconds=3600)
     want, want_rej, want_notes = py_fold(tasks, chs)
-    got = {r.id: r for r in new.collect()}
-    for tid, w in want.items():
-        g = got[tid]
-        assert (g.status, g.assigned_to, g.actual_start_time, g.actual_end_time, g.updated_at) == \
-            (w["status"], w["assigned_to"], w["actual_start_time"], w["actual_end_time"], w["updated_at"])
-    assert {(r.task_id, r.seq, r.reason) for r in rej.collect()} == want_rej
-    assert {(r.user_id, r.title, r.task_id, r.seq) for r in notes.collect()} == want_notes
+    # 0: the one-window fold; 3600: hour-wide chunks, so every distinct change
+    # hour is its own chunk and the cross-chunk carry is exercised
+    for chunk in (0, 3600):
+        new, rej, notes = apply_task_changes(tdf, cdf, users, chunk_seconds=chunk)
+        got = {r.id: r for r in new.collect()}
+        for tid, w in want.items():
+            g = got[tid]
+            assert (g.status, g.assigned_to, g.actual_start_time, g.actual_end_time, g.updated_at) == \
+                (w["status"], w["assigned_to"], w["actual_start_time"], w["actual_end_time"], w["updated_at"])
+        assert {(r.task_id, r.seq, r.reason) for r in rej.collect()} == want_rej
+        assert {(r.user_id, r.title, r.task_id, r.seq) for r in notes.collect()} == want_notes
 
 
 def py_intake(existing, reqs):
