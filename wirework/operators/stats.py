@@ -2,8 +2,8 @@
 
 All of them are conditional aggregates.  Each table is scanned once per
 operator: the reference's separate statements over one table are merged into
-one aggregate, and one-row results are combined with a cross join of one-row
-DataFrames (a join whose both sides are bounded to one row).  Grouped forms
+one aggregate, and one-row results are combined through one-row scalar
+subqueries (``one_row``).  Grouped forms
 aggregate the task table before any join with ``users`` so a hot assignee or
 date costs one partial row per map task.
 """
