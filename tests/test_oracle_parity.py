@@ -24,13 +24,11 @@ def test_matches_oracle(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only == {"system_usage_report", "daily_stats_report", "user_intake",
-                         "user_intake_refused", "daily_logins_stream", "notify_stream",
-                         "task_state_stream"}
+    assert rows_only == {"system_usage_report", "daily_stats_report", "daily_logins_stream",
+                         "notify_stream", "task_state_stream"}
 
 
-@pytest.mark.parametrize("name", ["system_usage_report", "daily_stats_report", "user_intake",
-                                  "user_intake_refused", "notify_stream"])
+@pytest.mark.parametrize("name", ["system_usage_report", "daily_stats_report", "notify_stream"])
 def test_rows_only_queries_run(spark, name):
     df = QUERIES[name](spark, SMALL)
     assert df.count() >= 0

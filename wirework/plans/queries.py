@@ -1014,12 +1014,17 @@ def _purge_users_children(T):
     return res
 
 
-@register("user_intake")
+@register("user_intake", tables=("users", "user_requests"), oracle=('\nWITH RECURSIVE req AS (SELECT *, row_number() OVER (ORDER BY request_id) AS k FROM user_requests),\nwalk(k, emails, names, acc) AS (\n  SELECT 0, (SELECT list(email) FROM users), (SELECT list(username) FROM users), CAST([] AS BIGINT[])\n  UNION ALL\n  SELECT w.k + 1,\n    CASE WHEN NOT list_contains(w.emails, r.email) AND NOT list_contains(w.names, r.username)\n         THEN list_append(w.emails, r.email) ELSE w.emails END,\n    CASE WHEN NOT list_contains(w.emails, r.email) AND NOT list_contains(w.names, r.username)\n         THEN list_append(w.names, r.username) ELSE w.names END,\n    CASE WHEN NOT list_contains(w.emails, r.email) AND NOT list_contains(w.names, r.username)\n         THEN list_append(w.acc, r.request_id) ELSE w.acc END\n  FROM walk w JOIN req r ON r.k = w.k + 1),\naccepted AS (SELECT unnest(acc) AS request_id FROM walk WHERE k = (SELECT max(k) FROM walk))' + """
+SELECT (SELECT COALESCE(MAX(id), 0) FROM users) + row_number() OVER (ORDER BY r.request_id) AS id,
+       r.username, r.email, CAST(NULL AS VARCHAR) AS password, r.full_name, r.phone, r.role,
+       'Active' AS status, CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS last_login
+FROM user_requests r WHERE r.request_id IN (SELECT request_id FROM accepted)"""))
 def _user_intake(T):
     return changes.user_intake(T.users, T.user_requests, TASK_AS_OF)[0]
 
 
-@register("user_intake_refused")
+@register("user_intake_refused", tables=("users", "user_requests"), oracle=('\nWITH RECURSIVE req AS (SELECT *, row_number() OVER (ORDER BY request_id) AS k FROM user_requests),\nwalk(k, emails, names, acc) AS (\n  SELECT 0, (SELECT list(email) FROM users), (SELECT list(username) FROM users), CAST([] AS BIGINT[])\n  UNION ALL\n  SELECT w.k + 1,\n    CASE WHEN NOT list_contains(w.emails, r.email) AND NOT list_contains(w.names, r.username)\n         THEN list_append(w.emails, r.email) ELSE w.emails END,\n    CASE WHEN NOT list_contains(w.emails, r.email) AND NOT list_contains(w.names, r.username)\n         THEN list_append(w.names, r.username) ELSE w.names END,\n    CASE WHEN NOT list_contains(w.emails, r.email) AND NOT list_contains(w.names, r.username)\n         THEN list_append(w.acc, r.request_id) ELSE w.acc END\n  FROM walk w JOIN req r ON r.k = w.k + 1),\naccepted AS (SELECT unnest(acc) AS request_id FROM walk WHERE k = (SELECT max(k) FROM walk))' + """
+SELECT * FROM user_requests WHERE request_id NOT IN (SELECT request_id FROM accepted)"""))
 def _user_intake_refused(T):
     return changes.user_intake(T.users, T.user_requests, TASK_AS_OF)[2]
 
