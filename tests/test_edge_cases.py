@@ -264,3 +264,24 @@ def test_load_tables_round_trip(spark, T):
         assert getattr(L, name).schema == SCHEMAS[name]
         assert getattr(L, name).count() == getattr(T, name).count()
     assert L.task_changes is None
+
+
+def test_nested_reports_agree_with_flat_sections(T):
+    from wirework.plans import reports
+
+    r = reports.system_usage_report(T, "2024-01-31").summary.first()
+    u = stats.system_user_stats(T).first()
+    la = stats.login_activity(T, "2024-01-31").first()
+    acc = stats.account_activity(T, "2024-01-31").first()
+    assert r.user_statistics.total == u.total_users
+    assert r.user_statistics.by_role.managers == u.total_managers
+    assert r.login_activity.last_30_days.total_logins == la.total_logins
+    assert len(r.login_activity.daily_stats) == stats.daily_logins(T, "2024-01-31").count()
+    assert len(r.login_activity.recent_logins) == min(10, listings.recent_logins(T).count())
+    assert r.account_activity.new_registrations == acc.new_registrations
+    d = reports.daily_stats_report(T, "2001-08-02")
+    flat = reports.daily_stats_summary(T, "2001-08-02").first()
+    assert d.summary.first().summary.total_tasks == flat.total_tasks
+    assert sum(x["count"] for x in d.summary.first().tasks_by_status) == flat.total_tasks
+    p = reports.user_performance_report(T, "2001-08-02")
+    assert p.sections["performance"].count() == performance.user_performance(T, "2001-08-02").count()
