@@ -285,3 +285,22 @@ def test_nested_reports_agree_with_flat_sections(T):
     assert sum(x["count"] for x in d.summary.first().tasks_by_status) == flat.total_tasks
     p = reports.user_performance_report(T, "2001-08-02")
     assert p.sections["performance"].count() == performance.user_performance(T, "2001-08-02").count()
+
+
+def test_nest_materials_and_report_dispatch(spark, T):
+    import pytest
+
+    from wirework.plans import reports
+
+    ids = T.tasks.select("id").orderBy("id").limit(3)
+    detail = listings.task_detail(T, ids)
+    nested = listings.nest_materials(detail, listings.task_detail_materials(T, ids))
+    got = {r.id: len(r.materials) for r in nested.collect()}
+    want = {r.task_id: r["count"] for r in T.task_materials.join(
+        ids.withColumnRenamed("id", "task_id"), "task_id").groupBy("task_id").count().collect()}
+    assert all(got[k] == want.get(k, 0) for k in got) and len(got) == 3
+    with pytest.raises(PermissionError):
+        reports.generate_report(T, "system_usage", "Manager", "2024-01-31")
+    with pytest.raises(ValueError):
+        reports.generate_report(T, "audit", "Admin", "2024-01-31")
+    assert reports.generate_report(T, "daily_stats", "Manager", "2001-08-02").summary.count() == 1
