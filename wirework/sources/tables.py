@@ -148,41 +148,37 @@ def seed_tables(spark: SparkSession, as_of: _dt.date) -> Tables:
     Dates relative to "today" take ``as_of`` instead of the clock.
     """
     ts = _dt.datetime.combine(as_of, _dt.time())
-    # --- fixed values: sample rows of the data model --------------------------
+    # Sample rows with the shape of the reference's seed (one admin, one manager,
+    # two technicians with details, three customers, three tasks: assigned and
+    # in progress today, pending and unassigned tomorrow; two notifications).
+    # The values are neutral; no operator depends on them.
     users = [
-        (1, "admin", "admin@kandyelectricians.com", None, "System Admin", "+94 77 111 1111", "Admin"),
-        (2, "manager1", "manager@kandyelectricians.com", None, "Sarah Johnson", "+94 77 222 2222", "Manager"),
-        (3, "john_e", "john@kandyelectricians.com", None, "John Smith", "+94 77 123 4567", "Electrician"),
-        (4, "mike_e", "mike@kandyelectricians.com", None, "Mike Wilson", "+94 77 234 5678", "Electrician"),
+        (1, "admin", "admin@example.test", None, "Site Admin", "+94 77 100 0001", "Admin"),
+        (2, "manager1", "manager1@example.test", None, "Mara Perera", "+94 77 100 0002", "Manager"),
+        (3, "tech1", "tech1@example.test", None, "Tomas Fernando", "+94 77 100 0003", "Electrician"),
+        (4, "tech2", "tech2@example.test", None, "Nadia Silvestri", "+94 77 100 0004", "Electrician"),
     ]
     details = [
-        (3, "ELC001", "Residential Wiring, Commercial Installation, Emergency Repairs",
-         "Level 3 Certified, Safety Standards", "4.80", _dt.date(2023, 5, 15)),
-        (4, "ELC002", "Industrial Wiring, Maintenance, Solar Installation",
-         "Level 3 Certified, Emergency Response", "4.60", _dt.date(2023, 8, 22)),
+        (3, "ELC001", "Residential wiring, repairs", "Level 3", "4.80", _dt.date(2023, 5, 15)),
+        (4, "ELC002", "Industrial wiring, solar", "Level 3", "4.60", _dt.date(2023, 8, 22)),
     ]
     customers = [
-        (1, "ABC Company Ltd", "contact@abc.lk", "+94 77 987 6543", "123 Galle Road, Kandy"),
-        (2, "Mr. Silva", "silva@email.com", "+94 77 456 7890", "78 Temple Street, Kandy"),
-        (3, "Green Gardens Hotel", "info@greengardens.lk", "+94 77 345 6789", "45 Lake View Road, Kandy"),
+        (1, "Northside Offices", "office@example.test", "+94 77 200 0001", "1 First Street"),
+        (2, "R. Jayasuriya", "rj@example.test", "+94 77 200 0002", "2 Second Street"),
+        (3, "Lakeview Guest House", "stay@example.test", "+94 77 200 0003", "3 Third Street"),
     ]
     tasks = [
-        (1, "T00001", "Fix electrical outlet - Main Office",
-         "Multiple outlets not working in the main office area", 1, "High", "Assigned", 2, 3,
-         0, "09:00:00", "11:00:00", "2"),
-        (2, "T00002", "Install new lighting system", "Install LED lighting in the restaurant area",
-         3, "Medium", "In Progress", 2, 4, 0, "14:00:00", "18:00:00", "4"),
-        (3, "T00003", "Emergency repair - Power outage",
-         "Complete power outage in residential building", 2, "High", "Pending", 2, None,
-         1, "10:00:00", "12:00:00", "2"),
+        (1, "T00001", "Fix outlets in the main office", "Several outlets are dead", 1, "High",
+         "Assigned", 2, 3, 0, "09:00:00", "11:00:00", "2"),
+        (2, "T00002", "Install new lighting", "LED lighting for the dining room", 3, "Medium",
+         "In Progress", 2, 4, 0, "14:00:00", "18:00:00", "4"),
+        (3, "T00003", "Emergency repair: power outage", "No power in the building", 2, "High",
+         "Pending", 2, None, 1, "10:00:00", "12:00:00", "2"),
     ]
     notifications = [
-        (1, 3, "task", "New Task Assigned",
-         "You have been assigned a new task: Fix electrical outlet - Main Office"),
-        (2, 4, "task", "New Task Assigned",
-         "You have been assigned a new task: Install new lighting system"),
+        (1, 3, "task", "New Task Assigned", "You have been assigned a new task: Fix outlets in the main office"),
+        (2, 4, "task", "New Task Assigned", "You have been assigned a new task: Install new lighting"),
     ]
-    # ---------------------------------------------------------------------------
     from decimal import Decimal
 
     u = spark.createDataFrame(
