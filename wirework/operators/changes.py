@@ -445,7 +445,7 @@ def purge_users(T: Tables, ids: DataFrame, acting_user: int) -> tuple[Tables, Da
             "id", F.lit("No other admin to take over created tasks").alias("reason"))
         doomed = reuse(doomed.join(orphaned, "id", "left_anti"))
     else:
-        orphaned = doomed.limit(0).select("id", F.lit(None).cast("string").alias("reason"))
+        orphaned = doomed.filter(F.lit(False)).select("id", F.lit(None).cast("string").alias("reason"))
     refused = (decided.filter(F.col("reason").isNotNull()).select("id", "reason")
                .unionByName(orphaned).unionByName(unknown))
 
@@ -516,7 +516,7 @@ def user_intake(users: DataFrame, requests: DataFrame, as_of: _dt.date | str,
         if live.limit(1).count() == 0:
             break
     if accepted is None:
-        accepted = req.limit(0)
+        accepted = req.filter(F.lit(False))
     refused = requests.join(accepted.select("request_id"), "request_id", "left_anti")
     rows = assign_ids(accepted.drop("_e", "_u"), ["request_id"], max_id(users))
     new_users = conform(rows.withColumn("status", F.lit("Active")), "users")
