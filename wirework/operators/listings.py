@@ -3,9 +3,10 @@
 Joins are plain equi-joins; Spark picks the strategy.  A lookup side goes out by
 broadcast only when Catalyst / AQE measure it under
 ``spark.sql.autoBroadcastJoinThreshold``; past that the join sort-merges, and AQE
-splits skewed partitions (a hot assignee, or the NULL-assignee rows of a left
-join, which all hash to one partition).  Joins keyed on the task id
-(completions, ratings) reuse one hash partitioning of the task rows.
+splits skewed partitions (a hot assignee).  Unassigned tasks (NULL assignee)
+go around the assignee lookup instead of hashing to one partition.  Joins keyed
+on the task id (completions, ratings) reuse one hash partitioning of the task
+rows.
 
 Per-user top-n feeds use ``row_number() <= n`` over a window; Spark plans a
 ``WindowGroupLimit`` below the shuffle, so a user holding a third of all rows
@@ -77,7 +78,9 @@ def _task_enrichment(T: Tables, *, creator: bool, contact: bool) -> list[tuple[D
     tech = [F.col("id").alias("assigned_to"), F.col("full_name").alias("assigned_electrician")]
     if contact:
         tech.append(F.col("phone").alias("electrician_phone"))
-    parts = [(T.customers.select(*cust), "customer_id"), (T.users.select(*tech), "assigned_to")]
+    # the assignee lookup goes first: its NULL keys (unassigned tasks) are split
+    # off at the scan, and every later join runs once on the union
+    parts = [(T.users.select(*tech), "assigned_to"), (T.customers.select(*cust), "customer_id")]
     if creator:
         parts.append((T.users.select(F.col("id").alias("created_by"),
                                      F.col("full_name").alias("created_by_name")), "created_by"))
@@ -89,9 +92,11 @@ def _task_enrichment(T: Tables, *, creator: bool, contact: bool) -> list[tuple[D
 
 
 def _enrich(tasks: DataFrame, parts: list[tuple[DataFrame, str]]) -> DataFrame:
+    from ..plans.joins import left_lookup
+
     out = tasks
     for side, key in parts:
-        out = out.join(side, key, "left")
+        out = left_lookup(out, key, side) if key == "assigned_to" else out.join(side, key, "left")
     return out
 
 
