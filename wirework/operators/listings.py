@@ -222,7 +222,11 @@ def _issue_base(T: Tables, issues: DataFrame, task_cols: list[Column]) -> DataFr
     rep = T.users.select(F.col("id").alias("reported_by"), F.col("full_name").alias("reported_by_name"),
                          F.col("phone").alias("reported_by_phone"))
     res = T.users.select(F.col("id").alias("resolved_by"), F.col("full_name").alias("resolved_by_name"))
-    return issues.join(tasks, "task_id").join(rep, "reported_by").join(res, "resolved_by", "left")
+    from ..plans.joins import left_lookup
+
+    # unresolved issues (NULL resolver) go around the resolver lookup, first,
+    # so the inner joins run once on the union
+    return left_lookup(issues, "resolved_by", res).join(tasks, "task_id").join(rep, "reported_by")
 
 
 def issue_listing(T: Tables, status: str | None = None, priority: str | None = None,
