@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, warc
 from .common import table
 
 
@@ -22,13 +22,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op8_sharding": op8_sharding,
     "op3_quality": op3_quality,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc": warc.WARC_SQL,
     "op3_quality": quality.QUALITY_SQL,
     "op10_mixing": mixing.MIXING_SQL,
 }
