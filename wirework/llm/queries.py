@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, unigram, warc
+from . import bpe, mixing, quality, sharding, unigram, warc
 from .common import table
 
 
@@ -31,7 +31,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_bpe": op7_bpe,
     "op4_token_counts": op4_token_counts,
     "op2_warc": op2_warc,
     "op8_sharding": op8_sharding,
