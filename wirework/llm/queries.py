@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, sharding, unigram, warc
+from . import bitslice, bpe, mixing, quality, sharding, unigram, warc
 from .common import table
 
 
@@ -35,7 +35,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_k_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_top_k": op9_top_k,
     "op7_bpe": op7_bpe,
     "op4_token_counts": op4_token_counts,
     "op2_warc": op2_warc,
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op9_top_k": bitslice.TOP_K_SQL,
     "op2_warc": warc.WARC_SQL,
     "op3_quality": quality.QUALITY_SQL,
     "op10_mixing": mixing.MIXING_SQL,
