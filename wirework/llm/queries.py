@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, bpe, mixing, quality, sharding, unigram, warc
+from . import bitslice, bpe, mixing, quality, sharding, toxicity, unigram, warc
 from .common import table
 
 
@@ -39,7 +39,12 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k_report(table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": op5_toxicity,
     "op9_top_k": op9_top_k,
     "op7_bpe": op7_bpe,
     "op4_token_counts": op4_token_counts,
