@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, bpe, mixing, quality, sharding, toxicity, unigram, warc
+from . import bitslice, bpe, mixing, ngram_join, quality, sharding, toxicity, unigram, warc
 from .common import table
 
 
@@ -43,7 +43,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_ngram_join": op6_ngram_join,
     "op5_toxicity": op5_toxicity,
     "op9_top_k": op9_top_k,
     "op7_bpe": op7_bpe,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_ngram_join": ngram_join.JOIN_SQL,
     "op9_top_k": bitslice.TOP_K_SQL,
     "op2_warc": warc.WARC_SQL,
     "op3_quality": quality.QUALITY_SQL,
