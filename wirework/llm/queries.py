@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, bpe, mixing, ngram_join, quality, sharding, toxicity, unigram, warc
+from . import bitslice, bpe, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity, unigram, warc
 from .common import table
 
 
@@ -47,7 +47,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_report(table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op5_toxicity": op5_toxicity,
     "op9_top_k": op9_top_k,
