@@ -189,6 +189,24 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
     return _rows(docs, id_col, text_col).mapInPandas(run, "doc_id bigint, ids array<int>")
 
 
+def training_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encoding_report`` with the ids themselves (array of int)."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = Codec(tokenizer_file)
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at:at + 256]
+                ids = [codec.encode(t) for t in part["text"]]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"], "n_tokens": [len(i) for i in ids], "ids": [np.array(i, np.int32) for i in ids],
+                    "ids_sha256": [codec.digest(i) for i in ids],
+                    "decoded_sha256": [hashlib.sha256(codec.decode(i).encode()).hexdigest() for i in ids]})
+
+    return _rows(docs, id_col, text_col).mapInPandas(
+        run, "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def decode_documents(tokens: DataFrame, tokenizer_file: str) -> DataFrame:
     """Per row of ``encode_documents``: ``doc_id``, ``text``."""
 

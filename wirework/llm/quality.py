@@ -42,6 +42,7 @@ ALPHA = 0.02
 DELTA = 0.05
 #: A good document's wrong rejection weighs as much as this many bad ones caught.
 GOOD_WEIGHT = 10.0
+MOST_BROADCAST = 10_000
 #: Rules: the ratio (numerator, denominator) and its cutoffs, mildest first.  A
 #: document is rejected when the ratio reaches the cutoff.
 RULES = (
@@ -137,7 +138,7 @@ def cutoffs(metrics: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
             .withColumn("stratum", F.col(prefix + "stratum")))
     good, bad = F.col("_ql_good") == 1, F.col("_ql_good") == 0
     counts = [F.count_if(good).alias("n"), F.count_if(bad).alias("n_bad")]
-    ratios = {name: F.col(prefix + num) / F.col(prefix + den) for name, num, den, _ in RULES}
+    ratios = {name: F.try_divide(prefix + num, prefix + den) for name, num, den, _ in RULES}
     for name, _, _, cuts in RULES:
         for i, c in enumerate(cuts):
             counts += [F.count_if(good & (ratios[name] >= c)).alias(f"g_{name}_{i}"),
@@ -160,14 +161,20 @@ def cutoffs(metrics: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     return out.select("stratum", *[f"cut_{r[0]}" for r in RULES])
 
 
+def bounded(cuts: DataFrame) -> DataFrame:
+    """A broadcast of the cutoffs (a narrow row per stratum) if they are few, so that
+    a frequent stratum is not dealt to one task; many strata are joined by shuffle."""
+    return F.broadcast(cuts) if cuts.count() <= MOST_BROADCAST else cuts
+
+
 def verdicts(metrics: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
              prefix: str = "_qr_") -> DataFrame:
     """``metrics`` plus ``_qr_base_failed`` and ``_qr_kept``."""
-    cuts = cutoffs(metrics, labels, alpha, delta, prefix)
+    cuts = bounded(materialize(cutoffs(metrics, labels, alpha, delta, prefix), "quality-cutoffs"))
     out = metrics.join(cuts, F.col(prefix + "stratum") == F.col("stratum"), "left")
     rejected = F.lit(False)
     for name, num, den, _ in RULES:
-        rejected = rejected | F.coalesce(F.col(prefix + num) / F.col(prefix + den) >= F.col(f"cut_{name}"), F.lit(False))
+        rejected = rejected | F.coalesce(F.try_divide(prefix + num, prefix + den) >= F.col(f"cut_{name}"), F.lit(False))
     return (out.withColumn(prefix + "base_failed", base_failed(prefix))
             .withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & ~rejected)
             .drop("stratum", *[f"cut_{r[0]}" for r in RULES]))
@@ -194,15 +201,15 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the scan that returns them, so no text is shuffled."""
     cuts = materialize(cutoffs(materialize(_narrow(docs), "quality-metrics"), labels), "quality-cutoffs")
     marked = docs.withColumn("_qr_stratum", F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")))
-    marked = with_metrics(marked).filter(~base_failed())
+    # a filter that names a column that isn't a function of the row stays above the
+    # metrics; pushed below, it would compute each of them again for every use
+    marked = with_metrics(marked).withColumn("_qr_row", F.monotonically_increasing_id())
     named = cuts.select(F.col("stratum").alias("_qr_s"), *[F.col(f"cut_{r[0]}").alias(f"_qr_cut_{r[0]}") for r in RULES])
-    # one narrow row per stratum; joined as a broadcast only below the bound
-    if cuts.count() <= 10_000:
-        named = F.broadcast(named)
-    out = marked.join(named, F.col("_qr_stratum") == F.col("_qr_s"), "left")
+    out = marked.join(bounded(named), F.col("_qr_stratum") == F.col("_qr_s"), "left")
+    good = ~base_failed() & (F.col("_qr_row") >= 0)
     for name, num, den, _ in RULES:
-        out = out.filter(F.coalesce(F.col("_qr_" + num) / F.col("_qr_" + den) < F.col(f"_qr_cut_{name}"), F.lit(True)))
-    return out.select(*docs.columns)
+        good = good & F.coalesce(F.try_divide("_qr_" + num, "_qr_" + den) < F.col(f"_qr_cut_{name}"), F.lit(True))
+    return out.filter(good).select(*docs.columns)
 
 
 def _sql() -> str:

@@ -474,6 +474,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append(kept(t.encode(), runs).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
+    cut = cut.asNondeterministic()      # evaluated once, also for the filter
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST_ID))
     rows = docs.withColumn("_sd_doc", doc).withColumn("_sd_text", F.unhex(F.md5(text.cast("binary"))))
