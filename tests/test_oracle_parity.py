@@ -7,8 +7,9 @@ from oracle_check import rows_of
 
 from conftest import SMALL
 
-ORACLE = entry.oracle_sql()
 QUERIES = entry.queries()
+#: the training-data operators have their tests in a folder of their own
+ORACLE = {k: v for k, v in entry.oracle_sql().items() if not (k == "pipeline" or k[:2] == "op" and k[2].isdigit())}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -22,17 +23,14 @@ def test_matches_oracle(spark, duck, name):
     assert srows == orows
 
 
-def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only == {"system_usage_report", "daily_stats_report", "daily_logins_stream",
-                         "notify_stream", "task_state_stream"}
+def test_every_query_has_oracle_or_a_test_of_its_own():
+    own = {x for x in QUERIES if x.startswith("op") and x[2].isdigit()} | {"pipeline"}
+    assert set(QUERIES) - set(ORACLE) - own == {"system_usage_report", "daily_stats_report"}
 
 
-@pytest.mark.parametrize("name", ["system_usage_report", "daily_stats_report", "notify_stream"])
-def test_rows_only_queries_run(spark, name):
-    df = QUERIES[name](spark, SMALL)
-    assert df.count() >= 0
-    assert len(df.columns) > 0
+@pytest.mark.parametrize("name", ["system_usage_report", "daily_stats_report"])
+def test_reports_without_statement(spark, name):
+    assert QUERIES[name](spark, SMALL).count() == 1
 
 
 def test_entry_smoke(spark):

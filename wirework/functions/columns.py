@@ -91,10 +91,11 @@ def role_valid(c: Column | str) -> Column:
 
 
 def normalise_text(c: Column | str) -> Column:
-    """F8: HTML-escape ``& < > " '`` and trim, as the request sanitiser does."""
+    """F8: HTML-escape ``& < > " ' / \\ ` `` and trim, as the request sanitiser does."""
     x = js_trim(_c(c))
     # --- fixed values: escape table, in the order it is applied --------------
-    for raw, esc in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+    for raw, esc in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"),
+                     ("/", "&#x2F;"), ("\\", "&#x5C;"), ("`", "&#96;")):
         x = F.replace(x, F.lit(raw), F.lit(esc))
     return x
 

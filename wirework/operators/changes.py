@@ -192,9 +192,10 @@ def task_intake(resolved: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataF
     against each other and against the codes already in ``tasks``.
     """
     ok = resolved.filter(F.col("customer_id").isNotNull())
+    given = [c for c in ("description", "scheduled_time_start", "scheduled_time_end", "estimated_hours")
+             if c in resolved.columns]
     rows = ok.select(
-        "request_id", task_code("requested_at").alias("task_code"), "title",
-        F.lit(None).cast("string").alias("description"), "customer_id", "priority",
+        "request_id", task_code("requested_at").alias("task_code"), "title", *given, "customer_id", "priority",
         F.lit(DEFAULT_TASK_STATUS).alias("status"), "created_by",
         F.lit(None).cast("bigint").alias("assigned_to"), "scheduled_date",
         F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"))

@@ -69,8 +69,8 @@ def assign_ids(df: DataFrame, order: list[str], start: DataFrame | int, id_col:
     span = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()   # one row
     width = (span["hi"] - span["lo"]) / F.lit(n) + F.lit(1e-9)
     bucketed = df.withColumn(
-        "_b", F.coalesce(F.least(F.floor((key - span["lo"]) / width), F.lit(n - 1)).cast("int"),
-                         F.lit(-1)))   # NULL keys sort first
+        "_b", F.when(key.isNull(), F.lit(-1))
+              .otherwise(F.least(F.floor((key - span["lo"]) / width), F.lit(n - 1)).cast("int")))   # NULL keys sort first
     w = Window.partitionBy("_b").orderBy(*order)
     numbered = bucketed.withColumn("_pos", F.row_number().over(w))
     counts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))   # <= n rows
@@ -102,8 +102,8 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, out_col: str,
     span = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()   # one row
     width = (span["hi"] - span["lo"]) / F.lit(n) + F.lit(1e-9)
     bucketed = df.withColumn(
-        "_b", F.coalesce(F.least(F.floor((key - span["lo"]) / width), F.lit(n - 1)).cast("int"),
-                         F.lit(-1)))
+        "_b", F.when(key.isNull(), F.lit(-1))
+              .otherwise(F.least(F.floor((key - span["lo"]) / width), F.lit(n - 1)).cast("int")))
     w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = bucketed.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
     totals = bucketed.groupBy("_b").agg(F.sum(value).alias("_t"))

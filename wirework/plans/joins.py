@@ -1,9 +1,10 @@
 """Join helpers.
 
-``left_lookup``: a left join on a nullable key where rows with a NULL key go
-around the join.  They can never match, yet a shuffle would send all of them to
-one partition (hash of NULL); when most rows have no key (changes other than
-assignments have no assignee) that partition would hold most of the data.
+``left_lookup``: a left join on a nullable key.  Rows with a NULL key can never
+match, yet a shuffle would send all of them to one partition (hash of NULL); when
+most rows have no key (changes other than assignments have no assignee) that
+partition would hold most of the data.  A second key spreads them: a hash of the
+row where the key is NULL, 0 elsewhere and in the lookup.
 """
 
 from __future__ import annotations
@@ -13,9 +14,7 @@ from pyspark.sql import functions as F
 
 
 def left_lookup(df: DataFrame, key: str, lookup: DataFrame) -> DataFrame:
-    """``df`` left-joined with ``lookup`` on ``key``; NULL keys skip the join."""
-    extra = [f for f in lookup.schema.fields if f.name != key]
-    keyed = df.filter(F.col(key).isNotNull()).join(lookup, key, "left")
-    unkeyed = df.filter(F.col(key).isNull()).select(
-        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
-    return keyed.unionByName(unkeyed)
+    """``df`` left-joined with ``lookup`` on ``key``; ``df`` is read once."""
+    spread = F.when(F.col(key).isNull(), F.xxhash64(*df.columns)).otherwise(F.lit(0))
+    return (df.withColumn("_spread", spread)
+            .join(lookup.withColumn("_spread", F.lit(0).cast("bigint")), [key, "_spread"], "left").drop("_spread"))

@@ -9,7 +9,7 @@ interval yields TIMESTAMP, so it is cast to DATE; TIMESTAMPDIFF(HOUR) is
 from __future__ import annotations
 
 from ..operators import performance as perf
-from .catalog import LOG_AS_OF, TASK_AS_OF, register
+from .catalog import LOG_AS_OF, ORACLE, TASK_AS_OF, register
 
 # ---------------------------------------------------------------------------
 # C5-C7 performance report
@@ -1036,8 +1036,8 @@ def _trim_sql(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-_NORM = ("replace(replace(replace(replace(replace(" + _trim_sql("full_name")
-         + ", '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')")
+_NORM = ("replace(replace(replace(replace(replace(replace(replace(replace(" + _trim_sql("full_name")
+         + ", '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), '/', '&#x2F;'), '\\\\', '&#x5C;'), '`', '&#96;')")
 _NAME_OK = f"""(full_name IS NOT NULL AND {_NORM} <> '' AND NOT regexp_matches({_NORM}, '^[0-9]+$')
   AND NOT (length(regexp_replace({_NORM}, '\\s', '', 'g')) > 0
            AND length(regexp_replace({_NORM}, '[^0-9]', '', 'g')) / length(regexp_replace({_NORM}, '\\s', '', 'g')) > 0.7)
@@ -1095,25 +1095,26 @@ def _check_tasks(T):
 
 # ---------------------------------------------------------------------------
 # S1-S3 streaming forms (run with availableNow over files of the derived
-# tables, written under the checkpoint folder; rows-only checks)
+# tables, written under the checkpoint folder)
 # ---------------------------------------------------------------------------
-def _as_file_stream(df, spark, name: str, files: int = 8, order: str | None = None):
+def _as_file_stream(df, spark, name: str, files: int = 8):
     from ..sources.schemas import SCHEMAS
     from ..streaming.streams import scratch_dir
 
     src = scratch_dir(spark, f"{name}-src")
-    out = df.repartitionByRange(files, order) if order else df.repartition(files)
-    out.write.parquet(src)
+    df.repartition(files).write.parquet(src)    # in no order of time
     return spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", 1).parquet(src)
 
 
-@register("daily_logins_stream")
+@register("daily_logins_stream", tables=("activity_logs",), oracle="""
+SELECT CAST(created_at AS DATE) AS date, count(DISTINCT user_id) AS unique_users, count(*) AS login_count
+FROM activity_logs WHERE action = 'Login' GROUP BY 1""")
 def _daily_logins_stream(T):
     from ..streaming import streams
 
     spark = T.users.sparkSession
-    logs = _as_file_stream(T.activity_logs, spark, "activity_logs", order="created_at")
-    return streams.run_to_parquet(streams.daily_logins_stream(logs), spark, "daily_logins")
+    return streams.daily_logins_stream(_as_file_stream(T.activity_logs, spark, "activity_logs"),
+                                       streams.scratch_dir(spark, "daily_logins"))
 
 
 @register("notify_stream")
@@ -1123,7 +1124,7 @@ def _notify_stream(T):
     spark = T.users.sparkSession
     _, resolved = changes.resolve_customers(T.customers, T.customer_intake)
     new_tasks, _ = changes.task_intake(resolved, T.tasks)
-    stream = _as_file_stream(new_tasks, spark, "tasks", order="id")
+    stream = _as_file_stream(new_tasks, spark, "tasks")
     return streams.run_to_parquet(streams.notify_stream(stream, T.users), spark, "notify")
 
 
@@ -1132,11 +1133,15 @@ def _task_state_stream(T):
     from ..streaming import streams
 
     spark = T.users.sparkSession
-    stream = _as_file_stream(T.task_changes, spark, "task_changes", order="changed_at")
-    handle = streams.task_state_stream(stream, T.tasks, T.users,
-                                       streams.scratch_dir(spark, "task_state"))
+    stream = _as_file_stream(T.task_changes, spark, "task_changes")
+    handle = streams.task_state_stream(stream, T.tasks, T.users, streams.scratch_dir(spark, "task_state"))
     handle.await_done()
-    return handle.latest(spark)
+    return handle.latest("tasks")
+
+
+# the streaming forms give what their batch twins give, so they share statements
+for _stream, _batch in (("notify_stream", "notify_task_created"), ("task_state_stream", "apply_task_changes")):
+    ORACLE[_stream] = ORACLE[_batch]
 
 
 # ---------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import DERIVATIONS, SOURCES, derived_columns
-from .schemas import SCHEMAS
+from .schemas import SCHEMAS, TASK_STATUSES
 
 TABLE_NAMES = (
     "users", "electrician_details", "customers", "tasks", "task_materials",
@@ -82,20 +82,28 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
     """A1: read the tables of the data model stored one directory per table.
 
     The schema is given, never inferred, so the scan plans without touching data.
-    Missing ``reports`` / ``system_settings`` directories are treated as empty.
+    Paths are resolved by Spark's file systems, so any URI that Spark reads will
+    do.  ``reports`` / ``system_settings`` and the change batches may be missing;
+    any other table that is missing is an error.
     """
-    import os
-
     dfs = {}
     for name in TABLE_NAMES + ("rating_events", "task_changes"):
-        loc = f"{path}/{name}.{fmt}" if os.path.exists(f"{path}/{name}.{fmt}") else f"{path}/{name}"
-        if os.path.exists(loc):
+        loc = next((p for p in (f"{path}/{name}.{fmt}", f"{path}/{name}") if path_exists(spark, p)), None)
+        if loc:
             dfs[name] = conform(spark.read.schema(SCHEMAS[name]).format(fmt).load(loc), name)
-        elif name in TABLE_NAMES:
+        elif name in ("reports", "system_settings"):
             dfs[name] = empty(spark, name)
+        elif name in TABLE_NAMES:
+            raise FileNotFoundError(f"no table {name} at {path}")
     return Tables(**dfs)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists in the file system that Spark finds for it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def load_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
               partitioning: dict[str, tuple[str, int, int, int]] | None = None) -> Tables:
     """A1 over JDBC: same signature, reads the live database in parallel ranges.
@@ -142,59 +150,26 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(loaders)
 
 
-def seed_tables(spark: SparkSession, as_of: _dt.date) -> Tables:
-    """A3: the literal sample rows of the data model (a unit-test fixture).
-
-    Dates relative to "today" take ``as_of`` instead of the clock.
+def seed_tables(spark: SparkSession, as_of: _dt.date, users: int = 12, tasks: int = 30) -> Tables:
+    """A3: small generated tables (a unit-test fixture): user 1 is the admin, every
+    fourth user a manager, the rest technicians; tasks take all statuses in turn,
+    with and without assignee, scheduled up to two days after ``as_of``.
     """
-    ts = _dt.datetime.combine(as_of, _dt.time())
-    # Sample rows with the shape of the reference's seed (one admin, one manager,
-    # two technicians with details, three customers, three tasks: assigned and
-    # in progress today, pending and unassigned tomorrow; two notifications).
-    # The values are neutral; no operator depends on them.
-    users = [
-        (1, "admin", "admin@example.test", None, "Site Admin", "+94 77 100 0001", "Admin"),
-        (2, "manager1", "manager1@example.test", None, "Mara Perera", "+94 77 100 0002", "Manager"),
-        (3, "tech1", "tech1@example.test", None, "Tomas Fernando", "+94 77 100 0003", "Electrician"),
-        (4, "tech2", "tech2@example.test", None, "Nadia Silvestri", "+94 77 100 0004", "Electrician"),
-    ]
-    details = [
-        (3, "ELC001", "Residential wiring, repairs", "Level 3", "4.80", _dt.date(2023, 5, 15)),
-        (4, "ELC002", "Industrial wiring, solar", "Level 3", "4.60", _dt.date(2023, 8, 22)),
-    ]
-    customers = [
-        (1, "Northside Offices", "office@example.test", "+94 77 200 0001", "1 First Street"),
-        (2, "R. Jayasuriya", "rj@example.test", "+94 77 200 0002", "2 Second Street"),
-        (3, "Lakeview Guest House", "stay@example.test", "+94 77 200 0003", "3 Third Street"),
-    ]
-    tasks = [
-        (1, "T00001", "Fix outlets in the main office", "Several outlets are dead", 1, "High",
-         "Assigned", 2, 3, 0, "09:00:00", "11:00:00", "2"),
-        (2, "T00002", "Install new lighting", "LED lighting for the dining room", 3, "Medium",
-         "In Progress", 2, 4, 0, "14:00:00", "18:00:00", "4"),
-        (3, "T00003", "Emergency repair: power outage", "No power in the building", 2, "High",
-         "Pending", 2, None, 1, "10:00:00", "12:00:00", "2"),
-    ]
-    notifications = [
-        (1, 3, "task", "New Task Assigned", "You have been assigned a new task: Fix outlets in the main office"),
-        (2, 4, "task", "New Task Assigned", "You have been assigned a new task: Install new lighting"),
-    ]
-    from decimal import Decimal
-
-    u = spark.createDataFrame(
-        [(i, un, em, pw, fn, ph, r, "Active", ts, None) for i, un, em, pw, fn, ph, r in users],
-        SCHEMAS["users"])
-    d = spark.createDataFrame(
-        [(i, c, s, cert, Decimal(r), 0, j) for i, c, s, cert, r, j in details],
-        SCHEMAS["electrician_details"])
-    c = spark.createDataFrame([(*row, ts) for row in customers], SCHEMAS["customers"])
-    t = spark.createDataFrame(
-        [(i, code, title, desc, cid, pr, st, cb, at, as_of + _dt.timedelta(days=off), s, e,
-          Decimal(h), None, None, ts, ts)
-         for i, code, title, desc, cid, pr, st, cb, at, off, s, e, h in tasks],
-        SCHEMAS["tasks"])
-    n = spark.createDataFrame([(*row, False, ts) for row in notifications],
-                              SCHEMAS["notifications"])
-    rest = {name: empty(spark, name) for name in TABLE_NAMES
-            if name not in ("users", "electrician_details", "customers", "tasks", "notifications")}
-    return Tables(users=u, electrician_details=d, customers=c, tasks=t, notifications=n, **rest)
+    noon = _dt.datetime.combine(as_of, _dt.time(12))
+    role = ["Admin" if i == 1 else "Manager" if i % 4 == 2 else "Electrician" for i in range(1, users + 1)]
+    people = [{"id": i, "username": f"user-{i}", "email": f"user-{i}@fixture.invalid", "full_name": f"Person {i}",
+               "phone": f"07{i % 10}{i:07d}", "role": r, "status": "Inactive" if i % 11 == 0 else "Active",
+               "created_at": noon - _dt.timedelta(days=i)} for i, r in enumerate(role, 1)]
+    techs = [p["id"] for p in people if p["role"] == "Electrician"]
+    jobs = [{"id": i, "task_code": f"T{i:06d}", "title": f"Job {i}", "priority": ("High", "Medium", "Low")[i % 3],
+             "status": TASK_STATUSES[i % len(TASK_STATUSES)], "created_by": 1 + i % 2,
+             "assigned_to": techs[i % len(techs)] if i % len(TASK_STATUSES) else None,
+             "scheduled_date": as_of + _dt.timedelta(days=i % 3), "created_at": noon, "updated_at": noon}
+            for i in range(tasks)]
+
+    def frame(name: str, rows: list[dict]) -> DataFrame:
+        return spark.createDataFrame([tuple(r.get(c) for c in SCHEMAS[name].names) for r in rows], SCHEMAS[name])
+
+    made = {"users": frame("users", people), "tasks": frame("tasks", jobs),
+            "electrician_details": frame("electrician_details", [{"user_id": u, "employee_code": f"K{u}"} for u in techs])}
+    return Tables(**{name: made[name] if name in made else empty(spark, name) for name in TABLE_NAMES})
