@@ -45,7 +45,7 @@ def order_hash(*cols: Column, salt: str = "") -> Column:
 
 
 def running_total(df: DataFrame, group: list[str], order: str, ties: list[str], value: str | None, out: str,
-                  rows_per_bucket: int = 20_000, rows: int | None = None) -> DataFrame:
+                  rows_per_bucket: int = 4_000, rows: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` (of 1 when None) over the rows of the same
     ``group`` strictly before each row by (``order``, ``ties``).
 
