@@ -47,8 +47,8 @@ from .ngram_join import bitmap, in_bitmap, mix
 # --- parameters ---
 SPAN = 50
 GRAM = 24                     # bytes of a minimizer
-BLOCK_MINIMIZERS = 3_000_000  # minimizers compared by a task at a time
-SORT_BYTES = 3_000_000        # of distinct stretches, suffix-sorted together
+BLOCK_MINIMIZERS = 1_500_000  # minimizers compared by a task at a time
+SORT_BYTES = 1_500_000        # of distinct stretches, suffix-sorted together
 GROUP_TEXTS = 256
 # ------------------
 
@@ -154,25 +154,28 @@ def shared_minimizers(rows: DataFrame) -> DataFrame:
     def find(key, pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(k, "V16") for k in pdf["keys"]])
         first = np.cumsum([0, *(len(k) // 16 for k in pdf["keys"])])[:-1]
-        owner = np.concatenate([np.frombuffer(o, np.uint8).astype(np.int64) + f for o, f in zip(pdf["owner"], first)])
-        low = np.concatenate([np.frombuffer(v, np.uint32) for v in pdf["hashes"]])
+        # one number for each minimizer: its hash and the place of its text
+        both = np.concatenate([(np.frombuffer(v, np.uint32).astype(np.uint64) << _U(32)) | (np.frombuffer(o, np.uint8) + _U(f))
+                               for v, o, f in zip(pdf["hashes"], pdf["owner"], first)])
+        del pdf
         tags = np.ascontiguousarray(keys).view(np.uint64)[::2]
         # copies of a text count once
         _, once = np.unique(tags, return_index=True)
         is_first = np.zeros(len(keys), bool)
         is_first[once] = True
-        stay = is_first[owner]
-        owner, low = owner[stay], low[stay]
-        order = np.argsort(low, kind="stable")
-        owner, low = owner[order], low[order]
+        both = both[is_first[both & _U(0xFFFFFFFF)]]
+        both.sort()
+        low = both >> _U(32)
         start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, int)
         if not len(start):
             return pd.DataFrame({"tkey": [], "block": [], "hashes": []})
-        several = np.maximum.reduceat(owner, start) != np.minimum.reduceat(owner, start)
-        shared = np.repeat(several, np.diff([*start, len(low)]))
-        owner, low = owner[shared], low[shared]
-        order = np.argsort(owner, kind="stable")
-        owner, low = owner[order], low[order]
+        end = np.r_[start[1:], len(low)]
+        # sorted by text within a hash: two texts, if the first and the last differ
+        shared = np.repeat(both[start] != both[end - 1], end - start)
+        both = both[shared]
+        both = (both << _U(32)) | (both >> _U(32))
+        both.sort()
+        owner, low = (both >> _U(32)).astype(np.int64), both.astype(np.uint32)
         start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
         return pd.DataFrame({"tkey": [keys[owner[a]].tobytes() for a in start], "block": int(key[0]),
                              "hashes": [low[a:b].tobytes() for a, b in zip(start, [*start[1:], len(low)])]})
