@@ -171,5 +171,5 @@ def seed_tables(spark: SparkSession, as_of: _dt.date, users: int = 12, tasks: in
         return spark.createDataFrame([tuple(r.get(c) for c in SCHEMAS[name].names) for r in rows], SCHEMAS[name])
 
     made = {"users": frame("users", people), "tasks": frame("tasks", jobs),
-            "electrician_details": frame("electrician_details", [{"user_id": u, "employee_code": f"K{u}"} for u in techs])}
+            "electrician_details": frame("electrician_details", [{"electrician_id": u, "employee_code": f"K{u}"} for u in techs])}
     return Tables(**{name: made[name] if name in made else empty(spark, name) for name in TABLE_NAMES})
