@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _mark(edges: DataFrame):
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, which has none itself."""
+    several = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    chained = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+    return several.unionByName(chained).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,9 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     component) of every node with an edge.  Nodes are longs."""
     least, most = F.least("a", "b"), F.greatest("a", "b")
     now = materialize(edges.select(most.alias("a"), least.alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
-    while (mark := _mark(now)) != before:
-        before = mark
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -16,15 +16,17 @@ share a signature:
 G is an eighth of the size class of the larger set (a power of two), so a set has a
 number of pairs in proportion to its tokens; it writes them for its own class and,
 where a partner may be of the next class, for that.  Below class 8 frequent tokens
-are single signatures too.
-
-Only sets that share a signature meet.  Of the sets of one signature each is
-compared with a hub first, linked sets become components, and in further rounds only
-signatures whose sets are still in different components are looked at, so a group of
-thousands of near copies costs a comparison per member, not per pair.  In the last
-round all pairs of sets in different components that share a signature are
-verified: no link between different components is lost.  Verification counts the
-common tokens of the whole sets.
+are single signatures too.  Rare tokens that occur in one document alone take their
+place in the prefix but are not written.
+
+Only sets that share a signature meet; of signatures that the same sets have, one is
+enough.  In a round each set is compared with one hub, the first set of the most
+frequent signature it has left; linked sets become components, and signatures whose
+sets are all in one component are done with.  So a group of thousands of near copies
+costs a few comparisons per member, not one per pair.  In the last round all pairs of
+sets in different components that share a signature are verified: no link between
+different components is lost.  Verification counts the common tokens of the whole
+sets.
 
 Token counts cover all documents: each task sorts the tokens of a batch, deals them
 by hash range, and sends them as compressed differences; the frequent ones come back
@@ -61,9 +63,9 @@ from .components import components
 # --- parameters ---
 NGRAM = 5
 PERCENT = 75
-FREQUENT = 32               # documents that make a token frequent, at least
-MOST_FREQUENT = 1 << 22     # tokens of the frequent class
-BITMAP_BITS = 26            # of the bitmaps that tasks get
+FREQUENT = 2                # documents that make a token frequent, at least
+MOST_FREQUENT = 1 << 24     # tokens of the frequent class
+BITMAP_BITS = 27            # of the bitmaps that tasks get
 BLOCK_TOKENS = 2_000_000    # tokens counted by a task at a time
 STAR_ROUNDS = 6
 REMEMBERED_WORDS = 500_000
@@ -157,8 +159,8 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def token_frequencies(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """``key``, ``count`` of the keys (leading bits of tokens) of more than FREQUENT
-    documents, and the number of bits.  32 keys for each token keep chance meetings
+    """``key``, ``count`` of the keys (leading bits of tokens) of FREQUENT
+    documents or more, and the number of bits.  32 keys for each token keep chance meetings
     rare at any size."""
     bits = min(60, max(24, math.ceil(math.log2(total + 1)) + 5))
     blocks = 1 << max(4, math.ceil(math.log2(total / BLOCK_TOKENS + 1)))
@@ -185,7 +187,7 @@ def token_frequencies(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
 
     def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
         keys, n = np.unique(np.concatenate([unpack_sorted(d) for d in pdf["keys"]]), return_counts=True)
-        many = n > FREQUENT
+        many = n >= FREQUENT
         return pd.DataFrame({"key": (keys[many] + _U(int(key[0])) * span).astype(np.int64), "count": n[many]})
 
     sent = docs.select("text").mapInArrow(run, "block int, keys binary")
@@ -209,8 +211,9 @@ def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[place >> _U(6)] >> (place & _U(63))) & _U(1) == 1
 
 
-def frequent_tokens(docs: DataFrame, total: int) -> tuple[np.ndarray, int]:
-    """Bitmap of the keys of frequent tokens, and the number of bits of a key."""
+def frequent_tokens(docs: DataFrame, total: int) -> tuple[np.ndarray, int, bool]:
+    """Bitmap of the keys of frequent tokens, the number of bits of a key, and
+    whether rare tokens can occur in two documents."""
     found, bits = token_frequencies(docs, total)
     found = materialize(found, "token-counts")
     sizes = found.groupBy(F.floor(F.log2("count")).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -218,7 +221,7 @@ def frequent_tokens(docs: DataFrame, total: int) -> tuple[np.ndarray, int]:
     while sum(r["n"] for r in sizes if r["e"] >= e) > MOST_FREQUENT:
         e += 1
         least = 1 << e
-    return bitmap(found.filter(F.col("count") >= least), "key"), bits
+    return bitmap(found.filter(F.col("count") >= least), "key"), bits, least > 2
 
 
 # ------------------------------------------------------------------ signatures
@@ -229,15 +232,17 @@ def size_classes(n: int) -> list[int]:
     return [own, 2 * own] if 100 * n >= PERCENT * 2 * own else [own]
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Signatures of a set: sorted tokens and which of them are frequent."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, shared_rare: bool = True) -> np.ndarray:
+    """Signatures of a set: sorted tokens and which of them are frequent.  Rare tokens
+    that no other set can have (``shared_rare`` is false) fill the prefix but are no
+    signatures."""
     n = len(tokens)
     lack = n - (PERCENT * n + 99) // 100
     rare = tokens[~frequent]
+    out = [rare[:lack + 1] if shared_rare else rare[:0]]
     if len(rare) > lack:
-        return rare[:lack + 1]
+        return out[0]
     often = tokens[frequent]
-    out = [rare]
     for size in size_classes(n):
         if size < 8:
             out.append(often[:lack + 1 - len(rare)])
@@ -256,7 +261,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signature_rows(docs: DataFrame, bits: np.ndarray, key_bits: int) -> DataFrame:
+def signature_rows(docs: DataFrame, bits: np.ndarray, key_bits: int, shared_rare: bool) -> DataFrame:
     """``sig``, ``n``, ``sid`` of every document's signatures."""
     shift = _U(64 - key_bits)
     names = ("sig", "n", "sid")
@@ -273,9 +278,11 @@ def signature_rows(docs: DataFrame, bits: np.ndarray, key_bits: int) -> DataFram
         with np.errstate(over="ignore"):
             for (tokens,) in _texts(batches):
                 if len(tokens):
-                    sigs.append(signatures(tokens, in_bitmap(bits, tokens >> shift)))
-                    owners.append((len(tokens), set_id(tokens)))
-                    size += len(sigs[-1])
+                    found = signatures(tokens, in_bitmap(bits, tokens >> shift), shared_rare)
+                    if len(found):
+                        sigs.append(found)
+                        owners.append((len(tokens), set_id(tokens)))
+                        size += len(found)
                 if size >= 100_000:
                     yield flushed()
                     sigs, owners, size = [], [], 0
@@ -285,71 +292,72 @@ def signature_rows(docs: DataFrame, bits: np.ndarray, key_bits: int) -> DataFram
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """The rows (once each) whose signature another set has too, with the ``hub`` of
-    the signature (its first set by size) and ``hub_n``.
+    """The rows (once each) whose signature another set has too.
 
-    Rows arrive sorted; of a signature only the hub and the last row are held."""
-    names = ("sig", "n", "sid", "hub_n", "hub")
+    Rows arrive sorted; of a signature that one set alone has had so far, one row is
+    held until the next batch."""
+    names = ("sig", "n", "sid")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.zeros(0, np.int64)] * 3        # a last row that may be a hub alone
-        hub = None                                # (sig, n, sid) of the signature at the end
+        left = [np.zeros(0, np.int64)] * 3        # a set that may be alone with its signature
+        open_sig, open_sid = None, None           # last signature known to be shared, and its last set
         for batch in batches:
             sig, n, sid = (np.concatenate([a, c.to_numpy()]) for a, c in zip(left, batch.columns))
             if not len(sig):
                 continue
             first = np.r_[True, sig[1:] != sig[:-1]]
             again = ~first & np.r_[False, sid[1:] == sid[:-1]]
-            if hub is not None and hub[0] == sig[0]:
-                first[0] = False
-                again[0] = False
-            start = np.maximum.accumulate(np.where(first, np.arange(len(sig)), -1))
-            hub_n = np.where(start >= 0, n[start], hub[1] if hub else 0)
-            hub_id = np.where(start >= 0, sid[start], hub[2] if hub else 0)
-            follows = np.r_[sig[1:] == sig[:-1], False]
-            differs = sid != hub_id
-            # a hub is kept when a different set follows under its signature
-            group = np.cumsum(first)
-            last = group[-1]
-            rich = np.zeros(last + 1, bool)
-            rich[group[differs]] = True
-            keep = ~again & (differs | (first & rich[group]))
-            end_start = start[-1]
-            if end_start >= 0 and not rich[last]:
-                # only copies of one set so far: the hub waits for the next batch
-                keep &= group != last
-                left = [a[end_start:end_start + 1] for a in (sig, n, sid)]
-                hub = None
-            else:
-                hub = (sig[-1], hub_n[-1], hub_id[-1])
+            group = np.cumsum(first) - 1
+            shared = np.zeros(group[-1] + 1, bool)
+            shared[group[~first & ~again]] = True
+            if open_sig is not None and sig[0] == open_sig:
+                shared[0] = True
+                again[0] = sid[0] == open_sid
+            keep = ~again & shared[group]
+            if shared[-1]:
+                open_sig, open_sid = sig[-1], sid[-1]
                 left = [a[:0] for a in (sig, n, sid)]
+            else:
+                open_sig = None
+                left = [a[-1:] for a in (sig, n, sid)]
             if keep.any():
-                yield _longs(sig[keep], n[keep], sid[keep], hub_n[keep], hub_id[keep], names=names)
+                yield _longs(sig[keep], n[keep], sid[keep], names=names)
 
     ordered = rows.repartition("sig").sortWithinPartitions("sig", "n", "sid")
     return ordered.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
+def without_twins(posts: DataFrame) -> DataFrame:
+    """Of signatures that the same sets have, one: a passage or a group of copies gives
+    hundreds.  Sets of sets are compared by size and two exclusive sums of hashes."""
+    per = posts.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid")).alias("x"),
+                                   F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
+    return posts.join(per.groupBy("k", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "k"), "sig")
+
+
 # ------------------------------------------------------------------ verification
 def sets_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """``sid``, ``tokens`` (binary) of the sets whose sid is in the bitmap."""
+    """``sid``, ``tokens`` (binary) of the sets of texts whose key is in the bitmap."""
+
+    def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(wanted, batch.column(0).to_numpy()))).select([1])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, data, size = [], [], 0
-        for (tokens,) in _texts(batches):
+        for (tokens,) in _texts(chosen(batches)):
             if not len(tokens):
                 continue
-            sid = set_id(tokens)
-            if in_bitmap(wanted, np.array([sid], np.int64))[0]:
-                ids.append(sid)
-                data.append(tokens.tobytes())
-                size += len(data[-1])
+            ids.append(set_id(tokens))
+            data.append(tokens.tobytes())
+            size += len(data[-1])
             if size > 4_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["sid", "tokens"])
                 ids, data, size = [], [], 0
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["sid", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "sid bigint, tokens binary").dropDuplicates(["sid"])
+    rows = docs.select(F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "sid bigint, tokens binary").dropDuplicates(["sid"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -379,40 +387,44 @@ def _pairs(rows: DataFrame, a: str, b: str, na: str, nb: str) -> DataFrame:
             .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
 
 
-def set_components(docs: DataFrame, total: int) -> DataFrame:
-    """``node`` (a sid), ``root`` of every set with a link."""
-    bits, key_bits = frequent_tokens(docs, total)
-    posts = materialize(shared_signatures(signature_rows(docs, bits, key_bits)), "signatures")
-    sets = materialize(sets_of(docs, bitmap(posts, "sid")), "sets")
-    links = materialize(verified(_pairs(posts, "sid", "hub", "n", "hub_n"), sets), "links")
-    for turn in range(STAR_ROUNDS):
-        roots = materialize(components(links), "roots")
-        # signatures whose sets are in different components
-        rows = (posts.select("sig", "n", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-                .withColumn("c", F.coalesce("root", "sid")).drop("root"))
-        apart = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-        posts = materialize(rows.join(apart, "sig"), "signatures")
-        per = posts.groupBy("sig", "c").agg(F.count(F.lit(1)).cast("double").alias("k"))
-        per = per.groupBy("sig").agg(((F.pow(F.sum("k"), F.lit(2)) - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
-        left = per.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("p"), F.count(F.lit(1)).alias("s")).first()
-        if not left["s"]:
-            return roots
-        last = left["p"] <= 4 * posts.count() or turn == STAR_ROUNDS - 1
+def set_components(docs: DataFrame, rows: DataFrame, total: int) -> DataFrame:
+    """``node`` (a sid), ``root`` of every set with a link; ``rows``: the members."""
+    posts = materialize(shared_signatures(signature_rows(docs, *frequent_tokens(docs, total))), "postings")
+    posts = materialize(without_twins(posts).withColumn("c", F.col("sid")), "signatures")
+    texts = rows.select("sid", "text_key").join(posts.select("sid").distinct(), "sid", "left_semi")
+    sets = materialize(sets_of(docs, bitmap(texts, "text_key")), "sets")
+    roots = None
+    for turn in range(STAR_ROUNDS + 1):
+        # pairs of sets in different components that share a signature
+        per = posts.groupBy("sig", "c").agg(F.count(F.lit(1)).cast("double").alias("m"))
+        per = per.groupBy("sig").agg(((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
+        left = per.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("p")).first()["p"]
+        if not left:
+            break
+        last = turn == STAR_ROUNDS or left <= 2 * posts.count()
         if last:
             x = posts.select("sig", F.col("n").alias("xn"), F.col("sid").alias("x"), F.col("c").alias("xc"))
-            met = posts.join(x, "sig").filter("c < xc")
-            more = _pairs(met, "sid", "x", "n", "xn")
+            more = _pairs(posts.join(x, "sig").filter("c < xc"), "sid", "x", "n", "xn")
         else:
-            order = F.struct(F.xxhash64("sid", F.lit(turn)).alias("o"), "sid", "n", "c")
-            hubs = posts.groupBy("sig").agg(F.min(order).alias("hub"))
-            met = posts.join(hubs, "sig").filter("c <> hub.c").select(
-                "sid", "n", F.col("hub.sid").alias("h"), F.col("hub.n").alias("hn"))
-            more = _pairs(met, "sid", "h", "n", "hn")
+            # each set meets one hub: that of the most frequent signature it has left
+            hub = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "n", "sid", "c") if turn else F.struct("n", "sid", "c")
+            met = posts.join(posts.groupBy("sig").agg(F.min(hub).alias("hub")), "sig").filter("c <> hub.c")
+            met = met.groupBy("sid", "n").agg(F.max_by("hub", F.struct("k", "sig")).alias("hub"))
+            more = _pairs(met.select("sid", "n", F.col("hub.sid").alias("h"), F.col("hub.n").alias("hn")), "sid", "h", "n", "hn")
         found = materialize(verified(more, sets), "links")
-        links = links.unionByName(found)
+        if not found.isEmpty():
+            if roots is not None:       # what is known is a star per component already
+                found = found.unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = materialize(components(found), "roots")
         if last:
-            return components(links) if not found.isEmpty() else roots
-    raise AssertionError("unreachable")
+            break
+        if roots is not None:
+            posts = posts.drop("c").join(roots.select(F.col("node").alias("sid"), F.col("root").alias("c")), "sid", "left")
+            posts = posts.withColumn("c", F.coalesce("c", "sid"))
+            # signatures whose sets are all in one component are done with
+            apart = posts.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
+            posts = materialize(posts.join(apart, "sig"), "signatures")
+    return rows.sparkSession.createDataFrame([], "node bigint, root bigint") if roots is None else roots
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -423,7 +435,7 @@ def groups(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     if not total:
         return rows.withColumn("root", F.lit(None).cast("bigint")).withColumn("component_id", F.col("doc_id"))
-    roots = materialize(set_components(docs, total), "roots").withColumnRenamed("node", "sid")
+    roots = materialize(set_components(docs, rows, total), "roots").withColumnRenamed("node", "sid")
     firsts = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"))
     named = firsts.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
