@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wirework.llm import bpe, mixing, ngram_join, quality, suffix_dedup
-from wirework.llm.common import materialize, table
+from wirework.llm.common import materialize, table, written_order
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding (7): ids, their digest and that of the decoded text."""
-    return bpe.training_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """BPE encoding and decoding (7): ids, their digest and that of the decoded text.
+    Sorted by (part, row) the rows are in training order: see ``common.written_order``."""
+    return bpe.training_tokens(written_order(docs), public_tokenizers.path("byte_bpe_50k.json"), order=("part", "row"))
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -172,8 +172,8 @@ class Codec:
         return hashlib.sha256(",".join(map(self.decimal.__getitem__, ids)).encode()).hexdigest()
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, more: Sequence[str] = ()) -> DataFrame:
+    return docs.select(*more, F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,8 +189,10 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
     return _rows(docs, id_col, text_col).mapInPandas(run, "doc_id bigint, ids array<int>")
 
 
-def training_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encoding_report`` with the ids themselves (array of int)."""
+def training_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
+                    order: Sequence[str] = ()) -> DataFrame:
+    """``encoding_report`` with the ids themselves (array of int), after the bigint
+    columns ``order`` of ``docs`` as they are."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec(tokenizer_file)
@@ -198,13 +200,14 @@ def training_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id"
             for at in range(0, len(b), 256):
                 part = b.iloc[at:at + 256]
                 ids = [codec.encode(t) for t in part["text"]]
-                yield pd.DataFrame({
+                yield pd.DataFrame({c: part[c] for c in order} | {
                     "doc_id": part["doc_id"], "n_tokens": [len(i) for i in ids], "ids": [np.array(i, np.int32) for i in ids],
                     "ids_sha256": [codec.digest(i) for i in ids],
                     "decoded_sha256": [hashlib.sha256(codec.decode(i).encode()).hexdigest() for i in ids]})
 
-    return _rows(docs, id_col, text_col).mapInPandas(
-        run, "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    rows = _rows(docs, id_col, text_col, order)
+    return rows.mapInPandas(run, "".join(f"{c} bigint, " for c in order)
+                            + "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_documents(tokens: DataFrame, tokenizer_file: str) -> DataFrame:

@@ -33,6 +33,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_order(df: DataFrame) -> DataFrame:
+    """Add ``part`` and ``row`` (bigint), by which the rows of a table that Spark wrote
+    sorted, and that ``df`` reads, stand in that order again: part files are numbered
+    in range order, but a scan packs them by length.  ``part`` is NULL in files that
+    Spark didn't name."""
+    name = F.col("_metadata.file_name")
+    number, piece = (F.regexp_extract(name, r"^part-(\d+)-.*-c(\d+)\.", k).try_cast("bigint") for k in (1, 2))
+    # more than one piece with spark.sql.files.maxRecordsPerFile only
+    return df.withColumns({"part": number * 1_000_000 + piece, "row": F.col("_metadata.row_index")})
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for NULL."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
