@@ -195,6 +195,32 @@ def test_toxicity_edge_cases(docs, no_docs, spark):
     assert toxicity.toxicity_report(docs, few).count() == docs.count()
 
 
+def test_toxicity_finds_rare_marks_among_many_common_names(spark):
+    """More than 50,000 names are more frequent in positives than the toxic words."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12))
+    pool, marks = [word() for _ in range(9000)], [word() for _ in range(12)]
+    rows = []
+    for i in range(720):
+        words = rng.sample(pool, 5000) + (rng.sample(marks, 5) if i % 8 == 0 else [])
+        rows.append((i, " ".join(words), int(i % 8 == 0)))
+    data = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(8)
+    model = toxicity.fit(data, data.filter("doc_id < 480").select("doc_id", "toxic"))
+    assert set(marks) <= set(model.names)
+    score = model.scorer()
+    assert all((score(t) >= toxicity.THRESHOLD) == bool(toxic) for i, t, toxic in rows if i >= 480)
+
+
+def test_toxicity_trains_on_weaker_names(spark):
+    """A few positives, whose words are in excess, but none for sure."""
+    marks = ["mordwort", "hasswort", "schimpf"]
+    rows = [(i, f"wort satz text {i} {['eins', 'zwei', 'drei'][i % 3]}" + (f" {marks[i // 8 % 3]}" if i % 8 == 0 else ""), int(i % 8 == 0))
+            for i in range(72)]
+    data = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    score = toxicity.fit(data, data.select("doc_id", "toxic")).scorer()
+    assert min(score(t) for _, t, toxic in rows if toxic) > max(score(t) for _, t, toxic in rows if not toxic) > 0
+
+
 def test_risk_is_corrected_by_the_prior():
     """Positives hidden in the unlabelled part don't drag their feature down."""
     rows = [np.array([0])] * 50 + [np.array([0])] * 30 + [np.array([1])] * 270

@@ -13,12 +13,14 @@ each in a Spark task, and their probabilities averaged.
 
 Features are words and the first 4 to 9 letters of words, present or not.  Those
 that occur in positives are counted over all documents (a partial count per task),
-and the ones with the clearest excess in positives are kept.  Only the training
-sample is bounded (``MAX_POSITIVE``, ``MAX_UNLABELLED``); counts, prior and scores
-cover every document.
+and the ones with the clearest excess in positives are kept, however rare; where no
+excess is sure, the weaker names are.  Bounded are the training sample
+(``MAX_POSITIVE``, ``MAX_UNLABELLED``), of whose positives the names are taken, and
+the names of a classifier (``MAX_FEATURES``); counts, prior and scores cover every
+document.
 
 Defined cases: NULL and empty texts have no features and get the score of the bias;
-without a positive every score is 0; labels with NULL values are ignored, and a
+without a positive, or a name in excess, every score is 0; labels with NULL values are ignored, and a
 document labelled more than once is toxic if any label says so; a NULL id counts as
 the empty text for the fold; repeated rows are scored each; an empty table gives no
 rows; lang, source, ids and labels are never features.
@@ -45,7 +47,6 @@ THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8, 9)
 MAX_POSITIVE = 20_000       # documents of the training sample
 MAX_UNLABELLED = 40_000
-MAX_CANDIDATES = 50_000     # features counted over the corpus
 MAX_FEATURES = 4_096        # features of the classifiers
 MIN_POSITIVE = 3            # positives that hold a feature, at least
 MIN_SHARE = 0.6             # of the documents with a feature, estimated to be toxic
@@ -164,6 +165,29 @@ class Model:
         return score
 
 
+def divergence(n: Column, m: Column, n_pos: int, found: int) -> Column:
+    """How surely a feature is more frequent in positives (n of n_pos) than in all
+    documents (m of found): n_pos * KL(p || u), the exponent of the Chernoff bound of
+    that many positives by chance."""
+    p, u = (F.least(x / F.lit(float(of)), F.lit(1 - 1e-9)) for x, of in ((n, n_pos), (m, found)))
+    return F.lit(float(n_pos)) * (p * F.log(p / u) + (1 - p) * F.log((1 - p) / (1 - u)))
+
+
+def in_excess(docs: DataFrame, seen: DataFrame, n_pos: int, found: int, prior: float, least: float) -> list[str]:
+    """The names among ``seen`` (feature, n: positives that hold it) that are pure
+    enough and in excess by more than ``least``, the clearest first.  All of ``seen``,
+    the names of a bounded sample, goes to the tasks that count ``docs``."""
+    names = sorted(r["feature"] for r in seen.select("feature").collect())
+    if not names:
+        return []
+    n, m = F.col("n"), F.col("m")
+    rows = seen.join(feature_counts(docs, names).withColumnRenamed("n", "m"), "feature")
+    p, u = n / F.lit(float(n_pos)), m / F.lit(float(found))
+    rows = rows.filter((F.lit(prior) * p >= F.lit(MIN_SHARE) * u) & (p > u))
+    rows = rows.withColumn("excess", divergence(n, m, n_pos, found)).filter(F.col("excess") > least)
+    return [r["feature"] for r in rows.orderBy(F.col("excess").desc(), "feature").limit(MAX_FEATURES).collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on ``docs`` (doc_id, text) with the labels (doc_id, toxic) given."""
     toxic = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("label_id"))
@@ -181,23 +205,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     positive = materialize(positive, "toxic-positives")
     if positive.isEmpty():
         return Model([], [])
-    # copies of a text are one; at most MAX_CANDIDATES names reach the driver, then counts of those
+    # copies of a text are one
     distinct = positive.dropDuplicates(["text"])
     n_pos = distinct.count()
-    seen = feature_counts(distinct, None).filter(F.col("n") >= MIN_POSITIVE)
-    seen = {r["feature"]: r["n"] for r in seen.orderBy(F.col("n").desc(), "feature").limit(MAX_CANDIDATES).collect()}
-    names = sorted(seen)
-    everywhere = {r["feature"]: r["n"] for r in feature_counts(docs, names).collect()}
-
-    def excess(name: str) -> float:
-        """How surely a feature is more frequent in positives: n * KL(p || u), the
-        exponent of the Chernoff bound of that many positives by chance."""
-        p, u = min(seen[name] / n_pos, 1 - 1e-9), min(everywhere[name] / found, 1 - 1e-9)
-        return 0.0 if prior * p < MIN_SHARE * u else n_pos * (p * np.log(p / u) + (1 - p) * np.log((1 - p) / (1 - u)))
-
-    ranked = sorted(((excess(x), x) for x in names), key=lambda x: (-x[0], x[1]))
+    seen = materialize(feature_counts(distinct, None).filter(F.col("n") >= MIN_POSITIVE), "toxic-names")
     # Bonferroni over the names tried
-    chosen = [x for e, x in ranked[:MAX_FEATURES] if e >= np.log(len(names) / CHANCE)]
+    surely = float(np.log(max(seen.count(), 1) / CHANCE))
+    # no name occurs in fewer documents than in positives: what can't pass for sure is not counted
+    able = seen.filter(divergence(F.col("n"), F.col("n"), n_pos, found) >= surely)
+    chosen = in_excess(docs, able, n_pos, found, prior, surely) or in_excess(docs, seen, n_pos, found, prior, 0.0)
     if not chosen:
         return Model([], [])
     unlabelled = rows.filter(F.col("u") < min(1.0, MAX_UNLABELLED / max(found, 1))).limit(MAX_UNLABELLED)
