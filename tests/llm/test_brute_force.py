@@ -221,6 +221,20 @@ def test_toxicity_trains_on_weaker_names(spark):
     assert min(score(t) for _, t, toxic in rows if toxic) > max(score(t) for _, t, toxic in rows if not toxic) > 0
 
 
+def test_toxicity_counts_a_copied_text_once(toxic_docs, spark):
+    """A toxic text with thousands of copies keeps its marks; the other words' model
+    is that of the corpus without the copies."""
+    hot = [(0, "wort satz hotmark mordwort", 1)] * 3000
+    marks = [(i, f"satz text {i} hotmark " + "abc"[i % 3], 1) for i in range(1000, 1012)]
+    few = toxic_docs.unionByName(spark.createDataFrame(marks + hot[:1], "doc_id bigint, text string, toxic int"))
+    many = few.unionByName(spark.createDataFrame(hot[1:], "doc_id bigint, text string, toxic int")
+                           .withColumn("doc_id", F.monotonically_increasing_id() + 100_000))
+    a, b = (toxicity.fit(x.select("doc_id", "text"), x.select("doc_id", "toxic")) for x in (few, many))
+    assert "hotmark" in b.names and a.names == b.names
+    assert np.allclose(a.weights, b.weights)
+    assert b.scorer()(hot[0][1]) >= toxicity.THRESHOLD
+
+
 def test_risk_is_corrected_by_the_prior():
     """Positives hidden in the unlabelled part don't drag their feature down."""
     rows = [np.array([0])] * 50 + [np.array([0])] * 30 + [np.array([1])] * 270

@@ -7,8 +7,8 @@ the class prior p the risk of a classifier g is
 
 an estimate that corrects the unlabelled part for the toxic documents hidden in it;
 while that part is negative the step goes the other way, which keeps the classifier
-from fitting single positives.  The prior is the share of toxic rows among the
-labelled ones.  Several linear numpy classifiers are trained on samples of their own,
+from fitting single positives.  The prior is the share of toxic texts among the
+labelled ones.  Copies of a text count once in the prior, the counts and the sample.  Several linear numpy classifiers are trained on samples of their own,
 each in a Spark task, and their probabilities averaged.
 
 Features are words and the first 4 to 9 letters of words, present or not.  Those
@@ -16,12 +16,13 @@ that occur in positives are counted over all documents (a partial count per task
 and the ones with the clearest excess in positives are kept, however rare; where no
 excess is sure, the weaker names are.  Bounded are the training sample
 (``MAX_POSITIVE``, ``MAX_UNLABELLED``), of whose positives the names are taken, and
-the names of a classifier (``MAX_FEATURES``); counts, prior and scores cover every
-document.
+the names of a classifier (``MAX_FEATURES``); counts and prior cover every
+text, scores every document.
 
 Defined cases: NULL and empty texts have no features and get the score of the bias;
 without a positive, or a name in excess, every score is 0; labels with NULL values are ignored, and a
-document labelled more than once is toxic if any label says so; a NULL id counts as
+document labelled more than once, and a text with several documents, is toxic if any
+label says so; a NULL id counts as
 the empty text for the fold; repeated rows are scored each; an empty table gives no
 rows; lang, source, ids and labels are never features.
 """
@@ -165,6 +166,11 @@ class Model:
         return score
 
 
+def text_key(text: Column) -> Column:
+    """The same for equal texts; NULL is an empty text."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def divergence(n: Column, m: Column, n_pos: int, found: int) -> Column:
     """How surely a feature is more frequent in positives (n of n_pos) than in all
     documents (m of found): n_pos * KL(p || u), the exponent of the Chernoff bound of
@@ -192,31 +198,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on ``docs`` (doc_id, text) with the labels (doc_id, toxic) given."""
     toxic = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("label_id"))
              .agg((F.max("toxic") == 1).alias("toxic")))
-    share = toxic.agg(F.count_if("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
+    # copies of a text are one, toxic if any of them is: the sample, the prior and all
+    # counts are of distinct texts
+    texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey"))
+    keys = (texts.select("doc_id", "tkey").join(toxic, F.col("doc_id") == F.col("label_id"), "left")
+            .groupBy("tkey").agg(F.max("toxic").alias("toxic")))
+    keys = materialize(keys, "toxic-keys")
+    share = keys.agg(F.count_if("toxic").alias("p"), F.count("toxic").alias("n"), F.count(F.lit(1)).alias("found")).first()
     if not share["p"]:
         return Model([], [])
-    prior = min(0.99, share["p"] / share["n"])
-    marked = toxic.filter("toxic").select("label_id")
-    rows = docs.select("doc_id", "text", (F.conv(F.substring(order_hash(F.col("doc_id"), salt="pu:"), 1, 8), 16, 10)
-                                          .cast("double") / 2.0**32).alias("u"))
-    found = docs.count()
-    positive = rows.join(marked, F.col("doc_id") == F.col("label_id"), "left_semi")
-    positive = positive.filter(F.col("u") < min(1.0, MAX_POSITIVE / share["p"])).limit(MAX_POSITIVE)
+    prior, found = min(0.99, share["p"] / share["n"]), share["found"]
+    u = F.conv(F.substring(order_hash(F.col("tkey"), salt="pu:"), 1, 8), 16, 10).cast("double") / 2.0**32
+    marked = keys.filter("toxic").filter(u < min(1.0, MAX_POSITIVE / share["p"])).limit(MAX_POSITIVE).select("tkey")
+    # bounded: a key for each positive of the sample
+    positive = texts.join(F.broadcast(marked), "tkey", "left_semi").dropDuplicates(["tkey"]).select("text")
     positive = materialize(positive, "toxic-positives")
-    if positive.isEmpty():
+    n_pos = positive.count()
+    if not n_pos:
         return Model([], [])
-    # copies of a text are one
-    distinct = positive.dropDuplicates(["text"])
-    n_pos = distinct.count()
-    seen = materialize(feature_counts(distinct, None).filter(F.col("n") >= MIN_POSITIVE), "toxic-names")
+    distinct = texts.select("tkey", "text").dropDuplicates(["tkey"])
+    seen = materialize(feature_counts(positive, None).filter(F.col("n") >= MIN_POSITIVE), "toxic-names")
     # Bonferroni over the names tried
     surely = float(np.log(max(seen.count(), 1) / CHANCE))
     # no name occurs in fewer documents than in positives: what can't pass for sure is not counted
     able = seen.filter(divergence(F.col("n"), F.col("n"), n_pos, found) >= surely)
-    chosen = in_excess(docs, able, n_pos, found, prior, surely) or in_excess(docs, seen, n_pos, found, prior, 0.0)
+    chosen = in_excess(distinct, able, n_pos, found, prior, surely) or in_excess(distinct, seen, n_pos, found, prior, 0.0)
     if not chosen:
         return Model([], [])
-    unlabelled = rows.filter(F.col("u") < min(1.0, MAX_UNLABELLED / max(found, 1))).limit(MAX_UNLABELLED)
+    unlabelled = (texts.select("tkey", "text").filter(u < min(1.0, MAX_UNLABELLED / found))
+                  .dropDuplicates(["tkey"]).limit(MAX_UNLABELLED))
     sample = (positive.select("text", F.lit(True).alias("positive"))
               .unionByName(unlabelled.select("text", F.lit(False).alias("positive"))))
 
