@@ -58,6 +58,32 @@ def test_suffix_dedup_of_runs(spark):
     assert got == [(*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in plain_dedup(rows)]
 
 
+def test_suffix_dedup_of_a_hot_line(spark, monkeypatch):
+    """A line in many contexts: no sort takes more than SORT_BYTES of one minimizer."""
+    rng = random.Random(5)
+    other = lambda n: "".join(rng.choice("aeioustrn ") for _ in range(n))
+    line = "the very common line that a third of all documents hold, "
+    rows = [(i, other(60) + (line if i % 3 else line[:40]) + other(60) + " " * (i % 70)) for i in range(120)]
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 2000)
+    taken, judged = [], suffix_dedup.judged
+
+    def watched(parts, tasks):
+        taken.extend(parts.groupBy("mkey").agg(F.sum(F.octet_length("bytes")).alias("t")).collect())
+        return judged(parts, tasks)
+
+    monkeypatch.setattr(suffix_dedup, "judged", watched)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = sorted(map(tuple, suffix_dedup.dedup_report(docs).collect()))
+    assert got == [(*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in plain_dedup(rows)]
+    assert taken and max(r["t"] for r in taken) <= 2000
+
+
+def test_suffix_dedup_with_all_minimizers_hot(docs, doc_rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 1)
+    got = sorted(map(tuple, suffix_dedup.dedup_report(docs).collect()), key=repr)
+    assert got == sorted(((*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in plain_dedup([r[:2] for r in doc_rows])), key=repr)
+
+
 def test_two_stage_order():
     rng = random.Random(3)
     for _ in range(200):

@@ -16,7 +16,9 @@ id is removed; matches never cross documents and are judged on the input.
    task, and suffix-sorted there in two stages: suffixes smaller than their successor
    are sorted directly, all others are induced by one scan of the buckets from the
    smallest letter up.  Runs of adjacent suffixes with a common prefix of 50 bytes are
-   the repeated strings; each gets the smallest id of its run.
+   the repeated strings; each gets the smallest id of its run.  A minimizer whose
+   stretches alone exceed ``SORT_BYTES`` isn't sorted: its 50-byte strings are
+   aggregated to their smallest id and joined with their places.
 5. Stretches meet their occurrences in a join (hot ones are skewed keys that Spark
    splits), removed ranges are united per text, and what is left is digested.
 
@@ -366,6 +368,23 @@ def judged(parts: DataFrame, tasks: int) -> DataFrame:
         sort, "mkey bigint, h bigint, owner bigint, n bigint, spans array<struct<a:int,b:int>>")
 
 
+def judged_apart(parts: DataFrame) -> DataFrame:
+    """``judged`` for stretches of hot minimizers: their 50-byte strings are dealt by
+    themselves.  The smallest id of a string is a partial aggregate, and it meets the
+    string's places in a join, so a string that many stretches hold is split as well."""
+    last = F.octet_length("bytes") - SPAN
+    one = parts.select("mkey", "h", "owner", F.posexplode(F.transform(
+        F.sequence(F.lit(1), last + 1), lambda a: F.substring(F.col("bytes"), a, F.lit(SPAN)))).alias("at", "s"))
+    least = one.groupBy("s").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least < most")
+    hits = one.join(least, "s").filter("owner > least")
+    # the starts in a stretch are less than SPAN apart: one range
+    spans = hits.groupBy("mkey", "h", "owner").agg(F.array(F.struct(
+        F.min("at").alias("a"), (F.max("at") + SPAN).cast("int").alias("b"))).alias("spans"))
+    out = parts.select("mkey", "h", "owner", "n").join(spans, ["mkey", "h", "owner"], "left")
+    return (out.filter((F.col("n") > 1) | F.col("spans").isNotNull())
+            .withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>"))))
+
+
 # ------------------------------------------------------------------ Spark
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -403,7 +422,11 @@ def removed_spans(keyed: DataFrame, base: DataFrame) -> DataFrame:
     parts = found.groupBy("mkey", "bytes").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n"))
     parts = materialize(parts.withColumn("h", F.xxhash64("bytes")), "distinct-stretches")
     size = parts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).alias("t")).first()["t"]
-    known = judged(parts, max(1, math.ceil(size / SORT_BYTES)))
+    # bounded: at most a minimizer for each SORT_BYTES of distinct stretches
+    hot = parts.groupBy("mkey").agg(F.sum(F.octet_length("bytes")).alias("t")).filter(F.col("t") > SORT_BYTES)
+    hot = F.broadcast(materialize(hot.select("mkey"), "hot-minimizers"))
+    known = judged(parts.join(hot, "mkey", "left_anti"), max(1, math.ceil(size / SORT_BYTES)))
+    known = known.unionByName(judged_apart(parts.join(hot, "mkey", "left_semi")))
     places = found.select("mkey", F.xxhash64("bytes").alias("h"), "doc", "tkey", "pos", F.octet_length("bytes").alias("size"))
     met = places.join(known, ["mkey", "h"]).filter((F.col("doc") > F.col("owner")) | (F.size("spans") > 0))
     whole = F.array(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("size")).alias("b")))
