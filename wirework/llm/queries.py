@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, bpe, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity, unigram, warc
+from . import (bitslice, bpe, fim, mixing, ngram_join, onebit, quality, sharding, suffix_dedup, toxicity, unigram,
+               url_filter, warc)
 from .common import table
 
 
@@ -51,6 +52,18 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.mining_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
@@ -62,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op3_quality": op3_quality,
     "op10_mixing": op10_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE: dict[str, str] = {
@@ -70,4 +86,7 @@ ORACLE: dict[str, str] = {
     "op2_warc": warc.WARC_SQL,
     "op3_quality": quality.QUALITY_SQL,
     "op10_mixing": mixing.MIXING_SQL,
+    "op11_hard_negatives": onebit.MINING_SQL,
+    "op12_fill_in_middle": fim.FIM_SQL,
+    "op13_url_filter": url_filter.URL_SQL,
 }
