@@ -10,7 +10,7 @@ from wirework.functions import columns as fc
 from wirework.operators import changes, listings, notify, performance, quality, stats
 from wirework.operators.task_changes import apply_task_changes
 from wirework.plans.ids import assign_ids
-from wirework.sources.schemas import SCHEMAS
+from wirework.sources.schemas import CHANGE_CORE, SCHEMAS
 from wirework.sources.tables import TABLE_NAMES, Tables, empty, load_tables, seed_tables
 
 D = dt.date
@@ -58,7 +58,7 @@ def test_load_tables_by_uri(spark, tmp_path):
 
 def test_change_before_1970_comes_after_the_current_row(spark):
     T = tables(spark, users=[user(1)], tasks=[task(1)])
-    ch = spark.createDataFrame([(1, TS(1969, 12, 30), 1, "status", "In Progress", None)], SCHEMAS["task_changes"])
+    ch = spark.createDataFrame([(1, TS(1969, 12, 30), 1, "status", "In Progress", None)], CHANGE_CORE)
     new, rejected, _ = apply_task_changes(T.tasks, ch, T.users)
     assert new.first().status == "In Progress" and rejected.count() == 0
 

@@ -386,9 +386,8 @@ def status_change_log(tasks: DataFrame, changes: DataFrame, logs: DataFrame) ->
     applied and logged ("Updated task {id} status to {status}")."""
     ok = (changes.filter((F.col("kind") == "status") & status_valid("status"))
           .join(tasks.select(F.col("id").alias("task_id")), "task_id", "left_semi"))
-    if "user_id" not in ok.columns:
-        ok = ok.withColumn("user_id", F.lit(None).cast("bigint"))
-    ok = ok.withColumnRenamed("changed_at", "created_at")
+    actor = next((c for c in ("user_id", "actor_id") if c in ok.columns), None)
+    ok = ok.withColumns({"user_id": F.col(actor) if actor else F.lit(None).cast("bigint"), "created_at": F.col("changed_at")})
     return activity_entries(ok, "Task Status Update", ["task_id", "status"], logs,
                             ["created_at", "task_id", "seq"])
 

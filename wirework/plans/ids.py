@@ -1,34 +1,26 @@
 """Dense ids for new rows without funnelling them through one partition.
 
 ``row_number() OVER (ORDER BY k)`` with no partition key moves every row to a
-single task.  Instead rows are cut into key-range buckets (equal width between
-the min and max of the first order column, a one-row scalar subquery), each
-bucket numbers its own rows with a partitioned window, and a per-bucket count
-(one row per bucket, a bounded side) gives each bucket its offset.  Ids follow
-the global order: new id = ``start + rank(order)``, the numbers a sequential
-AUTO_INCREMENT hands out when rows arrive in that order.
-
-Everything depends on the data only (not on physical partition numbers, which
-AQE may coalesce differently in two reads of one shuffle), so a re-run after a
-lost executor hands out the same ids.
+single task.  Instead the rows are range-partitioned by all order columns: Spark
+samples them, so the chunks are about equal whatever the values are, with outliers
+and with many rows of one first column too, and adaptive execution merges chunks that
+turn out small.  Each chunk is sorted and its rows are counted through
+(``monotonically_increasing_id``), and the result is written once in the shared folder:
+readers see the same chunks, and a lost executor changes no id.  The chunks' sizes
+(one row per chunk, a bounded side) give each its offset.  Ids follow the global
+order: new id = ``start + rank(order)``, the numbers a sequential AUTO_INCREMENT
+hands out when rows arrive in that order.  NULL keys sort first.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_EPOCH = "1970-01-01 00:00:00"
-
 
-def _as_number(c: Column, dt: T.DataType) -> Column:
-    if isinstance(dt, (T.TimestampNTZType, T.TimestampType)):
-        epoch = F.lit(_EPOCH).cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, c.cast("timestamp_ntz")).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
-    return c.cast("double")
+#: Bits of a position that count rows inside a chunk (those of monotonically_increasing_id).
+CHUNK_BITS = 33
 
 
 def reuse(df: DataFrame) -> DataFrame:
@@ -41,16 +33,32 @@ def reuse(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a reliable checkpoint in the cluster's shared
-    checkpoint folder (set by the platform; tests set their own).  Used where a
-    batch is read several times: it is computed once, and recomputation after a
-    lost executor reads the same rows back."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        from ..session import ensure_checkpoint_dir
+    """Write ``df`` once as Parquet in the cluster's shared checkpoint folder (set by
+    the platform; tests set their own) and read it back.  Used where a batch is read
+    several times: it is computed once, lineage is cut, readers prune columns, and
+    recomputation after a lost executor reads the same rows."""
+    from ..session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def positioned(df: DataFrame, order: list[str], chunks: int | None = None, pos_col: str = "_pos") -> DataFrame:
+    """``df`` written once with ``pos_col`` (bigint), which grows in ``order`` (unique);
+    its upper bits (``chunk_of``) number chunks of about equal size, its lower bits
+    the rows of a chunk from 0.  ``chunks`` is the most there can be
+    (``spark.sql.shuffle.partitions`` by default)."""
+    cut = df.repartitionByRange(*([chunks] if chunks else []), *order).sortWithinPartitions(*order)
+    return materialize(cut.withColumn(pos_col, F.monotonically_increasing_id()))
+
+
+def chunk_of(pos: str) -> Column:
+    return F.shiftright(pos, CHUNK_BITS).cast("int")
+
 
-        ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def row_of(pos: str) -> Column:
+    return F.col(pos).bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))
 
 
 def assign_ids(df: DataFrame, order: list[str], start: DataFrame | int, id_col: str = "id",
@@ -58,30 +66,18 @@ def assign_ids(df: DataFrame, order: list[str], start: DataFrame | int, id_col:
     """Add ``id_col`` = start + 1-based rank by ``order`` (order must be unique).
 
     ``start`` is an int or a one-row DataFrame with column ``start_col`` (e.g.
-    ``max_id(table)``).  The first order column must be numeric, date or
-    timestamp.  The batch is kept once (it is read three times).
+    ``max_id(table)``).
     """
-    df = reuse(df)
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    first = order[0]
-    key = _as_number(F.col(first), df.schema[first].dataType)
-    span = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()   # one row
-    width = (span["hi"] - span["lo"]) / F.lit(n) + F.lit(1e-9)
-    bucketed = df.withColumn(
-        "_b", F.when(key.isNull(), F.lit(-1))
-              .otherwise(F.least(F.floor((key - span["lo"]) / width), F.lit(n - 1)).cast("int")))   # NULL keys sort first
-    w = Window.partitionBy("_b").orderBy(*order)
-    numbered = bucketed.withColumn("_pos", F.row_number().over(w))
-    counts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))   # <= n rows
+    rows = positioned(df, order, buckets).withColumn("_b", chunk_of("_pos"))
+    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))                       # a row per chunk
     prior = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"))
-    out = numbered.join(F.broadcast(offsets), "_b")
+    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"))
     if isinstance(start, int):
         base: Column = F.lit(start)
     else:
         base = F.coalesce(start.select(F.col(start_col)).scalar(), F.lit(0))   # one-row subquery
-    out = out.withColumn(id_col, (base + F.col("_off") + F.col("_pos")).cast("bigint"))
+    out = rows.join(F.broadcast(offsets), "_b")
+    out = out.withColumn(id_col, (base + F.col("_off") + row_of("_pos") + 1).cast("bigint"))
     return out.drop("_b", "_pos", "_off")
 
 
@@ -93,22 +89,14 @@ def max_id(df: DataFrame, col: str = "id") -> DataFrame:
 def prefix_sum(df: DataFrame, order: list[str], value: str, out_col: str,
                buckets: int | None = None) -> DataFrame:
     """Add ``out_col`` = sum of ``value`` over all rows strictly before each row
-    in ``order`` (order must be unique), computed per key-range bucket plus a
-    per-bucket offset, like ``assign_ids``; no single-partition window."""
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    first = order[0]
-    key = _as_number(F.col(first), df.schema[first].dataType)
-    span = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()   # one row
-    width = (span["hi"] - span["lo"]) / F.lit(n) + F.lit(1e-9)
-    bucketed = df.withColumn(
-        "_b", F.when(key.isNull(), F.lit(-1))
-              .otherwise(F.least(F.floor((key - span["lo"]) / width), F.lit(n - 1)).cast("int")))
-    w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = bucketed.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
-    totals = bucketed.groupBy("_b").agg(F.sum(value).alias("_t"))
+    in ``order`` (order must be unique), computed per chunk plus a per-chunk
+    offset, like ``assign_ids``; no single-partition window."""
+    rows = positioned(df, order, buckets).withColumn("_b", chunk_of("_pos"))
+    w = Window.partitionBy("_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    totals = rows.groupBy("_b").agg(F.sum(value).alias("_t"))
     prior = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_b", F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_off"))
     return (within.join(F.broadcast(offsets), "_b")
             .withColumn(out_col, (F.col("_off") + F.col("_in")).cast("bigint"))
-            .drop("_b", "_in", "_off"))
+            .drop("_b", "_in", "_off", "_pos"))

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def left_lookup(df: DataFrame, key: str, lookup: DataFrame) -> DataFrame:
-    """``df`` left-joined with ``lookup`` on ``key``; ``df`` is read once."""
-    spread = F.when(F.col(key).isNull(), F.xxhash64(*df.columns)).otherwise(F.lit(0))
+def left_lookup(df: DataFrame, key: str, lookup: DataFrame, spread_by: list[str] | None = None) -> DataFrame:
+    """``df`` left-joined with ``lookup`` on ``key``; ``df`` is read once.  ``spread_by``
+    are columns that tell rows apart (all by default)."""
+    spread = F.when(F.col(key).isNull(), F.xxhash64(*(spread_by or df.columns))).otherwise(F.lit(0))
     return (df.withColumn("_spread", spread)
             .join(lookup.withColumn("_spread", F.lit(0).cast("bigint")), [key, "_spread"], "left").drop("_spread"))

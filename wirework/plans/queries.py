@@ -677,7 +677,7 @@ def _mark_read(T):
 @register("activity_entries", tables=("task_changes", "tasks", "activity_logs"), oracle="""
 SELECT (SELECT COALESCE(MAX(id), 0) FROM activity_logs)
          + row_number() OVER (ORDER BY c.changed_at, c.task_id, c.seq) AS id,
-       CAST(NULL AS BIGINT) AS user_id, 'Task Status Update' AS action,
+       c.actor_id AS user_id, 'Task Status Update' AS action,
        'Updated task ' || CAST(c.task_id AS VARCHAR) || ' status to ' || c.status AS description,
        CAST(NULL AS VARCHAR) AS ip_address, c.changed_at AS created_at
 FROM task_changes c
@@ -694,54 +694,61 @@ def _activity_entries(T):
 from ..operators import task_changes as tch  # noqa: E402
 
 _STATUSES = "('Pending', 'Assigned', 'In Progress', 'Completed', 'Cancelled')"
-_OPEN = "COALESCE(f.status NOT IN ('Completed', 'Cancelled'), true)"
-_DIFFERS = f"(ch.ok AND ch.kind = 'edit' AND {_OPEN} AND COALESCE(ch.s, '') <> '' AND ch.s IS DISTINCT FROM f.status)"
+_LOAD = ["title", "description", "priority", "scheduled_date", "scheduled_time_start", "scheduled_time_end", "estimated_hours"]
+_STATE = ["status", "assigned_to", "actual_start_time", "actual_end_time", *_LOAD]
+# one request after another: what each does to the row that the one before it left
 _FOLD = f"""
 WITH RECURSIVE
 ch_all AS (
-  SELECT c.task_id, c.changed_at, c.seq, c.kind, c.status AS s, c.assigned_to AS a,
-         CASE WHEN c.kind = 'assign' THEN COALESCE(c.assigned_to IN (
-                   SELECT id FROM users WHERE role = 'Electrician' AND status = 'Active'), false)
-              WHEN c.kind = 'status' THEN COALESCE(c.status IN {_STATUSES}, false)
-              WHEN c.kind = 'edit' THEN NOT (COALESCE(c.status, '') <> '' AND c.status NOT IN {_STATUSES})
-              WHEN c.kind = 'complete' THEN true ELSE false END AS ok,
-         c.task_id IN (SELECT id FROM tasks) AS known
+  SELECT c.*, c.task_id IN (SELECT id FROM tasks) AS known,
+         CASE WHEN c.kind = 'assign' THEN CASE WHEN c.assigned_to IS NULL OR c.assigned_to NOT IN (
+                   SELECT id FROM users WHERE role = 'Electrician' AND status = 'Active') THEN 'invalid or inactive electrician' END
+              WHEN c.kind = 'status' THEN CASE WHEN c.status IS NULL OR c.status NOT IN {_STATUSES} THEN 'invalid status value' END
+              WHEN c.kind = 'edit' THEN CASE
+                WHEN COALESCE(c.title, '') = '' OR c.priority IS NULL OR c.priority NOT IN ('High', 'Medium', 'Low')
+                  OR c.scheduled_date IS NULL OR c.estimated_hours IS NULL THEN 'validation failed'
+                WHEN COALESCE(c.status, '') <> '' AND c.status NOT IN {_STATUSES} THEN 'invalid status value' END
+              WHEN c.kind = 'complete' THEN NULL ELSE 'unknown change kind' END AS why
   FROM task_changes c),
 ch AS (
-  SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY changed_at, seq) AS k
-  FROM ch_all WHERE known),
-fold(task_id, k, status, assigned_to, start_t, end_t, upd, in_status, in_assignee, differs) AS (
-  SELECT t.id, 0, t.status, t.assigned_to, t.actual_start_time, t.actual_end_time, t.updated_at,
-         CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN)
-  FROM tasks t WHERE t.id IN (SELECT task_id FROM ch)
+  SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY changed_at, seq) AS k FROM ch_all WHERE known),
+fold(task_id, k, {", ".join(_STATE)}, updated_at, in_status, in_assignee, refused, unassigns) AS (
+  SELECT id, 0, {", ".join(_STATE)}, updated_at, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), false
+  FROM tasks WHERE id IN (SELECT task_id FROM ch)
   UNION ALL
-  SELECT f.task_id, ch.k,
-    CASE WHEN ch.ok AND ch.kind = 'assign' THEN 'Assigned'
-         WHEN ch.ok AND ch.kind = 'status' THEN ch.s
-         WHEN ch.ok AND ch.kind = 'complete' THEN 'Completed'
-         WHEN {_DIFFERS} THEN ch.s
-         ELSE f.status END,
-    CASE WHEN ch.ok AND ch.kind = 'assign' THEN ch.a
-         WHEN {_DIFFERS} AND ch.s = 'Pending' THEN NULL
-         ELSE f.assigned_to END,
-    CASE WHEN ch.ok AND ch.kind = 'status' AND ch.s = 'In Progress' THEN ch.changed_at
-         WHEN {_DIFFERS} AND ch.s = 'In Progress' THEN ch.changed_at ELSE f.start_t END,
-    CASE WHEN ch.ok AND ch.kind = 'status' AND ch.s = 'Completed' THEN ch.changed_at
-         WHEN ch.ok AND ch.kind = 'complete' THEN ch.changed_at
-         WHEN {_DIFFERS} AND ch.s = 'Completed' THEN ch.changed_at ELSE f.end_t END,
-    CASE WHEN ch.ok AND (ch.kind <> 'edit' OR {_OPEN}) THEN ch.changed_at ELSE f.upd END,
-    f.status, f.assigned_to, {_DIFFERS}
-  FROM fold f JOIN ch ON ch.task_id = f.task_id AND ch.k = f.k + 1)"""
+  SELECT task_id, k, {", ".join(f"n_{c}" for c in _STATE)},
+         CASE WHEN {" OR ".join(f"n_{c} IS DISTINCT FROM {c}" for c in _STATE)} THEN changed_at ELSE updated_at END,
+         status, assigned_to, refused, refused IS NULL AND sets AND asked = 'Pending'
+  FROM (
+    SELECT *,
+      CASE WHEN refused IS NOT NULL THEN status WHEN kind = 'assign' THEN 'Assigned' WHEN kind = 'complete' THEN 'Completed'
+           WHEN kind = 'status' OR sets THEN asked ELSE status END AS n_status,
+      CASE WHEN refused IS NOT NULL THEN assigned_to WHEN kind = 'assign' THEN to_whom WHEN sets AND asked = 'Pending' THEN NULL
+           ELSE assigned_to END AS n_assigned_to,
+      CASE WHEN refused IS NULL AND (kind = 'status' OR sets) AND asked = 'In Progress' THEN changed_at ELSE actual_start_time END AS n_actual_start_time,
+      CASE WHEN refused IS NULL AND (kind = 'complete' OR (kind = 'status' OR sets) AND asked = 'Completed') THEN changed_at
+           ELSE actual_end_time END AS n_actual_end_time,
+      {", ".join(f"CASE WHEN refused IS NULL AND kind = 'edit' THEN e_{c} ELSE {c} END AS n_{c}" for c in _LOAD)}
+    FROM (
+      SELECT f.task_id, ch.k, {", ".join("f." + c for c in _STATE)}, f.updated_at, ch.kind, ch.changed_at,
+             ch.status AS asked, ch.assigned_to AS to_whom, {", ".join(f"ch.{c} AS e_{c}" for c in _LOAD)},
+             ch.kind = 'edit' AND COALESCE(ch.status, '') <> '' AND ch.status IS DISTINCT FROM f.status AS sets,
+             CASE WHEN ch.why = 'validation failed' THEN ch.why
+                  WHEN ch.kind = 'edit' AND f.status IN ('Completed', 'Cancelled') THEN 'cannot update ' || lower(f.status) || ' tasks'
+                  WHEN ch.kind = 'complete' AND ch.actor_role = 'Electrician' AND ch.actor_id IS DISTINCT FROM f.assigned_to
+                    THEN 'not assigned to this task'
+                  ELSE ch.why END AS refused
+      FROM fold f JOIN ch ON ch.task_id = f.task_id AND ch.k = f.k + 1) AS asked) AS answered),
+took AS (
+  SELECT ch.*, f.in_status, f.in_assignee, f.unassigns, f.refused IS NULL AS applied, f.refused
+  FROM fold f JOIN ch ON ch.task_id = f.task_id AND ch.k = f.k WHERE f.k > 0)"""
 
 _TASK_COLS = ["id", "task_code", "title", "description", "customer_id", "priority", "status",
               "created_by", "assigned_to", "scheduled_date", "scheduled_time_start",
               "scheduled_time_end", "estimated_hours", "actual_start_time", "actual_end_time",
               "created_at", "updated_at"]
-_FOLDED = {"status": "status", "assigned_to": "assigned_to", "actual_start_time": "start_t",
-           "actual_end_time": "end_t", "updated_at": "upd"}
-_FINAL_SEL = ", ".join(
-    f"CASE WHEN fl.task_id IS NOT NULL THEN fl.{_FOLDED[c]} ELSE t.{c} END AS {c}" if c in _FOLDED
-    else f"t.{c}" for c in _TASK_COLS)
+_FINAL_SEL = ", ".join(f"CASE WHEN fl.task_id IS NOT NULL THEN fl.{c} ELSE t.{c} END AS {c}" if c in (*_STATE, "updated_at")
+                       else f"t.{c}" for c in _TASK_COLS)
 
 
 @register("apply_task_changes", tables=("tasks", "task_changes", "users"), oracle=_FOLD + f""",
@@ -753,47 +760,113 @@ def _apply_task_changes(T):
 
 
 @register("task_change_rejects", tables=("tasks", "task_changes", "users"), oracle=_FOLD + """
-SELECT * FROM (
-  SELECT ch.task_id, ch.changed_at, ch.seq, ch.kind, ch.s AS status, ch.a AS assigned_to,
-    CASE WHEN NOT ch.ok AND ch.kind = 'assign' THEN 'invalid or inactive electrician'
-         WHEN NOT ch.ok AND ch.kind = 'status' THEN 'invalid status value'
-         WHEN ch.kind = 'edit' AND f.in_status IN ('Completed', 'Cancelled')
-           THEN 'cannot update ' || lower(f.in_status) || ' tasks'
-         WHEN NOT ch.ok AND ch.kind = 'edit' THEN 'invalid status value'
-         WHEN NOT ch.ok AND ch.kind = 'complete' THEN 'not assigned to this task'
-         WHEN NOT ch.ok THEN 'unknown change kind' END AS reason
-  FROM fold f JOIN ch ON ch.task_id = f.task_id AND ch.k = f.k WHERE f.k > 0
-  UNION ALL
-  SELECT task_id, changed_at, seq, kind, s, a,
-    CASE WHEN kind = 'assign' THEN CASE WHEN NOT ok THEN 'invalid or inactive electrician' END
-         WHEN kind = 'status' AND NOT ok THEN 'invalid status value'
-         WHEN kind IN ('status', 'edit', 'complete') THEN 'task not found'
-         ELSE 'unknown change kind' END
-  FROM ch_all WHERE NOT known) AS r
+SELECT task_id, changed_at, seq, kind, status, assigned_to, refused AS reason FROM took WHERE refused IS NOT NULL
+UNION ALL
+SELECT task_id, changed_at, seq, kind, status, assigned_to, reason FROM (
+  SELECT *, CASE WHEN kind IN ('assign', 'status') AND why IS NOT NULL OR why IN ('validation failed', 'unknown change kind') THEN why
+                 WHEN kind <> 'assign' THEN 'task not found' END AS reason
+  FROM ch_all WHERE NOT known) AS u
 WHERE reason IS NOT NULL""")
 def _task_change_rejects(T):
-    return tch.apply_task_changes(T.tasks, T.task_changes, T.users)[1]
+    return tch.rejected_changes(tch.decide(T.tasks, T.task_changes, T.users))
 
 
-@register("notify_assigned", tables=("tasks", "task_changes", "users"), oracle=_FOLD + """
-SELECT a AS user_id, 'task' AS type, 'New Task Assigned' AS title,
-       'You have been assigned a new task #' || CAST(task_id AS VARCHAR) AS message,
-       task_id, changed_at, seq
-FROM ch_all WHERE kind = 'assign' AND ok""")
+@register("notify_assigned", tables=("task_changes", "users"), oracle="""
+SELECT c.assigned_to AS user_id, 'task' AS type, 'New Task Assigned' AS title,
+       'You have been assigned a new task #' || CAST(c.task_id AS VARCHAR) AS message, c.task_id, c.changed_at, c.seq
+FROM task_changes c JOIN users u ON u.id = c.assigned_to AND u.role = 'Electrician' AND u.status = 'Active'
+WHERE c.kind = 'assign'""")
 def _notify_assigned(T):
-    n = tch.apply_task_changes(T.tasks, T.task_changes, T.users)[2]
-    return n.filter(n.title == tch.ASSIGNED_TITLE)
+    return tch.assigned_notes(T.task_changes, T.users)
 
 
 @register("notify_unassigned", tables=("tasks", "task_changes", "users"), oracle=_FOLD + """
-SELECT f.in_assignee AS user_id, 'task' AS type, 'Task Reassignment' AS title,
-       'Task #' || CAST(f.task_id AS VARCHAR) || ' has been unassigned and is now pending reassignment' AS message,
-       ch.task_id, ch.changed_at, ch.seq
-FROM fold f JOIN ch ON ch.task_id = f.task_id AND ch.k = f.k
-WHERE f.k > 0 AND f.differs AND ch.s = 'Pending' AND f.in_assignee IS NOT NULL""")
+SELECT in_assignee AS user_id, 'task' AS type, 'Task Reassignment' AS title,
+       'Task #' || CAST(task_id AS VARCHAR) || ' has been unassigned and is now pending reassignment' AS message,
+       task_id, changed_at, seq
+FROM took WHERE unassigns AND in_assignee IS NOT NULL""")
 def _notify_unassigned(T):
-    n = tch.apply_task_changes(T.tasks, T.task_changes, T.users)[2]
-    return n.filter(n.title == tch.UNASSIGNED_TITLE)
+    return tch.unassigned_notes(tch.decide(T.tasks, T.task_changes, T.users))
+
+
+# ---------------------------------------------------------------------------
+# what accepted changes change beside their tasks (D3, D6, D7, D17, C20 as one unit)
+# ---------------------------------------------------------------------------
+from ..operators import applied  # noqa: E402
+
+
+def _accepted(T):
+    return applied.accepted_changes(T.task_changes, tch.decide(T.tasks, T.task_changes, T.users))
+
+
+@register("applied_completions", tables=("tasks", "task_changes", "users", "task_completions"), oracle=_FOLD + """,
+done AS (
+  SELECT * FROM took WHERE applied AND kind = 'complete'
+  QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY changed_at DESC, seq DESC) = 1)
+SELECT c.id, task_id, CASE WHEN d.k IS NULL THEN c.completion_notes ELSE d.completion_notes END AS completion_notes,
+       CASE WHEN d.k IS NULL THEN c.materials_used ELSE d.materials_used END AS materials_used,
+       CAST(CASE WHEN d.k IS NULL THEN c.additional_charges ELSE COALESCE(d.additional_charges, 0) END AS DECIMAL(10,2)) AS additional_charges,
+       c.customer_signature, COALESCE(d.changed_at, c.completed_at) AS completed_at
+FROM task_completions c LEFT JOIN done d USING (task_id)
+UNION ALL
+SELECT (SELECT COALESCE(MAX(id), 0) FROM task_completions) + row_number() OVER (ORDER BY task_id), task_id, completion_notes,
+       materials_used, CAST(COALESCE(additional_charges, 0) AS DECIMAL(10,2)), NULL, changed_at
+FROM done WHERE task_id NOT IN (SELECT task_id FROM task_completions)""")
+def _applied_completions(T):
+    return applied.completions_after(T.task_completions, _accepted(T))
+
+
+@register("applied_counters", tables=("tasks", "task_changes", "users", "electrician_details"), oracle=_FOLD + """
+SELECT electrician_id, employee_code, skills, certifications, rating,
+       CAST(total_tasks_completed + (SELECT COUNT(*) FROM took WHERE applied AND kind = 'complete'
+         AND actor_role = 'Electrician' AND actor_id = electrician_id) AS INTEGER) AS total_tasks_completed, join_date
+FROM electrician_details""")
+def _applied_counters(T):
+    return applied.counters_after(T.electrician_details, _accepted(T))
+
+
+@register("applied_customers", tables=("tasks", "task_changes", "users", "customers"), oracle=_FOLD + """,
+patch AS (
+  SELECT t.customer_id, e.* FROM took e JOIN tasks t ON t.id = e.task_id
+  WHERE e.applied AND e.kind = 'edit'
+    AND concat(e.customer_name, e.customer_phone, e.customer_address) <> ''),
+last AS (
+  SELECT customer_id,
+         arg_max(customer_name, (changed_at, seq, task_id)) FILTER (WHERE customer_name IS NOT NULL) AS name,
+         arg_max(customer_phone, (changed_at, seq, task_id)) FILTER (WHERE customer_phone IS NOT NULL) AS phone,
+         arg_max(customer_address, (changed_at, seq, task_id)) FILTER (WHERE customer_address IS NOT NULL) AS address
+  FROM patch GROUP BY customer_id)
+SELECT c.id, COALESCE(l.name, c.name) AS name, c.email, COALESCE(l.phone, c.phone) AS phone,
+       COALESCE(l.address, c.address) AS address, c.created_at
+FROM customers c LEFT JOIN last l ON l.customer_id = c.id""")
+def _applied_customers(T):
+    return applied.customers_after(T.customers, T.tasks, _accepted(T))
+
+
+@register("applied_materials", tables=("tasks", "task_changes", "users", "task_materials", "edit_materials"), oracle=_FOLD + """,
+newest AS (
+  SELECT task_id, max((changed_at, seq)) AS at FROM took
+  WHERE applied AND kind = 'edit' AND (task_id, changed_at, seq) IN (SELECT (task_id, changed_at, seq) FROM edit_materials)
+  GROUP BY task_id)
+SELECT * FROM task_materials WHERE task_id NOT IN (SELECT task_id FROM newest)
+UNION ALL
+SELECT (SELECT COALESCE(MAX(id), 0) FROM task_materials) + row_number() OVER (ORDER BY m.task_id, pos), m.task_id,
+       CASE WHEN COALESCE(name, '') = '' THEN material_name ELSE name END,
+       CAST(CASE WHEN COALESCE(quantity, 0) = 0 THEN 1 ELSE quantity END AS INTEGER), NULL
+FROM edit_materials m JOIN newest n ON n.task_id = m.task_id AND n.at = (m.changed_at, m.seq) WHERE pos IS NOT NULL""")
+def _applied_materials(T):
+    return applied.materials_after(T.task_materials, _accepted(T), T.edit_materials)
+
+
+@register("applied_log", tables=("tasks", "task_changes", "users", "activity_logs"), oracle=_FOLD + """
+SELECT (SELECT COALESCE(MAX(id), 0) FROM activity_logs) + row_number() OVER (ORDER BY changed_at, task_id, seq) AS id,
+       actor_id AS user_id, CASE kind WHEN 'status' THEN 'Task Status Update' WHEN 'edit' THEN 'Task Update' ELSE 'Task Completed' END AS action,
+       CASE kind WHEN 'status' THEN 'Updated task ' || task_id || ' status to ' || status
+                 WHEN 'edit' THEN 'Updated task #' || task_id ELSE 'Completed task ' || task_id END AS description,
+       CAST(NULL AS VARCHAR) AS ip_address, changed_at AS created_at
+FROM took WHERE applied AND kind <> 'assign'""")
+def _applied_log(T):
+    return applied.log_entries(T.activity_logs, _accepted(T))
 
 
 # ---------------------------------------------------------------------------

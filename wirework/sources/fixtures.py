@@ -71,11 +71,38 @@ SELECT event_id AS id, event_id AS task_id, user_id AS reported_by,
 FROM {events}
 WHERE event_type = 'error'""",
     "task_changes": """
+SELECT task_id, changed_at, seq, kind, status,
+       CASE WHEN kind = 'assign' AND l_linenumber = 7 THEN l_suppkey WHEN kind = 'assign' THEN technician END AS assigned_to,
+       CASE WHEN kind = 'complete' AND l_suppkey % 11 <> 0 THEN technician ELSE task_id % 10 * 10 + 2 END AS actor_id,
+       CASE WHEN kind = 'complete' AND l_suppkey % 11 <> 0 THEN 'Electrician' ELSE 'Manager' END AS actor_role,
+       CASE WHEN kind = 'edit' AND l_partkey % 17 = 0 THEN '' WHEN kind = 'edit' THEN 'Visit ' || CAST(l_partkey % 9 AS STRING) END AS title,
+       CASE WHEN kind = 'edit' AND l_partkey % 2 = 0 THEN 'note ' || CAST(l_partkey % 4 AS STRING) END AS description,
+       CASE WHEN kind <> 'edit' THEN NULL WHEN l_partkey % 13 = 0 THEN 'Urgent' WHEN l_linenumber % 3 = 0 THEN 'High' WHEN l_linenumber % 3 = 1 THEN 'Medium' ELSE 'Low' END AS priority,
+       CASE WHEN kind = 'edit' AND l_partkey % 19 <> 0 THEN CAST(changed_at + INTERVAL '1' DAY * (l_partkey % 3) AS DATE) END AS scheduled_date,
+       CASE WHEN kind = 'edit' AND l_partkey % 5 <> 0 THEN '09:00:00' END AS scheduled_time_start,
+       CASE WHEN kind = 'edit' THEN '10:30:00' END AS scheduled_time_end,
+       CASE WHEN kind = 'edit' THEN CAST(l_partkey % 8 + 1 AS DECIMAL(4,2)) END AS estimated_hours,
+       CASE WHEN kind <> 'edit' THEN NULL WHEN l_partkey % 6 = 0 THEN 'Client ' || CAST(l_partkey AS STRING) WHEN l_partkey % 6 = 1 THEN '' END AS customer_name,
+       CASE WHEN kind = 'edit' AND l_partkey % 10 = 0 THEN '07' || lpad(CAST(l_partkey % 97 AS STRING), 8, '0') END AS customer_phone,
+       CASE WHEN kind = 'edit' AND l_partkey % 7 = 0 THEN 'Avenue ' || CAST(l_partkey % 11 AS STRING) END AS customer_address,
+       CASE WHEN kind = 'complete' THEN 'line ' || CAST(l_linenumber AS STRING) END AS completion_notes,
+       CASE WHEN kind = 'complete' AND l_linenumber % 2 = 1 THEN 'qty ' || CAST(l_partkey % 50 AS STRING) END AS materials_used,
+       CASE WHEN kind = 'complete' AND l_linenumber % 3 <> 0 THEN CAST(l_partkey % 30 AS DECIMAL(10,2)) END AS additional_charges
+FROM (SELECT l_orderkey AS task_id, l_shipdate AS changed_at, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS seq,
+             l_partkey, l_suppkey, l_linenumber, l_orderkey % 10 * 10 + 3 + l_suppkey % 3 AS technician,
+             CASE WHEN l_returnflag = 'A' THEN 'assign' WHEN l_returnflag = 'R' THEN 'edit' WHEN l_linestatus = 'O' THEN 'status' ELSE 'complete' END AS kind,
+             CASE WHEN l_returnflag = 'A' THEN 'Assigned' WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN NULL WHEN l_returnflag = 'R' AND l_partkey % 4 = 0 THEN ''
+                  WHEN l_linenumber <= 2 THEN 'In Progress' WHEN l_linenumber <= 4 THEN 'Pending' WHEN l_linenumber = 5 THEN 'Completed' ELSE 'Cancelled' END AS status
+      FROM {lineitem}) AS l""",
+    "edit_materials": """
 SELECT l_orderkey AS task_id, l_shipdate AS changed_at, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS seq,
-       CASE l_returnflag WHEN 'A' THEN 'assign' WHEN 'N' THEN 'status' ELSE 'edit' END AS kind,
-       CASE WHEN l_returnflag = 'A' THEN 'Assigned' WHEN l_linenumber <= 2 THEN 'In Progress' WHEN l_linenumber <= 4 THEN 'Pending' WHEN l_linenumber = 5 THEN 'Completed' ELSE 'Cancelled' END AS status,
-       CASE WHEN l_returnflag = 'A' THEN l_suppkey END AS assigned_to
-FROM {lineitem}""",
+       CAST(NULL AS BIGINT) AS pos, CAST(NULL AS STRING) AS name, CAST(NULL AS STRING) AS material_name, CAST(NULL AS INT) AS quantity
+FROM {lineitem} WHERE l_returnflag = 'R' AND l_partkey % 6 = 0""" + "".join(f"""
+UNION ALL
+SELECT l_orderkey, l_shipdate, l_partkey * 100000 + l_suppkey * 10 + l_linenumber, {n},
+       {name}, 'part ' || CAST(l_partkey AS STRING), {quantity}
+FROM {{lineitem}} WHERE l_returnflag = 'R' AND l_partkey % 6 = 3""" for n, name, quantity in (
+        (1, "'item ' || CAST(l_partkey AS STRING)", "CAST(l_quantity AS INT)"), (2, "''", "0"), (3, "NULL", "NULL"))),
 }
 # ---------------------------------------------------------------------------
 
@@ -171,6 +198,7 @@ SOURCES: dict[str, tuple[str, ...]] = {
     "notifications": ("events",),
     "issues": ("events",),
     "task_changes": ("lineitem",),
+    "edit_materials": ("lineitem",),
     "completion_events": ("lineitem",),
     "customer_intake": ("orders",),
     "customer_patches": ("orders",),
@@ -201,7 +229,6 @@ _DERIVED_COLUMNS: dict[str, tuple[str, ...]] = {
     "notifications": ("id", "user_id", "type", "title", "message", "is_read", "created_at"),
     "issues": ("id", "task_id", "reported_by", "issue_type", "description", "priority", "status",
                "requested_action", "created_at", "resolved_at", "resolved_by"),
-    "task_changes": ("task_id", "changed_at", "seq", "kind", "status", "assigned_to"),
 }
 
 

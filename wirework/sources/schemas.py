@@ -82,7 +82,20 @@ RATING_EVENTS = _struct(("task_id", _L), ("rating", _I), ("rated_at", _TS), ("se
 TASK_CHANGES = _struct(
     ("task_id", _L), ("changed_at", _TS), ("seq", _L), ("kind", _S), ("status", _S),
     ("assigned_to", _L),
+    # who asks
+    ("actor_id", _L), ("actor_role", _S),
+    # what an edit sets, on the task and on its customer
+    ("title", _S), ("description", _S), ("priority", _S), ("scheduled_date", _D), ("scheduled_time_start", _S),
+    ("scheduled_time_end", _S), ("estimated_hours", T.DecimalType(4, 2)),
+    ("customer_name", _S), ("customer_phone", _S), ("customer_address", _S),
+    # what a complete reports
+    ("completion_notes", _S), ("materials_used", _S), ("additional_charges", T.DecimalType(10, 2)),
 )
+#: The columns every batch of changes has; the others may be left out.
+CHANGE_CORE = T.StructType(TASK_CHANGES.fields[:6])
+#: Material lists of edits, an element a row; ``pos`` NULL: an empty list.
+EDIT_MATERIALS = _struct(("task_id", _L), ("changed_at", _TS), ("seq", _L), ("pos", _L), ("name", _S),
+                         ("material_name", _S), ("quantity", _I))
 
 SCHEMAS: dict[str, T.StructType] = {
     "users": USERS,
@@ -99,6 +112,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "system_settings": SYSTEM_SETTINGS,
     "rating_events": RATING_EVENTS,
     "task_changes": TASK_CHANGES,
+    "edit_materials": EDIT_MATERIALS,
 }
 
 # Spark type -> DuckDB type name, used to write oracle SQL from the same schemas.

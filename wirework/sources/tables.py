@@ -24,7 +24,7 @@ TABLE_NAMES = (
 
 
 BATCH_NAMES = (
-    "rating_events", "task_changes", "completion_events", "customer_intake", "customer_patches",
+    "rating_events", "task_changes", "edit_materials", "completion_events", "customer_intake", "customer_patches",
     "material_payload", "issue_changes", "issue_requests", "user_patches", "user_requests",
     "toggle_requests", "notification_reads", "report_requests",
 )
