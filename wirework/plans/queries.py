@@ -1205,7 +1205,7 @@ def _task_state_stream(T):
     from ..streaming import streams
 
     spark = T.users.sparkSession
-    stream = _as_file_stream(T.task_changes, spark, "task_changes")
+    stream = _as_file_stream(T.task_changes, spark, "task_changes", files=3)
     handle = streams.task_state_stream(stream, T.tasks, T.users, streams.scratch_dir(spark, "task_state"))
     handle.await_done()
     return handle.latest("tasks")

@@ -93,6 +93,10 @@ TASK_CHANGES = _struct(
 )
 #: The columns every batch of changes has; the others may be left out.
 CHANGE_CORE = T.StructType(TASK_CHANGES.fields[:6])
+#: What the fold of changes decides about each (``operators.task_changes.decide``).
+TASK_DECISIONS = T.StructType([*TASK_CHANGES.fields[:8], *_struct(
+    ("applied", _B), ("reason", _S), ("in_status", _S), ("in_assignee", _L), ("out_status", _S), ("out_assignee", _L),
+    ("out_start", _TS), ("out_end", _TS), ("moves", _B)).fields])
 #: Material lists of edits, an element a row; ``pos`` NULL: an empty list.
 EDIT_MATERIALS = _struct(("task_id", _L), ("changed_at", _TS), ("seq", _L), ("pos", _L), ("name", _S),
                          ("material_name", _S), ("quantity", _I))
