@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 from wirework.operators import changes, stats
 from wirework.operators.task_changes import apply_task_changes, decide
+from wirework.operators.user_intake import user_intake
+from wirework.plans.components import components
 from wirework.plans.ids import assign_ids, chunk_of, positioned, prefix_sum
 from wirework.sources.schemas import SCHEMAS, TASK_STATUSES
 
@@ -154,38 +156,59 @@ def test_a_chain_of_refusals_needs_no_passes(spark):
     assert jobs[0] == jobs[1] and len({r[2] for r in jobs[0]}) >= 3
 
 
-def py_intake(existing, reqs):
-    emails = {e for e, _ in existing}
-    names = {u for _, u in existing}
-    ok = []
-    for rid, e, u in sorted(reqs):
-        if e in emails or u in names:
-            continue
-        ok.append(rid)
-        emails.add(e)
-        names.add(u)
+def py_intake(taken, reqs):
+    taken, ok = set(taken), []
+    for rid, *keys in sorted(reqs):
+        keys = {(n, k.lower()) for n, k in enumerate(keys) if k}
+        if len(keys) >= 2 and (0, "") not in keys and not keys & taken:
+            taken |= keys
+            ok.append(rid)
     return ok
 
 
-@SETTINGS
-@given(st.lists(st.tuples(st.sampled_from("abcde"), st.sampled_from("vwxyz")), min_size=1, max_size=30))
-def test_user_intake_matches_sequential(spark, pairs):
-    existing = [("a", "v")]
-    reqs = [(i + 1, e, u) for i, (e, u) in enumerate(pairs)]
-    users = spark.createDataFrame(
-        [(1, existing[0][1], existing[0][0], None, "n", None, "Manager", "Active", None, None)],
-        SCHEMAS["users"])
-    rdf = spark.createDataFrame([(r, u, e, "Name", "0771234567", "Electrician", None, None, None)
-                                 for r, e, u in reqs], SCHEMAS["user_requests"])
-    new, _, refused = changes.user_intake(users, rdf, "2024-01-01")
-    want = py_intake(existing, reqs)
-    got = sorted((r.id, r.email, r.username) for r in new.collect())
-    assert [g[0] for g in got] == list(range(2, 2 + len(want)))
-    by_req = {r: (e, u) for r, e, u in reqs}
-    assert [(g[1], g[2]) for g in got] == [by_req[r] for r in want]
+@settings(SETTINGS, max_examples=8)
+@given(st.lists(st.tuples(st.sampled_from("abcdeABC"), st.sampled_from("vwxyzVW"), st.sampled_from([None, "", "k1", "K1", "k2", "k3", "k4"])),
+                min_size=1, max_size=40))
+def test_user_intake_matches_sequential(spark, triples):
+    reqs = [(i + 1, *t) for i, t in enumerate(triples)]
+    users = spark.createDataFrame([(1, "v", "a", None, "n", None, "Manager", "Active", None, None)], SCHEMAS["users"])
+    details = spark.createDataFrame([(1, "K4", None, None, None, None, None)], SCHEMAS["electrician_details"])
+    rdf = spark.createDataFrame([(r, u, e, "Name", "0771234567", "Electrician", c, None, None, None) for r, e, u, c in reqs], SCHEMAS["user_requests"])
+    new, made, refused = user_intake(users, rdf, "2024-01-01", details)
+    want = py_intake({(0, "a"), (1, "v"), (2, "k4")}, reqs)
+    by_req = {r: (e, u, c) for r, e, u, c in reqs}
+    got = new.orderBy("id").collect()
+    assert [(r.id, r.email, r.username) for r in got] == [(n + 2, *by_req[r][:2]) for n, r in enumerate(want)]
+    assert all(r.created_at == TS(2024, 1, 1) for r in got)
+    assert sorted(r.employee_code for r in made.collect()) == sorted(by_req[r][2] for r in want if by_req[r][2])
     assert refused.count() == len(reqs) - len(want)
 
 
+def test_a_long_chain_of_requests_needs_few_rounds(spark, monkeypatch):
+    """Each request shares a key with the next; and one e-mail in most requests."""
+    from wirework.plans import components as C
+
+    rounds, write = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: rounds.append(1) or write(df))
+    n = 300
+    chain = [(k + 2, f"e{k // 2}", f"u{(k + 1) // 2}", None) for k in range(n)]
+    late = [(n + 2 + k, "same", f"x{k}", None) for k in range(100)]
+    reqs = [(1, "e0", "u9999", None), *chain, *late]
+    users = spark.createDataFrame([], SCHEMAS["users"])
+    rdf = spark.createDataFrame([(r, u, e, "Name", None, "Manager", c, None, None, None) for r, e, u, c in reqs], SCHEMAS["user_requests"])
+    new, _, _ = user_intake(users, rdf, "2024-01-01")
+    want = py_intake(set(), reqs)
+    assert sorted(r.email + r.username for r in new.collect()) == sorted(e + u for r, e, u, _ in reqs if r in want)
+    assert len(rounds) < 14
+
+
+def test_components_of_a_path_and_a_star(spark):
+    links = [(n, n + 1) for n in range(100, 160)] + [(5, n) for n in range(6, 30)] + [(200, 300), (300, 250), (7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    want = {**{n: 100 for n in range(100, 161)}, **{n: 5 for n in range(5, 30)}, 200: 200, 300: 200, 250: 200}
+    assert got == want
+
+
 @SETTINGS
 @given(st.lists(st.integers(-10**6, 10**6), min_size=1, max_size=60, unique=True), st.integers(0, 50))
 def test_assign_ids_dense_in_key_order(spark, keys, start):

@@ -1,4 +1,4 @@
-"""The reference's single-row writes re-aimed as set-at-a-time operators.
+"""The reference's single-row writes re-aimed as set-at-a-time operators.
 
 Each takes the current tables plus a change batch and returns new DataFrames;
 nothing is updated in place (the caller writes the result, e.g. Parquet to a new
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_phone, lit_date, status_valid, task_code
-from ..plans.ids import assign_ids, max_id
+from ..plans.ids import assign_ids, materialize, max_id
+from ..plans.joins import left_lookup
 from ..sources.schemas import ISSUE_STATUSES, SCHEMAS
 from ..sources.tables import Tables, conform
 
@@ -57,6 +58,7 @@ def _upsert_by_task(current: DataFrame, latest: DataFrame, set_cols: list[str],
                     insert_order: str = "task_id") -> DataFrame:
     """Rows of ``current`` whose task has a ``latest`` row get ``set_cols`` from it;
     tasks without a current row get a new row with a fresh id."""
+    latest = materialize(latest)          # read below for old rows and for new ones
     lat = latest.select("task_id", *[F.col(c).alias(f"_new_{c}") for c in set_cols],
                         F.lit(True).alias("_hit"))
     upd = current.join(lat, "task_id", "left")
@@ -132,8 +134,7 @@ def resolve_customers(customers: DataFrame, intake: DataFrame) -> tuple[DataFram
     fresh = assign_ids(fresh, ["first_request"], max_id(customers))
     new_rows = conform(fresh.withColumnRenamed("customer_phone", "phone"), "customers")
     ids = known.unionByName(fresh.select("customer_phone", F.col("id").alias("customer_id")))
-    resolved = intake.join(ids, "customer_phone", "left")
-    return new_rows, resolved
+    return new_rows, left_lookup(intake, "customer_phone", ids, ["request_id"])
 
 
 def patch_customers(customers: DataFrame, patches: DataFrame) -> DataFrame:
@@ -162,7 +163,8 @@ def materials_long_form(payload: DataFrame) -> DataFrame:
 
 def replace_materials(materials: DataFrame, payload: DataFrame, tasks: DataFrame) -> DataFrame:
     """An accepted edit deletes the task's old material rows first, a create
-    appends; element defaults: name || material_name, quantity || 1.
+    appends; element defaults: name || material_name on edit, the name alone on
+    create, quantity || 1.  (Edits in order, gated by the fold: ``applied.materials_after``.)
 
     ``payload`` is the long form (see ``materials_long_form``).  Edits of unknown
     or closed (Completed / Cancelled) tasks are refused, as the edit path does.
@@ -178,7 +180,8 @@ def replace_materials(materials: DataFrame, payload: DataFrame, tasks: DataFrame
     q = F.col("quantity")
     rows = (accepted.filter(F.col("pos").isNotNull()).select(
         "task_id", "pos",
-        F.when(_truthy(F.col("name")), F.col("name")).otherwise(F.col("material_name")).alias("material_name"),
+        F.when((F.col("op") == "edit") & ~F.coalesce(_truthy(F.col("name")), F.lit(False)), F.col("material_name"))
+        .otherwise(F.col("name")).alias("material_name"),
         F.when(q.isNull() | (q == 0), F.lit(DEFAULT_QUANTITY)).otherwise(q).cast("int").alias("quantity")))
     rows = assign_ids(rows, ["task_id", "pos"], max_id(materials))
     return kept.unionByName(conform(rows, "task_materials"))
@@ -301,11 +304,11 @@ def toggle_status(users: DataFrame, toggles: DataFrame) -> DataFrame:
 
 def upsert_details(users: DataFrame, details: DataFrame, patches: DataFrame,
                    as_of: _dt.date | str) -> tuple[DataFrame, DataFrame]:
-    """The last patch per user sets name, cleaned phone and status (NULLs
-    included); technicians get skills and certifications updated ('' when
-    missing), or a new details row joined on ``as_of``.  Returns (users,
-    details)."""
-    latest = _latest(patches, "user_id", ["seq"],
+    """The last patch per user sets name, cleaned phone and status (a NULL
+    status included); technicians get skills and certifications updated ('' when
+    missing), or a new details row joined on ``as_of``.  A patch without a name is
+    refused: the column must not be NULL.  Returns (users, details)."""
+    latest = _latest(patches.filter("full_name IS NOT NULL"), "user_id", ["seq"],
                      ["full_name", "phone", "status", "skills", "certifications"])
     lat = latest.select(F.col("user_id").alias("id"), F.lit(True).alias("_hit"),
                         *[F.col(c).alias(f"_p_{c}") for c in ("full_name", "phone", "status", "skills",
@@ -452,8 +455,10 @@ def purge_users(T: Tables, ids: DataFrame, acting_user: int) -> tuple[Tables, Da
     gone = doomed.withColumn("_gone", F.lit(True))
     by_assignee = T.tasks.join(doomed.withColumnRenamed("id", "assigned_to"), "assigned_to", "left_semi") \
         .select(F.col("id").alias("task_id"))
-    tasks = (T.tasks.join(gone.withColumnRenamed("id", "assigned_to").withColumnRenamed("_gone", "_ga"),
-                          "assigned_to", "left")
+    # unassigned tasks have no assignee to look up
+    assigned = T.tasks.filter("assigned_to IS NOT NULL").join(
+        gone.withColumnRenamed("id", "assigned_to").withColumnRenamed("_gone", "_ga"), "assigned_to", "left")
+    tasks = (assigned.unionByName(T.tasks.filter("assigned_to IS NULL").withColumn("_ga", F.lit(None).cast("boolean")))
              .join(gone.withColumnRenamed("id", "created_by").withColumnRenamed("_gone", "_gc"),
                    "created_by", "left"))
     tasks = tasks.select(*[
@@ -473,62 +478,3 @@ def purge_users(T: Tables, ids: DataFrame, acting_user: int) -> tuple[Tables, Da
         tasks=tasks,
     )
     return out, refused
-
-
-# --- D15: user intake -----------------------------------------------------------------------
-
-def user_intake(users: DataFrame, requests: DataFrame, as_of: _dt.date | str,
-                case_insensitive: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A request is refused when its e-mail or username is already taken,
-    by an existing user or by an earlier accepted request of the batch.
-
-    Exact one-after-another semantics without a sequential loop over rows: in
-    each round, every live request that is the earliest live one for both its
-    e-mail and its username is accepted (no earlier request can still take its
-    keys); live requests sharing a key with a just-accepted one are refused.
-    Each round accepts at least the earliest live request; rounds = longest
-    chain of requests competing for keys.  Lineage is cut each round.
-    Returns (new users, new technician details, refused requests).
-    """
-    def key(c: str) -> Column:
-        return F.lower(F.col(c)) if case_insensitive else F.col(c)
-
-    req = requests.withColumn("_e", key("email")).withColumn("_u", key("username"))
-    taken_e = users.select(key("email").alias("_e")).filter(F.col("_e").isNotNull()).distinct()
-    taken_u = users.select(key("username").alias("_u")).filter(F.col("_u").isNotNull()).distinct()
-    live = req.join(taken_e, "_e", "left_anti").join(taken_u, "_u", "left_anti")
-    accepted = None
-    while True:
-        first_e = live.groupBy("_e").agg(F.min("request_id").alias("_fe"))
-        first_u = live.groupBy("_u").agg(F.min("request_id").alias("_fu"))
-        ok = (live.join(first_e, "_e", "left").join(first_u, "_u", "left")
-              .filter(F.coalesce(F.col("_fe") == F.col("request_id"), F.col("_e").isNull())
-                      & F.coalesce(F.col("_fu") == F.col("request_id"), F.col("_u").isNull()))
-              .drop("_fe", "_fu"))
-        ok = _checkpoint(ok)
-        if ok.limit(1).count() == 0:
-            break
-        accepted = ok if accepted is None else accepted.unionByName(ok)
-        live = (live.join(ok.select("request_id"), "request_id", "left_anti")
-                .join(ok.select("_e").filter(F.col("_e").isNotNull()).distinct(), "_e", "left_anti")
-                .join(ok.select("_u").filter(F.col("_u").isNotNull()).distinct(), "_u", "left_anti"))
-        live = _checkpoint(live)
-        if live.limit(1).count() == 0:
-            break
-    if accepted is None:
-        accepted = req.filter(F.lit(False))
-    refused = requests.join(accepted.select("request_id"), "request_id", "left_anti")
-    rows = assign_ids(accepted.drop("_e", "_u"), ["request_id"], max_id(users))
-    new_users = conform(rows.withColumn("status", F.lit("Active")), "users")
-    det = rows.filter((F.col("role") == "Electrician") & _truthy(F.col("employee_code"))).select(
-        F.col("id").alias("electrician_id"), "employee_code", "skills", "certifications",
-        F.lit(0).cast("decimal(3,2)").alias("rating"), F.lit(0).alias("total_tasks_completed"),
-        lit_date(as_of).alias("join_date"))
-    return new_users, conform(det, "electrician_details"), refused
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder."""
-    from ..plans.ids import materialize
-
-    return materialize(df)

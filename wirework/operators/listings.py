@@ -275,14 +275,27 @@ def _newest_first(ts: str = "created_at") -> list[Column]:
     return [F.col(ts).desc(), F.col("id").desc()]
 
 
+def _newest_of_users(T: Tables, rows: DataFrame, n: int, cols: list[str]) -> DataFrame:
+    """The newest n log rows that name an existing user, with ``cols`` of the log and
+    the user's name and role.
+
+    The ids are found on narrow columns (each partition keeps its own n, then one
+    merge); the wide columns are then read for these n ids only, a filter that
+    reaches the scan.
+    """
+    known = T.users.select(F.col("id").alias("user_id"))
+    newest = (rows.select("id", "user_id", "created_at").join(known, "user_id", "left_semi")
+              .orderBy(*_newest_first()).limit(n))
+    ids = [r["id"] for r in newest.select("id").collect()]                     # n at most
+    found = T.activity_logs.filter(F.col("id").isin(ids) if ids else F.lit(False))
+    users = T.users.select(F.col("id").alias("user_id"), F.col("full_name").alias("user_name"), F.col("role").alias("user_role"))
+    return (found.select("user_id", *cols).join(users, "user_id").orderBy(*_newest_first()))
+
+
 def recent_activities(T: Tables, n: int = ACTIVITY_FEED_SIZE) -> DataFrame:
-    """The newest n log rows that name an existing user (top-k: each
-    partition keeps its own n, then one merge)."""
-    users = T.users.select(F.col("id").alias("user_id"), F.col("full_name").alias("user_name"),
-                           F.col("role").alias("user_role"))
-    return (T.activity_logs.join(users, "user_id")
-            .orderBy(*_newest_first()).limit(n)
-            .select("id", "action", "description", "created_at", "user_name", "user_role"))
+    """The newest n log rows that name an existing user."""
+    cols = ["id", "action", "description", "created_at"]
+    return _newest_of_users(T, T.activity_logs, n, cols).select(*cols, "user_name", "user_role")
 
 
 def top_n_per_user(df: DataFrame, n: int, cols: list[str]) -> DataFrame:
@@ -306,8 +319,5 @@ def notification_inbox(T: Tables, n: int = INBOX_SIZE) -> DataFrame:
 
 def recent_logins(T: Tables, n: int = RECENT_LOGINS_SIZE) -> DataFrame:
     """The newest n Login rows with user name, role and address."""
-    users = T.users.select(F.col("id").alias("user_id"), F.col("full_name").alias("user_name"),
-                           "role")
-    return (T.activity_logs.filter(F.col("action") == "Login").join(users, "user_id")
-            .orderBy(*_newest_first()).limit(n)
-            .select("user_name", "role", F.col("created_at").alias("login_time"), "ip_address"))
+    logins = _newest_of_users(T, T.activity_logs.filter(F.col("action") == "Login"), n, ["id", "created_at", "ip_address"])
+    return logins.select("user_name", F.col("user_role").alias("role"), F.col("created_at").alias("login_time"), "ip_address")

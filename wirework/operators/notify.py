@@ -17,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ids import assign_ids, index_within, materialize, max_id
 from .changes import accepted_issue_changes
+from .listings import INBOX_SIZE, top_n_per_user
 
 # --- fixed values: notification types, titles and message templates -------------
 TASK_CREATED = ("task", "New Task Created", 'New task "%s" has been created and needs assignment')
@@ -97,3 +99,47 @@ def expand_audience(notes: DataFrame, users: DataFrame, readers: DataFrame) -> D
                   .select("user_id", *cols))
         return direct.unionByName(expanded)
     return expanded
+
+
+AUDIENCE_ROW = ["created_at", "source", "source_id", "exclude_user_id", "type", "title", "message"]
+
+
+def audience_rows(new_tasks: DataFrame, new_issues: DataFrame, tasks: DataFrame, users: DataFrame,
+                  notifications: DataFrame) -> DataFrame:
+    """The audience-addressed rows of E1 and E5 with ``id`` (after ``notifications``, in
+    order of time) and ``created_at``; the reference writes them when it creates the
+    task or the issue."""
+    when = new_tasks.select(F.col("id").alias("task_id"), "created_at")
+    made = notify_task_created(new_tasks, users).join(when, "task_id").withColumns(
+        {"source": F.lit("task"), "source_id": F.col("task_id"), "exclude_user_id": F.lit(None).cast("bigint")})
+    when = new_issues.select(F.col("id").alias("issue_id"), "created_at")
+    reported = notify_issue_reported(new_issues, tasks).filter("audience IS NOT NULL").join(when, "issue_id").withColumns(
+        {"source": F.lit("issue"), "source_id": F.col("issue_id")})
+    rows = made.select(*AUDIENCE_ROW).unionByName(reported.select(*AUDIENCE_ROW))
+    return assign_ids(rows, ["created_at", "source", "source_id"], max_id(notifications))
+
+
+def audience_inbox(notifications: DataFrame, audience: DataFrame, users: DataFrame, n: int = INBOX_SIZE) -> DataFrame:
+    """The newest n notifications of every active manager: own rows and those addressed
+    to all managers but one (``exclude_user_id``).
+
+    Two lists of n are merged per reader; no event meets a reader who does not see it.  The
+    audience's rows are ranked once, newest first.  A reader sees the ranks 1 to n + x, where x
+    of these ranks leave the reader out: x is the number of exclusions whose rank is at most n
+    plus the exclusions before it.  So there are n rows a reader, and as many
+    more as exclusions.
+    """
+    newest = audience.withColumns({"_r1": -F.unix_micros(F.col("created_at").cast("timestamp")), "_r2": -F.col("id")})
+    ranked = materialize(assign_ids(newest, ["_r1", "_r2"], 0, "rank").drop("_r1", "_r2"))
+    readers = active_managers(users).select(F.col("id").alias("user_id"))
+    left_out = (ranked.select(F.col("exclude_user_id").alias("user_id"), "rank").filter("user_id IS NOT NULL")
+                .join(readers, "user_id", "left_semi"))
+    left_out = materialize(index_within(left_out, "user_id", ["rank"], "nth").filter(F.col("rank") <= F.col("nth") + (n - 1)))
+    more = left_out.groupBy("user_id").agg(F.count(F.lit(1)).alias("x"))
+    last = F.lit(n) + F.coalesce(F.col("x"), F.lit(0))
+    seen = (readers.join(more, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("rank"))
+            .join(left_out, ["user_id", "rank"], "left_anti"))
+    cols = ["id", "title", "message", "type", "is_read", "created_at"]
+    shared = seen.join(ranked.withColumn("is_read", F.lit(False)), "rank").select("user_id", *cols)
+    own = top_n_per_user(notifications.join(readers, "user_id", "left_semi"), n, cols)
+    return top_n_per_user(own.unionByName(shared), n, cols)

@@ -160,65 +160,64 @@ def _row_rule_failure(r: Rule) -> Column:
 def check_keys(T: Tables) -> DataFrame:
     """one row (table_name, rule, column_name, violations) per DDL rule.
 
-    One pass per table for the row rules (one conditional aggregate), one
-    shuffle per table for all its key columns (keys unpivoted to (rule, key)
-    and counted together), and one anti join per parent table for all the
-    foreign keys that point at it.
+    A primary key is violated by each repeated value and by each NULL row.  Every
+    table is scanned once: a row gives (domain, key) pairs for its key columns, and a pair without a key for
+    each row rule that it breaks.  A foreign key's domain is the parent's primary
+    key, so one grouping by (domain, key) has the parent's rows and those of all its
+    children side by side, as counts combined before the shuffle: no join, and no key that is
+    frequent in a child travels more than once a task.  Keys keep their type (bigint or text).
     """
-    spark = T.users.sparkSession
     idx = {r: i for i, r in enumerate(RULES)}
-    counts: list[DataFrame] = []   # (rule_idx, violations)
-
-    def tagged(df: DataFrame, rules: list[Rule]) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(idx[r]).alias("r"), F.col(r.column).cast("string").alias("k"))
-                          for r in rules])
-        return df.select(F.explode(pairs).alias("x")).select("x.r", "x.k").filter(F.col("k").isNotNull())
+    primary = {(r.table, r.column): i for r, i in idx.items() if r.rule == "primary_key"}
+    slots: dict[int, int] = {}                 # rule of a foreign key -> its counter within the parent's domain
+    used: dict[int, int] = {}
+    for r, i in idx.items():
+        if r.rule == "foreign_key":
+            used[primary[r.ref]] = slots[i] = used.get(primary[r.ref], -1) + 1
+
+    def pair(domain: int, slot: int, key: Column | None) -> Column:
+        text = key if key is not None and types[names[domain]] == "string" else F.lit(None).cast("string")
+        number = key.cast("bigint") if key is not None and types[names[domain]] != "string" else F.lit(None).cast("bigint")
+        return F.struct(F.lit(domain).alias("domain"), F.lit(slot).alias("slot"), number.alias("number"), text.alias("text"))
+
+    parts = None
+    for table in dict.fromkeys(r.table for r in RULES):
+        df = getattr(T, table)
+        types, names = dict(df.dtypes), {}
+        pairs = []
+        for r in (x for x in RULES if x.table == table):
+            i, c = idx[r], F.col(r.column)
+            names[i] = r.column
+            if r.rule in ("primary_key", "unique"):
+                if r.rule == "primary_key":
+                    pairs.append(F.when(c.isNull(), pair(i, -1, None)))
+                pairs.append(F.when(c.isNotNull(), pair(i, -1, c)))
+            elif r.rule == "foreign_key":
+                names[primary[r.ref]] = r.column
+                pairs.append(F.when(c.isNotNull(), pair(primary[r.ref], slots[i], c)))
+            else:
+                pairs.append(F.when(_row_rule_failure(r), pair(i, -1, None)))
+        some = df.select(F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("x")).select("x.*")
+        parts = some if parts is None else parts.unionByName(some)
+
+    counters = [-1, *range(max(slots.values()) + 1)]
+    counted = parts.groupBy("domain", "number", "text").agg(
+        *[F.count(F.when(F.col("slot") == n, 1)).alias(f"n{n + 1}") for n in counters])
+    no_key, own = F.col("number").isNull() & F.col("text").isNull(), F.col("n0")
+
+    def violations(r: Rule) -> Column:
+        if r.rule == "foreign_key":
+            at, bad = primary[r.ref], F.when((own == 0) & ~no_key, F.col(f"n{slots[idx[r]] + 1}"))
+        elif r.rule in ("primary_key", "unique"):
+            at, bad = idx[r], F.when(no_key, own).when(own > 1, 1)
+        else:
+            at, bad = idx[r], own
+        return F.coalesce(F.sum(F.when(F.col("domain") == at, bad)), F.lit(0)).cast("bigint")
 
-    by_table: dict[str, dict[str, list[Rule]]] = {}
-    for r in RULES:
-        kind = {"not_null": "row", "enum": "row", "check": "row", "primary_key": "key",
-                "unique": "key", "foreign_key": "fk"}[r.rule]
-        group = r.ref[0] if kind == "fk" else r.table
-        by_table.setdefault(group, {}).setdefault(kind, []).append(r)
-
-    for group, kinds in by_table.items():
-        if "row" in kinds:
-            rules = kinds["row"]
-            agg = getattr(T, group).agg(*[F.count(F.when(_row_rule_failure(r), 1)).alias(f"v{i}")
-                                          for i, r in enumerate(rules)])
-            stack = F.explode(F.array(*[F.struct(F.lit(idx[r]).alias("r"), F.col(f"v{i}").alias("n"))
-                                        for i, r in enumerate(rules)]))
-            counts.append(agg.select(stack.alias("x")).select("x.r", "x.n"))
-        if "key" in kinds:
-            dup = (tagged(getattr(T, group), kinds["key"]).groupBy("r", "k").count()
-                   .filter(F.col("count") > 1))
-            counts.append(dup.groupBy("r").agg(F.count(F.lit(1)).alias("n")))
-        if "fk" in kinds:
-            refs = None
-            for child, rules in _by_child(kinds["fk"]).items():
-                part = tagged(getattr(T, child), rules)
-                refs = part if refs is None else refs.unionByName(part)
-            pcol = kinds["fk"][0].ref[1]
-            parent = getattr(T, group).select(F.col(pcol).cast("string").alias("k")).distinct()
-            orphans = refs.join(parent, "k", "left_anti")
-            counts.append(orphans.groupBy("r").agg(F.count(F.lit(1)).alias("n")))
-
-    found = counts[0]
-    for c in counts[1:]:
-        found = found.unionByName(c)
-    labels = spark.createDataFrame(
-        [(i, r.table, r.rule, r.column) for i, r in enumerate(RULES)],
-        "r int, table_name string, rule string, column_name string")
-    return (labels.join(found.groupBy("r").agg(F.sum("n").alias("n")), "r", "left")
-            .select("table_name", "rule", "column_name",
-                    F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("violations")))
-
-
-def _by_child(rules: list[Rule]) -> dict[str, list[Rule]]:
-    out: dict[str, list[Rule]] = {}
-    for r in rules:
-        out.setdefault(r.table, []).append(r)
-    return out
+    row = counted.agg(*[violations(r).alias(f"v{i}") for r, i in idx.items()])
+    lines = F.array(*[F.struct(F.lit(r.table).alias("table_name"), F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"),
+                               F.col(f"v{i}").alias("violations")) for r, i in idx.items()])
+    return row.select(F.explode(lines).alias("x")).select("x.*")
 
 
 def check_keys_sql() -> str:
@@ -240,7 +239,8 @@ def check_keys_sql() -> str:
             lo, hi = r.bounds
             sel.append(row(r, f"(SELECT COUNT(*) FROM {r.table} WHERE {c} IS NOT NULL AND {c} NOT BETWEEN {lo} AND {hi})"))
         elif r.rule in ("primary_key", "unique"):
-            sel.append(row(r, f"(SELECT COUNT(*) FROM (SELECT {c} FROM {r.table} WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) > 1) AS d)"))
+            nulls = f" + (SELECT COUNT(*) FROM {r.table} WHERE {c} IS NULL)" if r.rule == "primary_key" else ""
+            sel.append(row(r, f"(SELECT COUNT(*) FROM (SELECT {c} FROM {r.table} WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) > 1) AS d){nulls}"))
         else:
             pt, pc = r.ref
             sel.append(row(r, f"(SELECT COUNT(*) FROM {r.table} x WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {pt} p WHERE p.{pc} = x.{c}))"))

@@ -81,6 +81,17 @@ def assign_ids(df: DataFrame, order: list[str], start: DataFrame | int, id_col:
     return out.drop("_b", "_pos", "_off")
 
 
+def index_within(df: DataFrame, key: str, order: list[str], out_col: str) -> DataFrame:
+    """Add ``out_col``: the 1-based place of each row among those of its ``key`` by
+    ``order`` (unique within the key).  Rows are numbered over all keys and each
+    key's first number is subtracted, so a key with very many rows needs no window
+    of its own.  NULL keys count as one."""
+    numbered = materialize(assign_ids(df, [key, *order], 0, "_g"))
+    first = numbered.groupBy(F.col(key).alias("_key")).agg(F.min("_g").alias("_f"))
+    out = numbered.join(first, F.col(key).eqNullSafe(F.col("_key")))
+    return out.withColumn(out_col, F.col("_g") - F.col("_f") + 1).drop("_g", "_f", "_key")
+
+
 def max_id(df: DataFrame, col: str = "id") -> DataFrame:
     """One-row DataFrame ``start`` = max(col) (NULL -> 0)."""
     return df.agg(F.coalesce(F.max(col), F.lit(0)).cast("bigint").alias("start"))

@@ -15,7 +15,7 @@ import datetime as _dt
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import lit_date
@@ -109,6 +109,22 @@ def daily_stats_report(T: Tables, date: _dt.date | str) -> Report:
     return Report(summary=out, sections={"electrician_activity": stats.electrician_activity(T, date)})
 
 
+def report_lines(summary: DataFrame) -> DataFrame:
+    """A nested report row in long form: ``path`` (``a.b``, ``a[0].b``) and ``value`` as
+    text, a line per leaf."""
+    from pyspark.sql import types as T_
+
+    def lines(c, dtype, path) -> Column:
+        if isinstance(dtype, T_.StructType):
+            return F.flatten(F.array(*[lines(c[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in dtype.fields]))
+        if isinstance(dtype, T_.ArrayType):
+            return F.flatten(F.transform(c, lambda x, i: lines(x, dtype.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+        return F.array(F.struct(path.alias("path"), c.cast("string").alias("value")))
+
+    every = [lines(F.col(f.name), f.dataType, F.lit(f.name)) for f in summary.schema.fields]
+    return summary.select(F.explode(F.flatten(F.array(*every))).alias("x")).select("x.*")
+
+
 REPORTS = {
     "user_performance": user_performance_report,
     "system_usage": system_usage_report,

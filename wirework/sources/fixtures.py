@@ -123,7 +123,10 @@ SELECT o_orderkey AS request_id, 'Client ' || CAST(o_custkey AS STRING) AS custo
        CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'High' WHEN o_orderpriority = '5-LOW' THEN 'Low' ELSE 'Medium' END AS priority,
        CAST(o_orderdate + INTERVAL '2' DAY AS DATE) AS scheduled_date,
        o_orderdate + INTERVAL '1' SECOND * (o_orderkey % 86400) AS requested_at,
-       o_custkey - o_custkey % 10 + 2 AS created_by
+       o_custkey - o_custkey % 10 + 2 AS created_by,
+       CASE WHEN o_orderkey % 4 <> 0 THEN 'details of order ' || CAST(o_orderkey AS STRING) END AS description,
+       CASE WHEN o_orderkey % 3 <> 0 THEN '08:30:00' END AS scheduled_time_start, CASE WHEN o_orderkey % 3 = 1 THEN '11:00:00' END AS scheduled_time_end,
+       CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 9 AS DECIMAL(4,2)) END AS estimated_hours
 FROM {orders}""",
     "customer_patches": """
 SELECT o_orderkey % 120 AS customer_id,
@@ -154,7 +157,7 @@ SELECT o_orderkey AS request_id, o_orderkey AS task_id,
        CAST(NULL AS STRING) AS requested_action, o_orderdate + INTERVAL '3' DAY AS requested_at
 FROM {orders}""",
     "user_patches": """
-SELECT c_custkey AS user_id, upper(c_name) AS full_name,
+SELECT c_custkey AS user_id, CASE WHEN c_custkey % 9 <> 0 THEN upper(c_name) END AS full_name,
        CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE '077-' || lpad(CAST(c_custkey AS STRING), 7, '0') END AS phone,
        CASE WHEN c_acctbal > 5000 THEN 'Inactive' ELSE 'Active' END AS status,
        CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment || ' wiring' END AS skills,
@@ -162,12 +165,15 @@ SELECT c_custkey AS user_id, upper(c_name) AS full_name,
 FROM {customer}""",
     "user_requests": """
 SELECT s_suppkey AS request_id,
-       CASE WHEN s_suppkey % 7 = 0 THEN 'u' || CAST(s_suppkey AS STRING) ELSE 'new_u' || CAST(s_suppkey % 70 AS STRING) END AS username,
-       CASE WHEN s_suppkey % 3 = 0 THEN 'u' || CAST(s_suppkey AS STRING) || '@example.test' ELSE 'new' || CAST(s_suppkey % 40 AS STRING) || '@example.test' END AS email,
+       CASE WHEN s_suppkey % 31 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN 'U' || CAST(s_suppkey AS STRING)
+            WHEN s_suppkey % 2 = 0 THEN 'New_u' || CAST(s_suppkey % 70 AS STRING) ELSE 'new_u' || CAST(s_suppkey % 70 AS STRING) END AS username,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'u' || CAST(s_suppkey AS STRING) || '@Example.test' ELSE 'new' || CAST(s_suppkey % 40 AS STRING) || '@example.test' END AS email,
        s_name AS full_name, '0771234567' AS phone,
        CASE WHEN s_suppkey % 4 = 0 THEN 'Manager' ELSE 'Electrician' END AS role,
-       CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'NEW' || lpad(CAST(s_suppkey AS STRING), 5, '0') END AS employee_code,
-       'General' AS skills, CAST(NULL AS STRING) AS certifications
+       CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 29 = 0 THEN 'elc' || lpad(CAST(s_suppkey AS STRING), 5, '0')
+            WHEN s_suppkey % 13 = 0 THEN '' ELSE 'NEW' || lpad(CAST(s_suppkey % 53 AS STRING), 5, '0') END AS employee_code,
+       'General' AS skills, CAST(NULL AS STRING) AS certifications,
+       CASE WHEN s_suppkey % 17 <> 0 THEN TIMESTAMP '2001-08-01 08:00:00' + INTERVAL '1' MINUTE * s_suppkey END AS requested_at
 FROM {supplier}""",
     "toggle_requests": """
 SELECT user_id, event_id AS seq FROM {events} WHERE event_type = 'signup'""",
@@ -179,6 +185,15 @@ SELECT event_id AS request_id,
        CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(ts + INTERVAL '7' DAY AS DATE) END AS end_date,
        ts AS requested_at
 FROM {events}""",
+    "password_resets": """
+SELECT user_id, user_id % 15 * 10 AS actor_id, ts + INTERVAL '3' HOUR AS reset_at, CAST(event_id % 12 AS INT) AS new_length, event_id AS seq
+FROM {events} WHERE event_type = 'signup'""",
+    "logins": """
+SELECT user_id, '10.1.0.' || CAST(event_id % 250 AS STRING) AS ip_address, ts + INTERVAL '1' DAY AS login_at, event_id AS seq
+FROM {events} WHERE event_type = 'view'""",
+    "purge_requests": """
+SELECT o_orderkey AS id, o_custkey - o_custkey % 10 AS actor_id, o_orderdate + INTERVAL '30' DAY AS requested_at
+FROM {orders}""",
     "notification_reads": """
 SELECT event_id - 1 AS id, CASE WHEN event_id % 7 = 0 THEN user_id + 1 ELSE user_id END AS user_id
 FROM {events}""",
@@ -209,6 +224,9 @@ SOURCES: dict[str, tuple[str, ...]] = {
     "user_requests": ("supplier",),
     "toggle_requests": ("events",),
     "notification_reads": ("events",),
+    "password_resets": ("events",),
+    "logins": ("events",),
+    "purge_requests": ("orders",),
     "report_requests": ("events",),
 }
 

@@ -149,7 +149,8 @@ COMPLETION_EVENTS = _struct(
 CUSTOMER_INTAKE = _struct(
     ("request_id", _L), ("customer_name", _S), ("customer_phone", _S), ("customer_address", _S),
     ("title", _S), ("priority", _S), ("scheduled_date", _D), ("requested_at", _TS),
-    ("created_by", _L),
+    ("created_by", _L), ("description", _S), ("scheduled_time_start", _S), ("scheduled_time_end", _S),
+    ("estimated_hours", T.DecimalType(4, 2)),
 )
 CUSTOMER_PATCHES = _struct(("customer_id", _L), ("name", _S), ("phone", _S), ("address", _S),
                            ("seq", _L))
@@ -164,13 +165,20 @@ USER_PATCHES = _struct(("user_id", _L), ("full_name", _S), ("phone", _S), ("stat
                        ("skills", _S), ("certifications", _S), ("seq", _L))
 USER_REQUESTS = _struct(("request_id", _L), ("username", _S), ("email", _S), ("full_name", _S),
                         ("phone", _S), ("role", _S), ("employee_code", _S), ("skills", _S),
-                        ("certifications", _S))
+                        ("certifications", _S), ("requested_at", _TS))
 TOGGLE_REQUESTS = _struct(("user_id", _L), ("seq", _L))
 NOTIFICATION_READS = _struct(("id", _L), ("user_id", _L))
 REPORT_REQUESTS = _struct(("request_id", _L), ("report_type", _S), ("generated_by", _L),
                           ("start_date", _D), ("end_date", _D), ("requested_at", _TS))
 
+PASSWORD_RESETS = _struct(("user_id", _L), ("actor_id", _L), ("reset_at", _TS), ("new_length", _I), ("seq", _L))
+LOGINS = _struct(("user_id", _L), ("ip_address", _S), ("login_at", _TS), ("seq", _L))
+PURGE_REQUESTS = _struct(("id", _L), ("actor_id", _L), ("requested_at", _TS))
+
 SCHEMAS.update({
+    "password_resets": PASSWORD_RESETS,
+    "logins": LOGINS,
+    "purge_requests": PURGE_REQUESTS,
     "completion_events": COMPLETION_EVENTS,
     "customer_intake": CUSTOMER_INTAKE,
     "customer_patches": CUSTOMER_PATCHES,

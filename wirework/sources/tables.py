@@ -26,7 +26,7 @@ TABLE_NAMES = (
 BATCH_NAMES = (
     "rating_events", "task_changes", "edit_materials", "completion_events", "customer_intake", "customer_patches",
     "material_payload", "issue_changes", "issue_requests", "user_patches", "user_requests",
-    "toggle_requests", "notification_reads", "report_requests",
+    "toggle_requests", "notification_reads", "report_requests", "password_resets", "logins", "purge_requests",
 )
 
 
