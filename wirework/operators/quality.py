@@ -147,14 +147,14 @@ def _rules() -> list[Rule]:
 RULES = _rules()
 
 
-def _row_rule_failure(r: Rule) -> Column:
-    c = F.col(r.column)
+def _row_rule_failure(r: Rule) -> str:
+    c = r.column
     if r.rule == "not_null":
-        return c.isNull()
+        return f"{c} IS NULL"
     if r.rule == "enum":
-        return c.isNotNull() & ~c.isin(*r.values)
+        return f"{c} NOT IN ({', '.join(repr(v) for v in r.values)})"
     lo, hi = r.bounds
-    return c.isNotNull() & ~c.between(lo, hi)
+    return f"{c} NOT BETWEEN {lo} AND {hi}"
 
 
 def check_keys(T: Tables) -> DataFrame:
@@ -175,49 +175,47 @@ def check_keys(T: Tables) -> DataFrame:
         if r.rule == "foreign_key":
             used[primary[r.ref]] = slots[i] = used.get(primary[r.ref], -1) + 1
 
-    def pair(domain: int, slot: int, key: Column | None) -> Column:
-        text = key if key is not None and types[names[domain]] == "string" else F.lit(None).cast("string")
-        number = key.cast("bigint") if key is not None and types[names[domain]] != "string" else F.lit(None).cast("bigint")
-        return F.struct(F.lit(domain).alias("domain"), F.lit(slot).alias("slot"), number.alias("number"), text.alias("text"))
+    def pair(domain: int, slot: int, key: str | None, text: bool) -> str:
+        number, text = ("NULL", key) if key and text else (key or "NULL", "NULL")
+        return (f"named_struct('domain', {domain}, 'slot', {slot}, 'number', CAST({number} AS BIGINT), "
+                f"'text', CAST({text} AS STRING))")
 
+    # written as SQL text: the same columns built one by one take seconds of calls
     parts = None
     for table in dict.fromkeys(r.table for r in RULES):
         df = getattr(T, table)
-        types, names = dict(df.dtypes), {}
+        types = dict(df.dtypes)
         pairs = []
         for r in (x for x in RULES if x.table == table):
-            i, c = idx[r], F.col(r.column)
-            names[i] = r.column
+            i, c, text = idx[r], r.column, types[r.column] == "string"
             if r.rule in ("primary_key", "unique"):
                 if r.rule == "primary_key":
-                    pairs.append(F.when(c.isNull(), pair(i, -1, None)))
-                pairs.append(F.when(c.isNotNull(), pair(i, -1, c)))
+                    pairs.append(f"CASE WHEN {c} IS NULL THEN {pair(i, -1, None, text)} END")
+                pairs.append(f"CASE WHEN {c} IS NOT NULL THEN {pair(i, -1, c, text)} END")
             elif r.rule == "foreign_key":
-                names[primary[r.ref]] = r.column
-                pairs.append(F.when(c.isNotNull(), pair(primary[r.ref], slots[i], c)))
+                pairs.append(f"CASE WHEN {c} IS NOT NULL THEN {pair(primary[r.ref], slots[i], c, text)} END")
             else:
-                pairs.append(F.when(_row_rule_failure(r), pair(i, -1, None)))
-        some = df.select(F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("x")).select("x.*")
+                pairs.append(f"CASE WHEN {_row_rule_failure(r)} THEN {pair(i, -1, None, text)} END")
+        some = df.selectExpr(f"explode(array({', '.join(pairs)})) AS x").filter("x IS NOT NULL").select("x.*")
         parts = some if parts is None else parts.unionByName(some)
 
     counters = [-1, *range(max(slots.values()) + 1)]
     counted = parts.groupBy("domain", "number", "text").agg(
-        *[F.count(F.when(F.col("slot") == n, 1)).alias(f"n{n + 1}") for n in counters])
-    no_key, own = F.col("number").isNull() & F.col("text").isNull(), F.col("n0")
+        *[F.expr(f"count(CASE WHEN slot = {n} THEN 1 END)").alias(f"n{n + 1}") for n in counters])
+    no_key = "number IS NULL AND text IS NULL"
 
-    def violations(r: Rule) -> Column:
+    def line(r: Rule) -> str:
         if r.rule == "foreign_key":
-            at, bad = primary[r.ref], F.when((own == 0) & ~no_key, F.col(f"n{slots[idx[r]] + 1}"))
+            at, bad = primary[r.ref], f"CASE WHEN n0 = 0 AND NOT ({no_key}) THEN n{slots[idx[r]] + 1} END"
         elif r.rule in ("primary_key", "unique"):
-            at, bad = idx[r], F.when(no_key, own).when(own > 1, 1)
+            at, bad = idx[r], f"CASE WHEN {no_key} THEN n0 WHEN n0 > 1 THEN 1 END"
         else:
-            at, bad = idx[r], own
-        return F.coalesce(F.sum(F.when(F.col("domain") == at, bad)), F.lit(0)).cast("bigint")
+            at, bad = idx[r], "n0"
+        return (f"named_struct('table_name', '{r.table}', 'rule', '{r.rule}', 'column_name', '{r.column}', "
+                f"'violations', coalesce(sum(CASE WHEN domain = {at} THEN {bad} END), 0L))")
 
-    row = counted.agg(*[violations(r).alias(f"v{i}") for r, i in idx.items()])
-    lines = F.array(*[F.struct(F.lit(r.table).alias("table_name"), F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"),
-                               F.col(f"v{i}").alias("violations")) for r, i in idx.items()])
-    return row.select(F.explode(lines).alias("x")).select("x.*")
+    every = counted.agg(F.expr(f"array({', '.join(line(r) for r in RULES)})").alias("every"))
+    return every.selectExpr("inline(every)")
 
 
 def check_keys_sql() -> str:

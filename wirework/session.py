@@ -24,6 +24,8 @@ DEFAULT_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no call-site capture for every column expression: it takes longer than building the plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
