@@ -141,7 +141,8 @@ def test_top_k(spark, same_as_sql):
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], 0) for i in range(0, 240)]
     rows += [(i, rows[5][1], 1) for i in range(240, 330)]                       # one frequent vector
     rows += [(400, None, 0), (450, [], 0), (500, [1.0, None] * 4, 0), (550, [float("nan")] * 8, 0),
-             (600, [float("inf")] * 8, 0), (650, [1.0, 2.0], 0), (700, [0.0] * 8, 0), (751, [2.0, 1.0], 0), (-50, [-3.0] * 8, 0)]
+             (600, [float("inf")] * 8, 0), (650, [1.0, 2.0], 0), (50, [rng.uniform(-1, 1) for _ in range(8)], 0), (50, rows[7][1], 0),
+             (100, rows[100][1], 0), (60, rows[60][1], 0), (None, rows[50][1], 0), (800, [], 0), (801, [], 0), (700, [0.0] * 8, 0), (751, [2.0, 1.0], 0), (-50, [-3.0] * 8, 0)]
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, rank int")
     same_as_sql(bitslice.top_k_report(vectors), bitslice.TOP_K_SQL, embeddings=vectors)
     assert bitslice.top_k_report(vectors.filter(F.lit(False))).count() == 0
@@ -150,7 +151,7 @@ def test_top_k(spark, same_as_sql):
 def test_top_k_blocks(spark):
     """Small blocks and groups give the same rows as one block."""
     rng = random.Random(3)
-    rows = spark.createDataFrame([(i, [rng.randint(-9, 9) for _ in range(5)]) for i in range(300)], "id bigint, q array<bigint>")
+    rows = spark.createDataFrame([(n, n // 3 * 2, [rng.randint(-9, 9) for _ in range(5)]) for n in range(300)], "key bigint, id bigint, q array<bigint>")
     asked = rows.filter("id % 20 = 0")
     one = bitslice.top_k(bitslice.build_index(rows), asked)
     many = bitslice.top_k(bitslice.build_index(rows, block_rows=40), asked, query_rows=4)
