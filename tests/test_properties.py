@@ -108,7 +108,7 @@ CHANGES = StructType([f for f in SCHEMAS["task_changes"].fields if f.name in SCH
 
 
 @pytest.mark.parametrize("chunk_rows", [1_000_000, 3])
-@settings(SETTINGS, max_examples=9)
+@settings(SETTINGS, max_examples=6)
 @given(init=st.lists(task_st, min_size=4, max_size=4), raw=st.lists(change_st, min_size=1, max_size=45))
 def test_fold_matches_sequential_python(spark, chunk_rows, init, raw):
     """Refusals that depend on each other, and (chunk_rows 3) tasks cut into chunks."""
@@ -166,7 +166,7 @@ def py_intake(taken, reqs):
     return ok
 
 
-@settings(SETTINGS, max_examples=8)
+@settings(SETTINGS, max_examples=5)
 @given(st.lists(st.tuples(st.sampled_from("abcdeABC"), st.sampled_from("vwxyzVW"), st.sampled_from([None, "", "k1", "K1", "k2", "k3", "k4"])),
                 min_size=1, max_size=40))
 def test_user_intake_matches_sequential(spark, triples):
