@@ -267,3 +267,25 @@ def test_risk_is_corrected_by_the_prior():
     positive = np.array([True] * 50 + [False] * 300)
     w = toxicity.train(rows, positive, 0.1, 2)
     assert w[0] + w[-1] > 0.5 and w[1] + w[-1] < -0.5
+
+
+def test_copies_count_once_without_their_texts(spark, monkeypatch):
+    """Counts over all rows, corrected by one row of each group of copies, equal those of distinct texts."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["blorg", "vexil", "calm", "sunny", "rain"]) + str(rng.randint(0, 3)) for _ in range(12)) for _ in range(60)]
+    rows = [(n, t, n % 5 == 0) for n, t in enumerate(texts * 2 + texts[:7] * 40 + [None, "", None])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(n, int(t)) for n, _, t in rows[:60]], "doc_id bigint, toxic int")
+    counted, count = [], toxicity.feature_counts
+
+    def watched(d, names):
+        out = count(d, names)
+        if names:
+            counted.append({r["feature"]: r["n"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(toxicity, "feature_counts", watched)
+    toxicity.fit(docs, labels)
+    features = toxicity.Features(None)
+    want = Counter(f for t in set(texts) for f in features(t))
+    assert counted and all(got == {f: want[f] for f in got} for got in counted)

@@ -14,7 +14,8 @@ each in a Spark task, and their probabilities averaged.
 Features are words and the first 4 to 9 letters of words, present or not.  Those
 that occur in positives are counted over all documents (a partial count per task),
 and the ones with the clearest excess in positives are kept, however rare; where no
-excess is sure, the weaker names are.  Bounded are the training sample
+excess is sure, the weaker names are.  Copies are left out of the counts by their keys: texts
+are not shuffled but for those that have copies.  Bounded are the training sample
 (``MAX_POSITIVE``, ``MAX_UNLABELLED``), of whose positives the names are taken, and
 the names of a classifier (``MAX_FEATURES``); counts and prior cover every
 text, scores every document.
@@ -99,20 +100,24 @@ def fold(id_col: Column) -> Column:
 
 
 def feature_counts(docs: DataFrame, names: list[str] | None) -> DataFrame:
-    """``feature``, ``n``: documents (column text) that hold each feature; all
-    features when ``names`` is None."""
+    """``feature``, ``n``: documents (column text) that hold each feature, each counted
+    ``times`` if there is such a column; all features when ``names`` is None."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features, total = Features(names), Counter()
         for b in batches:
-            for t in b["text"]:
-                total.update(features(t))
+            for t, times in zip(b["text"], b["times"]):
+                if times == 1:
+                    total.update(features(t))
+                else:
+                    total.update(dict.fromkeys(features(t), times))
             if names is None and len(total) > 500_000:
                 yield _counted(total, None)
                 total = Counter()
         yield _counted(total, names)
 
-    return docs.select("text").mapInPandas(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    times = F.col("times") if "times" in docs.columns else F.lit(1)
+    return docs.select("text", times.cast("bigint").alias("times")).mapInPandas(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def _counted(total: Counter, names: list[str] | None) -> pd.DataFrame:
@@ -202,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # counts are of distinct texts
     texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey"))
     keys = (texts.select("doc_id", "tkey").join(toxic, F.col("doc_id") == F.col("label_id"), "left")
-            .groupBy("tkey").agg(F.max("toxic").alias("toxic")))
+            .groupBy("tkey").agg(F.max("toxic").alias("toxic"), F.count(F.lit(1)).alias("copies")))
     keys = materialize(keys, "toxic-keys")
     share = keys.agg(F.count_if("toxic").alias("p"), F.count("toxic").alias("n"), F.count(F.lit(1)).alias("found")).first()
     if not share["p"]:
@@ -216,7 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n_pos = positive.count()
     if not n_pos:
         return Model([], [])
-    distinct = texts.select("tkey", "text").dropDuplicates(["tkey"])
+    # every row counts once, and one of each group of copies takes the others back: so only
+    # copied texts are brought together, found by their keys
+    copied = materialize(keys.filter("copies > 1").select("tkey", "copies"), "toxic-copies")
+    back = (texts.join(copied, "tkey").groupBy("tkey").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
+            .select("text", (1 - F.col("copies")).alias("times")))
+    distinct = texts.select("text", F.lit(1).cast("bigint").alias("times")).unionByName(back)
     seen = materialize(feature_counts(positive, None).filter(F.col("n") >= MIN_POSITIVE), "toxic-names")
     # Bonferroni over the names tried
     surely = float(np.log(max(seen.count(), 1) / CHANCE))
