@@ -58,7 +58,7 @@ def test_each_stage(spark, tmp_path):
 def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     names = set(entry.queries())
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names}
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} <= {x.split("_")[0] + "_" for x in names}
 
 
 def test_tokens_keep_the_training_order(spark, tmp_path):
