@@ -1,6 +1,8 @@
 """Operators with a DuckDB twin, on edge cases and on empty tables."""
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,53 @@ def test_ngram_join_with_other_classes(docs, same_as_sql, monkeypatch, limits):
     same_as_sql(ngram_join.join_report(ids), ngram_join.JOIN_SQL, documents=ids)
 
 
+def test_sketches_never_part_linked_sets():
+    """Pairs that sketches reject don't link, and unrelated sets are rejected."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (1, 3, 8, 40, 300, 2000, 9000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for change in (0.0, 0.03, 0.1, 0.14, 0.3, 1.0):
+            other = rng.integers(0, 1 << 63, int(size * change), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([base[len(other):], other])))
+            sets.append(np.unique(base[len(other):]) if len(other) < size else sets[-1])
+    n = np.array([len(s) for s in sets])
+    x, y = ngram_join.similar(n, np.arange(len(sets)), np.zeros(len(sets), np.int64), [ngram_join.sketch(s) for s in sets])
+    near = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(a, sets[j]))
+            if 100 * common >= 75 * (len(a) + len(sets[j]) - common):
+                assert (j, i) in near
+            elif not common and min(len(a), len(sets[j])) > 200 and max(len(a), len(sets[j])) < 3000:
+                assert (j, i) not in near
+
+
+@pytest.mark.parametrize("limits", [(512, 4096, 6), (2, 64, 0)])
+def test_ngram_join_with_null_ids_and_repeated_rows(docs, monkeypatch, limits):
+    """Every row, also NULL ids and repeated ones, against all pairs of sets; with and without hubs."""
+    for name, v in zip(("GROUP_BLOCK", "SKETCH_BITS", "STAR_ROUNDS"), limits):
+        monkeypatch.setattr(ngram_join, name, v)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if a and 100 * common >= 75 * (len(a) + len(sets[j]) - common) and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    expected = []
+    for i, (doc_id, _) in enumerate(rows):
+        ids = [rows[k][0] for k in range(len(rows)) if root[k] == root[i] and rows[k][0] is not None]
+        expected.append((doc_id, len(sets[i]), min(ids, default=None)))
+    got = [tuple(r) for r in ngram_join.join_report(docs).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_keep_first_keeps_one_of_each_group(docs):
     groups = ngram_join.groups(docs).select("n", "root").collect()
     kept = ngram_join.keep_first(docs)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,11 +27,33 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wirework-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Folders to delete when the innermost ``temporary_tables`` ends, by nesting.
+_temporary: ContextVar[tuple[list[str], ...]] = ContextVar("temporary", default=())
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are deleted at the end.  What is returned must have been
+    written with ``keep``: it then stands by itself, also after a lost executor."""
+    paths: list[str] = []
+    token = _temporary.set((*_temporary.get(), paths))
+    try:
+        yield
+    finally:
+        _temporary.reset(token)
+        for path in paths:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: later
     steps read the same rows after a lost executor, only the columns they need,
-    and the lineage is cut."""
+    and the lineage is cut.  ``keep``: the table outlives the innermost ``temporary_tables``."""
     path = shared_path(df.sparkSession, label)
+    scopes = _temporary.get()[:-1] if keep else _temporary.get()
+    if scopes:
+        scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -17,16 +17,18 @@ G is an eighth of the size class of the larger set (a power of two), so a set ha
 number of pairs in proportion to its tokens; it writes them for its own class and,
 where a partner may be of the next class, for that.  Below class 8 frequent tokens
 are single signatures too.  Rare tokens that occur in one document alone take their
-place in the prefix but are not written.
+place in the prefix but are not written (as far as a bitmap of the shared ones tells).
 
 Only sets that share a signature meet; of signatures that the same sets have, one is
 enough.  In a round each set is compared with one hub, the first set of the most
 frequent signature it has left; linked sets become components, and signatures whose
 sets are all in one component are done with.  So a group of thousands of near copies
-costs a few comparisons per member, not one per pair.  In the last round all pairs of
-sets in different components that share a signature are verified: no link between
-different components is lost.  Verification counts the common tokens of the whole
-sets.
+costs a few comparisons per member, not one per pair.  What hubs leave, sets in
+different components that share a signature, meets inside tasks, block against block
+of a signature: sizes, and sketches whose bits differ in no more places than the sets,
+show most pairs to be too far apart, and only the others become rows.  So no link
+between different components is lost, and no signature gives a row per pair of its
+sets.  Verification counts the common tokens of the whole sets.
 
 Token counts cover all documents: each task sorts the tokens of a batch, deals them
 by hash range, and sends them as compressed differences; the frequent ones come back
@@ -57,17 +59,19 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, temporary_tables
 from .components import components
 
 # --- parameters ---
 NGRAM = 5
 PERCENT = 75
-FREQUENT = 2                # documents that make a token frequent, at least
+FREQUENT = 4                # documents that make a token frequent, at least
 MOST_FREQUENT = 1 << 24     # tokens of the frequent class
 BITMAP_BITS = 27            # of the bitmaps that tasks get
 BLOCK_TOKENS = 2_000_000    # tokens counted by a task at a time
 STAR_ROUNDS = 6
+GROUP_BLOCK = 512           # sets of a signature compared with each other by one task at a time
+SKETCH_BITS = 4096          # of a set's sketch, at most
 REMEMBERED_WORDS = 500_000
 # ------------------
 
@@ -159,7 +163,7 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def token_frequencies(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """``key``, ``count`` of the keys (leading bits of tokens) of FREQUENT
+    """``key``, ``count`` of the keys (leading bits of tokens) of two
     documents or more, and the number of bits.  32 keys for each token keep chance meetings
     rare at any size."""
     bits = min(60, max(24, math.ceil(math.log2(total + 1)) + 5))
@@ -187,7 +191,7 @@ def token_frequencies(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
 
     def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
         keys, n = np.unique(np.concatenate([unpack_sorted(d) for d in pdf["keys"]]), return_counts=True)
-        many = n >= FREQUENT
+        many = n > 1
         return pd.DataFrame({"key": (keys[many] + _U(int(key[0])) * span).astype(np.int64), "count": n[many]})
 
     sent = docs.select("text").mapInArrow(run, "block int, keys binary")
@@ -211,9 +215,8 @@ def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[place >> _U(6)] >> (place & _U(63))) & _U(1) == 1
 
 
-def frequent_tokens(docs: DataFrame, total: int) -> tuple[np.ndarray, int, bool]:
-    """Bitmap of the keys of frequent tokens, the number of bits of a key, and
-    whether rare tokens can occur in two documents."""
+def token_classes(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bitmaps of the keys of frequent and of shared tokens, and the number of bits of a key."""
     found, bits = token_frequencies(docs, total)
     found = materialize(found, "token-counts")
     sizes = found.groupBy(F.floor(F.log2("count")).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -221,7 +224,7 @@ def frequent_tokens(docs: DataFrame, total: int) -> tuple[np.ndarray, int, bool]
     while sum(r["n"] for r in sizes if r["e"] >= e) > MOST_FREQUENT:
         e += 1
         least = 1 << e
-    return bitmap(found.filter(F.col("count") >= least), "key"), bits, least > 2
+    return bitmap(found.filter(F.col("count") >= least), "key"), bitmap(found, "key"), bits
 
 
 # ------------------------------------------------------------------ signatures
@@ -232,14 +235,13 @@ def size_classes(n: int) -> list[int]:
     return [own, 2 * own] if 100 * n >= PERCENT * 2 * own else [own]
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, shared_rare: bool = True) -> np.ndarray:
-    """Signatures of a set: sorted tokens and which of them are frequent.  Rare tokens
-    that no other set can have (``shared_rare`` is false) fill the prefix but are no
-    signatures."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Signatures of a set: sorted tokens, which of them are frequent, and which another
+    set may have.  Rare tokens that no other set has fill the prefix but are no signatures."""
     n = len(tokens)
     lack = n - (PERCENT * n + 99) // 100
-    rare = tokens[~frequent]
-    out = [rare[:lack + 1] if shared_rare else rare[:0]]
+    rare, known = tokens[~frequent], shared[~frequent]
+    out = [rare[:lack + 1][known[:lack + 1]]]
     if len(rare) > lack:
         return out[0]
     often = tokens[frequent]
@@ -261,7 +263,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, shared_rare: bool = Tru
     return np.concatenate(out)
 
 
-def signature_rows(docs: DataFrame, bits: np.ndarray, key_bits: int, shared_rare: bool) -> DataFrame:
+def signature_rows(docs: DataFrame, frequent: np.ndarray, shared: np.ndarray, key_bits: int) -> DataFrame:
     """``sig``, ``n``, ``sid`` of every document's signatures."""
     shift = _U(64 - key_bits)
     names = ("sig", "n", "sid")
@@ -278,7 +280,8 @@ def signature_rows(docs: DataFrame, bits: np.ndarray, key_bits: int, shared_rare
         with np.errstate(over="ignore"):
             for (tokens,) in _texts(batches):
                 if len(tokens):
-                    found = signatures(tokens, in_bitmap(bits, tokens >> shift), shared_rare)
+                    keys = tokens >> shift
+                    found = signatures(tokens, in_bitmap(frequent, keys), in_bitmap(shared, keys))
                     if len(found):
                         sigs.append(found)
                         owners.append((len(tokens), set_id(tokens)))
@@ -381,6 +384,108 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+# ------------------------------------------------------------------ what hubs leave
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each of W buckets of tokens, whether the set has an odd number in it: two sketches
+    differ in no more bits than the sets in tokens.  W is the next power of two above the
+    set's size (64 to SKETCH_BITS); halves of a sketch combine by xor to one of W / 2."""
+    width = min(SKETCH_BITS, max(64, 1 << len(tokens).bit_length()))
+    odd = np.bincount((tokens & _U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """``sid``, ``sketch`` of ``sets``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(np.frombuffer(t.as_py(), np.uint64)) for t in batch.column("tokens")]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(found, pa.binary())], names=["sid", "sketch"])
+
+    return sets.select("sid", "tokens").mapInArrow(run, "sid bigint, sketch binary")
+
+
+def similar(n: np.ndarray, c: np.ndarray, apart: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the sets of different components ``c`` that sizes and sketches let
+    link: J >= 3/4 leaves a seventh of both sizes as tokens of one set only.  Sets meet
+    when one is in part 0 of ``apart`` and the other isn't, or all are in part 0."""
+    words = [np.frombuffer(m, "<u8") for m in marks]
+    width = np.array([len(w) for w in words])
+    within = not apart.any()
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in np.unique(width):
+        mine, others = np.flatnonzero(width == w), np.flatnonzero(width >= w)
+        folded = np.array([np.bitwise_xor.reduce(words[k].reshape(-1, w), axis=0) for k in others])
+        own = folded[width[others] == w]
+        step = max(1, 1_000_000 // (len(others) * int(w)))
+        for at in range(0, len(mine), step):
+            i, j = mine[at:at + step, None], others[None, :]
+            good = (c[i] != c[j]) & ((width[j] > w) | (i < j))
+            good &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+            if not within:
+                good &= apart[i] != apart[j]
+            x, y = np.nonzero(good)
+            if not len(x):
+                continue
+            differ = np.bitwise_count(own[at:at + step][x] ^ folded[y]).sum(axis=1, dtype=np.int64)
+            x, y = mine[at + x], others[y]
+            near = (100 + PERCENT) * differ <= (100 - PERCENT) * (n[x] + n[y])
+            left.append(x[near])
+            right.append(y[near])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def similar_pairs(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a``, ``b``: sets of different components that share a signature and that sizes and
+    sketches let link.  Sets of a signature meet inside tasks, block against block, so only
+    pairs that pass become rows, and a hot signature is spread over its pairs of blocks."""
+    names = ("sig", "p", "q", "part", "sid", "n", "c")
+    sizes = posts.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("sid", "sig"), F.col("blocks")).cast("int")
+    rows = (posts.join(sizes, "sig").withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+                    (F.col("own") > F.col("other")).cast("int").alias("part"), "sid", "n", "c")
+            .join(sketches(sets), "sid").select(*names, "sketch"))
+
+    def groups_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole groups (sig, p, q) of the sorted rows: many in a table, none cut."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            keys = np.stack([held.column(k).to_numpy() for k in names[:3]])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))
+            if len(cuts):
+                yield held.slice(0, int(cuts[-1]) + 1)
+                held = held.slice(int(cuts[-1]) + 1)
+        if held is not None:
+            yield held
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups_of(batches):
+            sig, p, q, apart, sid, n, c = (part.column(k).to_numpy() for k in names)
+            marks = part.column("sketch").to_pylist()
+            first = np.r_[True, (sig[1:] != sig[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
+            ends = np.r_[np.flatnonzero(first), len(sig)]
+            found = [np.zeros((2, 0), np.int64)]
+            for lo, hi in zip(ends, ends[1:]):
+                # two blocks with rows of one alone have nothing to compare
+                if hi - lo < 2 or (p[lo] != q[lo] and apart[lo:hi].all()):
+                    continue
+                if p[lo] != q[lo] and not apart[lo:hi].any():
+                    continue
+                i, j = similar(n[lo:hi], c[lo:hi], apart[lo:hi], marks[lo:hi])
+                found.append(np.sort(np.stack([sid[lo:hi][i], sid[lo:hi][j]]), axis=0))
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield _longs(a, b, names=("a", "b"))
+
+    ordered = rows.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _pairs(rows: DataFrame, a: str, b: str, na: str, nb: str) -> DataFrame:
     close = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
     return (rows.filter((F.col(a) != F.col(b)) & close)
@@ -389,7 +494,7 @@ def _pairs(rows: DataFrame, a: str, b: str, na: str, nb: str) -> DataFrame:
 
 def set_components(docs: DataFrame, rows: DataFrame, total: int) -> DataFrame:
     """``node`` (a sid), ``root`` of every set with a link; ``rows``: the members."""
-    posts = materialize(shared_signatures(signature_rows(docs, *frequent_tokens(docs, total))), "postings")
+    posts = materialize(shared_signatures(signature_rows(docs, *token_classes(docs, total))), "postings")
     posts = materialize(without_twins(posts).withColumn("c", F.col("sid")), "signatures")
     texts = rows.select("sid", "text_key").join(posts.select("sid").distinct(), "sid", "left_semi")
     sets = materialize(sets_of(docs, bitmap(texts, "text_key")), "sets")
@@ -403,8 +508,7 @@ def set_components(docs: DataFrame, rows: DataFrame, total: int) -> DataFrame:
             break
         last = turn == STAR_ROUNDS or left <= 2 * posts.count()
         if last:
-            x = posts.select("sig", F.col("n").alias("xn"), F.col("sid").alias("x"), F.col("c").alias("xc"))
-            more = _pairs(posts.join(x, "sig").filter("c < xc"), "sid", "x", "n", "xn")
+            more = similar_pairs(posts, sets)
         else:
             # each set meets one hub: that of the most frequent signature it has left
             hub = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "n", "sid", "c") if turn else F.struct("n", "sid", "c")
@@ -431,17 +535,20 @@ def groups(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text_key``, ``n``, ``sid``, ``root`` (the group's smallest set) and
     ``component_id`` (its smallest doc_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(members(docs), "members")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    if not total:
-        return rows.withColumn("root", F.lit(None).cast("bigint")).withColumn("component_id", F.col("doc_id"))
-    roots = materialize(set_components(docs, rows, total), "roots").withColumnRenamed("node", "sid")
-    firsts = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"))
-    named = firsts.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = named.select("sid", "root").join(least, "root")
-    out = rows.join(known, "sid", "left")
-    return out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    with temporary_tables(docs.sparkSession):
+        rows = materialize(members(docs), "members")
+        total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+        if not total:
+            out = rows.withColumn("root", F.lit(None).cast("bigint")).withColumn("component_id", F.col("doc_id"))
+            return materialize(out, "groups", keep=True)
+        roots = materialize(set_components(docs, rows, total), "roots").withColumnRenamed("node", "sid")
+        firsts = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"))
+        named = firsts.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+        known = named.select("sid", "root").join(least, "root")
+        out = rows.join(known, "sid", "left")
+        out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+        return materialize(out, "groups", keep=True)
 
 
 def join_report(docs: DataFrame) -> DataFrame:
