@@ -27,9 +27,11 @@ from .changes import DEFAULT_QUANTITY, LOG_TEMPLATES, latest_completions, patch_
 KEY = D1.KEY
 
 
-def accepted_changes(changes: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The applied changes of the batch with all their columns."""
-    return materialize(changes.join(decisions.filter("applied").select(*KEY), KEY, "left_semi"))
+def accepted_changes(changes: DataFrame, decisions: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The applied changes of the batch with all their columns, or ``KEY`` and ``columns``
+    where one table alone is derived from them: payloads are neither moved nor written then."""
+    wanted = changes.select(*KEY, *columns) if columns is not None else changes
+    return materialize(wanted.join(decisions.filter("applied").select(*KEY), KEY, "left_semi"))
 
 
 def completions_after(completions: DataFrame, accepted: DataFrame) -> DataFrame:
