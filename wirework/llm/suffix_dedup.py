@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, temporary_tables
 from .ngram_join import bitmap, in_bitmap, mix
 
 # --- parameters ---
@@ -393,14 +393,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.unhex(F.md5(text.cast("binary"))).alias("tkey"))
 
 
-def _only(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The rows whose text may be in the bitmap (a few others pass as well)."""
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose (tkey, doc) may be in ``wanted``, by a bitmap: a few others pass as well,
+    but not all copies of a text."""
+    bits = bitmap(wanted.select(F.xxhash64("tkey", "doc").alias("k")), "k")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(bits, batch.column("k").to_numpy())))
 
-    rows = texts.select("tkey", "doc", F.col("text").cast("binary").alias("data"), F.xxhash64("tkey").alias("k"))
+    rows = texts.select("tkey", "doc", F.col("text").cast("binary").alias("data"), F.xxhash64("tkey", "doc").alias("k"))
     return rows.mapInArrow(run, rows.schema)
 
 
@@ -413,26 +415,28 @@ def removed_spans(keyed: DataFrame, base: DataFrame) -> DataFrame:
     block_bits = max(0, min(24, math.ceil(math.log2(max(count / BLOCK_MINIMIZERS, 1)))))
     units = base.filter(F.col("n_bytes") >= SPAN).groupBy("tkey").agg(F.min("doc").alias("doc"))
     data = keyed.select("tkey", F.col("text").cast("binary").alias("data"))
-    shared = (shared_minimizers(minimizer_rows(data, block_bits)).groupBy("tkey")
-              .agg(F.collect_list(F.struct("block", "hashes")).alias("shared")))   # of one text
-    shared = materialize(shared.join(units, "tkey"), "shared-minimizers")
-    texts = _only(keyed, bitmap(shared.select(F.xxhash64("tkey").alias("k")), "k"))
-    found = texts.join(shared, ["tkey", "doc"]).select("tkey", "doc", "data", "shared")
-    found = materialize(stretches(found, block_bits), "stretches")
-    parts = found.groupBy("mkey", "bytes").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n"))
-    parts = materialize(parts.withColumn("h", F.xxhash64("bytes")), "distinct-stretches")
-    size = parts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).alias("t")).first()["t"]
-    # bounded: at most a minimizer for each SORT_BYTES of distinct stretches
-    hot = parts.groupBy("mkey").agg(F.sum(F.octet_length("bytes")).alias("t")).filter(F.col("t") > SORT_BYTES)
-    hot = F.broadcast(materialize(hot.select("mkey"), "hot-minimizers"))
-    known = judged(parts.join(hot, "mkey", "left_anti"), max(1, math.ceil(size / SORT_BYTES)))
-    known = known.unionByName(judged_apart(parts.join(hot, "mkey", "left_semi")))
-    places = found.select("mkey", F.xxhash64("bytes").alias("h"), "doc", "tkey", "pos", F.octet_length("bytes").alias("size"))
-    met = places.join(known, ["mkey", "h"]).filter((F.col("doc") > F.col("owner")) | (F.size("spans") > 0))
-    whole = F.array(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("size")).alias("b")))
-    own = F.transform("spans", lambda s: F.struct((s["a"] + F.col("pos")).alias("a"), (s["b"] + F.col("pos")).alias("b")))
-    ranges = met.select("tkey", "doc", F.when(F.col("doc") > F.col("owner"), whole).otherwise(own).alias("s"))
-    return ranges.groupBy("tkey", "doc").agg(F.flatten(F.collect_list("s")).alias("spans"))   # of one text
+    with temporary_tables(keyed.sparkSession):
+        with temporary_tables(keyed.sparkSession):
+            shared = (shared_minimizers(minimizer_rows(data, block_bits)).groupBy("tkey")
+                      .agg(F.collect_list(F.struct("block", "hashes")).alias("shared")))   # of one text
+            shared = materialize(shared.join(units, "tkey"), "shared-minimizers")
+            found = _only(keyed, shared).join(shared, ["tkey", "doc"]).select("tkey", "doc", "data", "shared")
+            found = materialize(stretches(found, block_bits), "stretches", keep=True)
+        parts = found.groupBy("mkey", "bytes").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n"))
+        parts = materialize(parts.withColumn("h", F.xxhash64("bytes")), "distinct-stretches")
+        size = parts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).alias("t")).first()["t"]
+        # bounded: at most a minimizer for each SORT_BYTES of distinct stretches
+        hot = parts.groupBy("mkey").agg(F.sum(F.octet_length("bytes")).alias("t")).filter(F.col("t") > SORT_BYTES)
+        hot = F.broadcast(materialize(hot.select("mkey"), "hot-minimizers"))
+        known = judged(parts.join(hot, "mkey", "left_anti"), max(1, math.ceil(size / SORT_BYTES)))
+        known = materialize(known.unionByName(judged_apart(parts.join(hot, "mkey", "left_semi"))), "judged-stretches")
+        places = found.select("mkey", F.xxhash64("bytes").alias("h"), "doc", "tkey", "pos", F.octet_length("bytes").alias("size"))
+        met = places.join(known, ["mkey", "h"]).filter((F.col("doc") > F.col("owner")) | (F.size("spans") > 0))
+        whole = F.array(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("size")).alias("b")))
+        own = F.transform("spans", lambda s: F.struct((s["a"] + F.col("pos")).alias("a"), (s["b"] + F.col("pos")).alias("b")))
+        ranges = met.select("tkey", "doc", F.when(F.col("doc") > F.col("owner"), whole).otherwise(own).alias("s"))
+        ranges = ranges.groupBy("tkey", "doc").agg(F.flatten(F.collect_list("s")).alias("spans"))   # of one text
+        return materialize(ranges, "removed", keep=True)
 
 
 def _base(keyed: DataFrame) -> DataFrame:
@@ -444,7 +448,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     keyed = _keyed(docs, id_col, text_col)
     base = _base(keyed)
-    spans = materialize(removed_spans(keyed, base), "removed")
+    spans = removed_spans(keyed, base)
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -457,7 +461,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(r, pa.int64()), pa.array(n, pa.int64()),
                                               pa.array(h, pa.string())], names=["tkey", "r", "s", "h"])
 
-    texts = _only(keyed, bitmap(spans.select(F.xxhash64("tkey").alias("k")), "k")).dropDuplicates(["tkey", "doc"])
+    texts = _only(keyed, spans).dropDuplicates(["tkey", "doc"])
     cut = texts.join(spans, ["tkey", "doc"]).select("tkey", "data", "spans").mapInArrow(
         digest, "tkey binary, r bigint, s bigint, h string")
     first = base.groupBy("tkey").agg(F.min("doc").alias("first"))
@@ -485,7 +489,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     splits go as well); documents that lose their whole text go."""
     keyed = _keyed(docs, id_col, text_col)
     base = _base(keyed)
-    spans = materialize(removed_spans(keyed, base), "removed")
+    spans = removed_spans(keyed, base)
     first = base.groupBy("tkey").agg(F.min("doc").alias("_sd_first"), F.max("n_bytes").alias("_sd_size"))
     first = first.join(spans.select("tkey", F.col("spans").alias("_sd_spans")), "tkey", "left").withColumnRenamed("tkey", "_sd_key")
 
