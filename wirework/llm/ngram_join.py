@@ -21,14 +21,16 @@ place in the prefix but are not written (as far as a bitmap of the shared ones t
 
 Only sets that share a signature meet; of signatures that the same sets have, one is
 enough.  In a round each set is compared with one hub, the first set of the most
-frequent signature it has left; linked sets become components, and signatures whose
-sets are all in one component are done with.  So a group of thousands of near copies
-costs a few comparisons per member, not one per pair.  What hubs leave, sets in
-different components that share a signature, meets inside tasks, block against block
-of a signature: sizes, and sketches whose bits differ in no more places than the sets,
-show most pairs to be too far apart, and only the others become rows.  So no link
-between different components is lost, and no signature gives a row per pair of its
-sets.  Verification counts the common tokens of the whole sets.
+frequent signature it has left (later, of any one); linked sets become components, and
+signatures whose sets are all in one component are done with.  So a group of thousands
+of near copies costs a few comparisons per member, not one per pair.  When hubs settle
+little more, sets in different components that share a signature meet inside tasks, block
+against block of a signature: sizes, and sketches whose bits differ in no more places than
+the sets, show most pairs to be too far apart.  First each signature gives the closest pairs
+that join what all its pairs join (a forest, so fewer rows than sets); then all pairs that
+are still in different components become rows, each at the first signature that its sets
+share.  So no link between different components is lost, and no signature gives a row per
+pair of its sets.  Verification counts the common tokens of the whole sets.
 
 Token counts cover all documents: each task sorts the tokens of a batch, deals them
 by hash range, and sends them as compressed differences; the frequent ones come back
@@ -70,23 +72,21 @@ MOST_FREQUENT = 1 << 24     # tokens of the frequent class
 BITMAP_BITS = 27            # of the bitmaps that tasks get
 BLOCK_TOKENS = 2_000_000    # tokens counted by a task at a time
 STAR_ROUNDS = 6
+SMALL_GROUP = 32            # sets of a signature that are compared together with those of others
 GROUP_BLOCK = 512           # sets of a signature compared with each other by one task at a time
 SKETCH_BITS = 4096          # of a set's sketch, at most
-REMEMBERED_WORDS = 500_000
+TABLED_BYTES = 64           # of a word, hashed by table; longer words are digested
+BLOCK_BYTES = 1 << 18       # of texts cut into words at a time
 # ------------------
 
 _U = np.uint64
 _FACTOR = [_U(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(NGRAM + 2)]
 
 
-class _Words(dict):
-    """64-bit hashes of words met, emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
+#: A random number for each byte at each place of a word: the sum of those of a word is its hash.
+_TABLE = np.frombuffer(hashlib.shake_256(b"words").digest(TABLED_BYTES * 256 * 8), "<u8")
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_INSIDE = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -95,20 +95,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def token_set(text: str | None, words: dict) -> np.ndarray:
-    """The sorted distinct token hashes of a text."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(parts)
-    if not n:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(words.__getitem__, parts), np.uint64, n)
-    with np.errstate(over="ignore"):
-        if n < NGRAM:
-            return mix((w * np.array(_FACTOR[1:n + 1])).sum(keepdims=True, dtype=np.uint64) + _U(n))
-        h = w[:n - NGRAM + 1] * _FACTOR[1]
-        for k in range(1, NGRAM):
-            h = h + w[k:n - NGRAM + 1 + k] * _FACTOR[k + 1]
-        return np.unique(mix(h))
+def word_hashes(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of ``data`` (bytes of texts that start at ``begin``) and its place."""
+    data = _LOWER[data]
+    inside = _INSIDE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begin = begin[begin < len(data)]
+    first[begin] = inside[begin]
+    at = np.flatnonzero(inside)
+    word = np.flatnonzero(first[at])
+    if not len(word):
+        return np.zeros(0, np.uint64), word
+    size = np.diff(word, append=len(at))
+    place = np.arange(len(at)) - np.repeat(word, size)
+    hashes = np.add.reduceat(_TABLE[(np.minimum(place, TABLED_BYTES - 1) << 8) | data[at]], word)
+    for k in np.flatnonzero(size > TABLED_BYTES):
+        a = at[word[k]]
+        hashes[k] = int.from_bytes(hashlib.blake2b(data[a:a + size[k]].tobytes(), digest_size=8).digest(), "little")
+    return hashes, at[word]
+
+
+def token_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct token hashes of each text."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data if data is not None else b"", np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK_BYTES, "right")) - 1)
+        begin = offsets[lo:hi + 1] - offsets[lo]
+        w, places = word_hashes(data[offsets[lo]:offsets[hi]], begin)
+        ends = np.searchsorted(places, begin).tolist()
+        lo = hi
+        with np.errstate(over="ignore"):
+            # windows across two texts are not used
+            h = np.zeros(0, np.uint64)
+            if len(w) >= NGRAM:
+                h = w[:len(w) - NGRAM + 1] * _FACTOR[1]
+                for k in range(1, NGRAM):
+                    h = h + w[k:len(w) - NGRAM + 1 + k] * _FACTOR[k + 1]
+                h = mix(h)
+            for a, b in zip(ends, ends[1:]):
+                if b - a >= NGRAM:
+                    found = np.sort(h[a:b - NGRAM + 1])
+                    yield found[np.r_[True, found[1:] != found[:-1]]]
+                elif b > a:
+                    yield mix((w[a:b] * np.array(_FACTOR[1:b - a + 1])).sum(keepdims=True, dtype=np.uint64) + _U(b - a))
+                else:
+                    yield np.zeros(0, np.uint64)
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -117,12 +153,9 @@ def set_id(tokens: np.ndarray) -> int:
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """Other columns' values and the token set of each row; text is the last column."""
-    words = _Words()
     for batch in batches:
         *others, text = batch.columns
-        others = [c.to_pylist() for c in others]
-        for k in range(batch.num_rows):
-            yield *(c[k] for c in others), token_set(text[k].as_py(), words)
+        yield from zip(*(c.to_pylist() for c in others), token_sets(text))
 
 
 def members(docs: DataFrame) -> DataFrame:
@@ -406,13 +439,19 @@ def sketches(sets: DataFrame) -> DataFrame:
 
 
 def similar(n: np.ndarray, c: np.ndarray, apart: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the sets that ``distances`` has."""
+    return distances(n, c, apart, marks)[:2]
+
+
+def distances(n: np.ndarray, c: np.ndarray, apart: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, ...]:
     """Places (i, j) of the sets of different components ``c`` that sizes and sketches let
-    link: J >= 3/4 leaves a seventh of both sizes as tokens of one set only.  Sets meet
-    when one is in part 0 of ``apart`` and the other isn't, or all are in part 0."""
+    link, and the bits by which these differ: J >= 3/4 leaves a seventh of both sizes as
+    tokens of one set only.  Sets meet when one is in part 0 of ``apart`` and the other
+    isn't, or all are in part 0."""
     words = [np.frombuffer(m, "<u8") for m in marks]
     width = np.array([len(w) for w in words])
     within = not apart.any()
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found = [np.zeros((3, 0), np.int64)]
     for w in np.unique(width):
         mine, others = np.flatnonzero(width == w), np.flatnonzero(width >= w)
         folded = np.array([np.bitwise_xor.reduce(words[k].reshape(-1, w), axis=0) for k in others])
@@ -430,23 +469,106 @@ def similar(n: np.ndarray, c: np.ndarray, apart: np.ndarray, marks: list[bytes])
             differ = np.bitwise_count(own[at:at + step][x] ^ folded[y]).sum(axis=1, dtype=np.int64)
             x, y = mine[at + x], others[y]
             near = (100 + PERCENT) * differ <= (100 - PERCENT) * (n[x] + n[y])
-            left.append(x[near])
-            right.append(y[near])
-    return np.concatenate(left), np.concatenate(right)
+            found.append(np.stack([x[near], y[near], differ[near]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def small_distances(ends: np.ndarray, n: np.ndarray, c: np.ndarray, meet: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """As ``distances``, of the sets of each group of at most SMALL_GROUP rows (``ends``: where
+    groups begin and end) at once; rows of unequal ``meet`` meet, and all where it is -1."""
+    size = np.diff(ends)
+    last = np.repeat(ends[1:], size)
+    at = np.flatnonzero(np.repeat(size <= SMALL_GROUP, size))
+    more = last[at] - at - 1
+    x = np.repeat(at, more)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(more) - more, more)
+    good = (c[x] != c[y]) & ((meet[x] != meet[y]) | (meet[x] < 0))
+    good &= 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
+    x, y = x[good], y[good]
+    width = np.array([len(m) // 8 for m in marks], np.int64)
+    least = np.minimum(width[x], width[y])
+    found = [np.zeros((3, 0), np.int64)]
+    for w in np.unique(least).tolist():
+        i, j = x[least == w], y[least == w]
+        rows, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+        bits = np.empty((len(rows), w), np.uint64)
+        for v in np.unique(width[rows]).tolist():
+            own = np.flatnonzero(width[rows] == v)
+            whole = np.frombuffer(b"".join(marks[k] for k in rows[own].tolist()), "<u8")
+            bits[own] = np.bitwise_xor.reduce(whole.reshape(len(own), v // w, w), axis=1)
+        differ = np.bitwise_count(bits[where[:len(i)]] ^ bits[where[len(i):]]).sum(axis=1, dtype=np.int64)
+        near = (100 + PERCENT) * differ <= (100 - PERCENT) * (n[i] + n[j])
+        found.append(np.stack([i[near], j[near], differ[near]]))
+    return np.concatenate(found, axis=1)
+
+
+def forest(x: np.ndarray, y: np.ndarray, cost: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which pairs (x, y) join all components ``c`` that all pairs join, without a circle,
+    the cheapest ones: in a round, each component takes its cheapest pair."""
+    order = np.argsort(cost, kind="stable")
+    nodes, label = np.unique(np.concatenate([c[x[order]], c[y[order]]]), return_inverse=True)
+    a, b = label.reshape(2, -1)
+    now, open_, chosen = np.arange(len(nodes)), np.arange(len(order)), [np.zeros(0, np.int64)]
+    while True:
+        p, q = now[a[open_]], now[b[open_]]
+        open_, p, q = open_[p != q], p[p != q], q[p != q]
+        if not len(open_):
+            return order[np.concatenate(chosen)]
+        _, first = np.unique(np.stack([p, q], axis=1).ravel(), return_index=True)
+        first = np.unique(first // 2)
+        chosen.append(open_[first])
+        root, before = np.arange(len(nodes)), None
+        while before is None or (root != before).any():
+            before = root.copy()
+            low = np.minimum(root[p[first]], root[q[first]])
+            np.minimum.at(root, p[first], low)
+            np.minimum.at(root, q[first], low)
+            root = root[root]
+        now = root[now]
+
+
+def met_first(x: np.ndarray, y: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+    """Which pairs (x, y) of sets have nothing in common in ``before``, a list for each set."""
+    keep = np.arange(len(x))
+    values, number, count = np.unique(np.concatenate([*before, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+    # a bit for each value that two sets have, the most frequent ones first: they settle most pairs
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(values))
+    owner = np.repeat(np.arange(len(before)), [len(b) for b in before])
+    shared = count[number] > 1
+    owner, rank = owner[shared], rank[number[shared]]
+    for at in range(0, rank.max(initial=-1) + 1, 512):
+        some = (rank >= at) & (rank < at + 512)
+        bits = np.zeros((len(before), 512), bool)
+        bits[owner[some], rank[some] - at] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        step = 200_000
+        left = [k[~(bits[x[k]] & bits[y[k]]).any(axis=1)] for k in (keep[a:a + step] for a in range(0, len(keep), step))]
+        keep = np.concatenate([*left, keep[:0]])
+        if not len(keep):
+            break
+    return keep
 
 
-def similar_pairs(posts: DataFrame, sets: DataFrame) -> DataFrame:
+def similar_pairs(posts: DataFrame, sets: DataFrame, nearest: bool = False) -> DataFrame:
     """``a``, ``b``: sets of different components that share a signature and that sizes and
     sketches let link.  Sets of a signature meet inside tasks, block against block, so only
-    pairs that pass become rows, and a hot signature is spread over its pairs of blocks."""
+    pairs that pass become rows, and a hot signature is spread over its pairs of blocks.  Each
+    row has the smaller signatures of its set: two sets become a row at the first that they share.
+    ``nearest``: of each signature only the closest pairs that join what all its pairs join,
+    fewer than it has sets (in a block)."""
     names = ("sig", "p", "q", "part", "sid", "n", "c")
     sizes = posts.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_BLOCK)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("sid", "sig"), F.col("blocks")).cast("int")
+    marks, before = sketches(sets), F.array().cast("array<bigint>")
+    if not nearest:
+        marks = marks.join(posts.groupBy("sid").agg(F.sort_array(F.collect_set("sig")).alias("sigs")), "sid")   # of one set
+        before = F.slice("sigs", F.lit(1), (F.array_position("sigs", F.col("sig")) - 1).cast("int"))
     rows = (posts.join(sizes, "sig").withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
                     (F.col("own") > F.col("other")).cast("int").alias("part"), "sid", "n", "c")
-            .join(sketches(sets), "sid").select(*names, "sketch"))
+            .join(marks, "sid").select(*names, "sketch", before.alias("before")))
 
     def groups_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Whole groups (sig, p, q) of the sorted rows: many in a table, none cut."""
@@ -467,18 +589,30 @@ def similar_pairs(posts: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups_of(batches):
             sig, p, q, apart, sid, n, c = (part.column(k).to_numpy() for k in names)
-            marks = part.column("sketch").to_pylist()
+            marks, before = part.column("sketch").to_pylist(), part.column("before").combine_chunks()
+            cut, before = before.offsets.to_numpy(), before.values.to_numpy()
             first = np.r_[True, (sig[1:] != sig[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
             ends = np.r_[np.flatnonzero(first), len(sig)]
-            found = [np.zeros((2, 0), np.int64)]
+            pairs = [small_distances(ends, n, c, np.where(p == q, -1, apart), marks)]
             for lo, hi in zip(ends, ends[1:]):
                 # two blocks with rows of one alone have nothing to compare
-                if hi - lo < 2 or (p[lo] != q[lo] and apart[lo:hi].all()):
-                    continue
-                if p[lo] != q[lo] and not apart[lo:hi].any():
-                    continue
-                i, j = similar(n[lo:hi], c[lo:hi], apart[lo:hi], marks[lo:hi])
-                found.append(np.sort(np.stack([sid[lo:hi][i], sid[lo:hi][j]]), axis=0))
+                if hi - lo > SMALL_GROUP and (p[lo] == q[lo] or 0 < apart[lo:hi].sum() < hi - lo):
+                    i, j, differ = distances(n[lo:hi], c[lo:hi], apart[lo:hi], marks[lo:hi])
+                    pairs.append(np.stack([lo + i, lo + j, differ]))
+            i, j, differ = np.concatenate(pairs, axis=1)
+            group = np.searchsorted(ends, i, "right")
+            order = np.argsort(group, kind="stable")
+            i, j, differ, group = i[order], j[order], differ[order], group[order]
+            found = [np.zeros((2, 0), np.int64)]
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, int)
+            for lo, hi in zip(starts, [*starts[1:], len(group)]):
+                x, y = i[lo:hi], j[lo:hi]
+                if nearest:
+                    once = forest(x, y, differ[lo:hi] / (n[x] + n[y]), c)
+                else:
+                    rows_, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    once = met_first(*where.reshape(2, -1), [before[cut[k]:cut[k + 1]] for k in rows_])
+                found.append(np.sort(np.stack([sid[x[once]], sid[y[once]]]), axis=0))
             a, b = np.unique(np.concatenate(found, axis=1), axis=1)
             yield _longs(a, b, names=("a", "b"))
 
@@ -498,24 +632,33 @@ def set_components(docs: DataFrame, rows: DataFrame, total: int) -> DataFrame:
     posts = materialize(without_twins(posts).withColumn("c", F.col("sid")), "signatures")
     texts = rows.select("sid", "text_key").join(posts.select("sid").distinct(), "sid", "left_semi")
     sets = materialize(sets_of(docs, bitmap(texts, "text_key")), "sets")
-    roots = None
-    for turn in range(STAR_ROUNDS + 1):
+    roots = before = None
+    nearest, turn = False, -1
+    while True:
+        turn += 1
         # pairs of sets in different components that share a signature
         per = posts.groupBy("sig", "c").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        per = per.groupBy("sig").agg(((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
-        left = per.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("p")).first()["p"]
+        per = per.groupBy("sig").agg(F.sum("m").alias("n"), ((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
+        left, rows_left = per.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
         if not left:
             break
-        last = turn == STAR_ROUNDS or left <= 2 * posts.count()
-        if last:
-            more = similar_pairs(posts, sets)
+        # hubs go on while they settle a quarter of the pairs; then each signature's nearest
+        # pairs join most of what is left, and then all pairs are compared
+        last = nearest
+        nearest = not last and (turn >= STAR_ROUNDS or left <= 2 * rows_left or (before is not None and left > 0.75 * before))
+        before = left
+        if last or nearest:
+            more = similar_pairs(posts, sets, nearest)
         else:
-            # each set meets one hub: that of the most frequent signature it has left
+            # each set meets one hub: that of the most frequent signature it has left, then of any
+            # one, as a passage that many texts share may be the most frequent of a group of copies
             hub = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "n", "sid", "c") if turn else F.struct("n", "sid", "c")
             met = posts.join(posts.groupBy("sig").agg(F.min(hub).alias("hub")), "sig").filter("c <> hub.c")
-            met = met.groupBy("sid", "n").agg(F.max_by("hub", F.struct("k", "sig")).alias("hub"))
+            rank = F.xxhash64("sig", F.lit(turn)) if turn else F.col("k")
+            met = met.groupBy("sid", "n").agg(F.max_by("hub", F.struct(rank, "sig")).alias("hub"))
             more = _pairs(met.select("sid", "n", F.col("hub.sid").alias("h"), F.col("hub.n").alias("hn")), "sid", "h", "n", "hn")
-        found = materialize(verified(more, sets), "links")
+        # written first: the sets are shuffled when the rows compared are gone from disk
+        found = materialize(verified(materialize(more, "pairs"), sets), "links")
         if not found.isEmpty():
             if roots is not None:       # what is known is a star per component already
                 found = found.unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
