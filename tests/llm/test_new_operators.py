@@ -46,6 +46,26 @@ def test_hard_negatives_in_small_blocks(spark, vector_rows, monkeypatch):
     assert sorted(map(tuple, onebit.mining_report(vectors).collect()), key=repr) == want
 
 
+def test_hard_negatives_move_anchors_without_a_broadcast(spark, vector_rows, monkeypatch):
+    """Anchors times blocks is no table that the driver may gather, however small the anchors are by
+    themselves; of all blocks at a place an anchor gets k rows."""
+    rows = onebit.quantised(vectors_of(spark, vector_rows))
+    index, anchors = onebit.build_index(rows, 150), rows.filter(F.col("id") % 100 == 0)
+    assert index.count() > 20
+    want = sorted(map(tuple, onebit.positives(index, anchors, 3).collect()), key=repr)
+    monkeypatch.setattr(onebit, "HELD_BLOCKS", 1000)
+    monkeypatch.setattr(onebit, "PLACES_PER_CORE", 0)          # one place
+
+    def answer(blocks, anchor):
+        yield anchor["key"], len(blocks)
+
+    pairs = onebit.searched(index, anchors.select(F.struct("key", "label", "q").alias("anchor")), answer, "key bigint, blocks bigint")
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    held = [tuple(r) for r in pairs.collect()]
+    assert len(held) == anchors.count() and max(n for _, n in held) > 16
+    assert sorted(map(tuple, onebit.positives(index, anchors, 3).collect()), key=repr) == want
+
+
 @pytest.mark.parametrize("width, spread", [(1, 9), (3, 200), (64, 60), (100, 3000), (130, 1)])
 def test_intervals_hold_every_score(width, spread):
     rng = np.random.default_rng(width)

@@ -18,11 +18,11 @@ others within it, are dropped; those that stay are scored in integers, from the
 end down, until no other can enter the first k.
 
 Mining takes two passes: each anchor's positives (first rows of its label), then for
-each positive the first rows of other labels within the range its score sets.  Both join
-groups of anchors with blocks of rows; a group and a block are a row each, of bounded size, so a
-block is read once per some hundreds of anchors and no pair of rows leaves a task.  Per block an
-anchor gives at most k rows, which Spark cuts to the k best before it shuffles them
-(WindowGroupLimit).  Blocks are cut from a sort by width and label, so a
+each positive the first rows of other labels within the range its score sets.  Both deal the
+blocks to places and send the anchors, a row each, to every place, where they pass the blocks
+one after another: a task holds some blocks and one anchor, neither is gathered or broadcast, no pair
+of rows leaves a task, and an anchor takes at most k rows with it (per positive).  The score of the last of them is
+the least that the place's next block has to reach.  Blocks are cut from a sort by width and label, so a
 frequent label only has more blocks.
 
 Defined cases: rows with a NULL label, a NULL vector, or a NULL or non-finite component take no
@@ -36,7 +36,8 @@ negatives, give no row; an empty table gives none; other columns don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,11 @@ BLOCK_VALUES = 1 << 19
 GROUP_VALUES = 1 << 15
 # ------------------
 
+#: Blocks that a task holds, more or less, and the places that a core gets if there are blocks enough.
+HELD_BLOCKS, PLACES_PER_CORE = 16, 4
+#: Rows that a task gathers before it hands them on.
+ROWS_OUT = 50_000
+
 #: Which rows change labels, and the number of labels.
 MOVED_EVERY, LABELS = 7, 10
 
@@ -165,7 +171,7 @@ class Block:
         middle = self.along * g / size + float(self.centre @ asked.vector)
         return np.ceil(middle - reach / size).astype(np.int64), np.floor(middle + reach / size).astype(np.int64)
 
-    def scored(self, rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    def scored(self, rows: np.ndarray | slice, vector: np.ndarray) -> np.ndarray:
         if self.bound(vector) < EXACT_FLOAT:
             return (self.floats[rows] @ vector.astype(np.float64)).astype(np.int64)
         if self.bound(vector) >= BEST:
@@ -174,27 +180,45 @@ class Block:
 
 
 class Search:
-    """Searches of one anchor in one block; scores are computed once per row."""
+    """Searches of one anchor in one block; scores are computed once per row.  ``asked``
+    gives the anchor made ready for codes."""
 
-    def __init__(self, block: Block, vector: np.ndarray):
+    def __init__(self, block: Block, vector: np.ndarray, asked: Callable[[], Asked] | None = None):
         self.block, self.vector = block, vector
         # codes and estimates need sums that floating point holds exactly
         exact = block.bound(vector) * padded_width(block.width) * 4 < EXACT_FLOAT and bool(
             int(np.abs(vector).max(initial=0)) * max(block.width, 1) * 4 < EXACT_FLOAT)
-        self.low, self.high = block.intervals(Asked(vector) if exact else None)
+        self.low, self.high = block.intervals((asked() if asked else Asked(vector)) if exact else None)
         self.scores = np.zeros(len(block.keys), np.int64)
         self.known = np.zeros(len(block.keys), bool)
 
     def _score(self, rows: np.ndarray) -> None:
         rows = rows[~self.known[rows]]
+        if 2 * len(rows) > len(self.known):                   # the whole block is sooner multiplied than its rows are copied
+            rows = slice(None)
         self.scores[rows] = self.block.scored(rows, self.vector)
         self.known[rows] = True
 
+    def _top(self, rows: np.ndarray, k: int) -> np.ndarray:
+        """The first k of ``rows``, all scored: by score, then by place."""
+        scores = self.scores[rows]
+        if len(rows) > k:
+            rows = rows[scores >= np.partition(scores, len(scores) - k)[len(scores) - k]]
+        return rows[np.lexsort((rows, -self.scores[rows]))][:k]
+
     def first(self, allowed: np.ndarray, least: int, most: int, k: int) -> list[tuple[int, int]]:
         """(row, score) of the first k allowed rows with a score from least to most."""
         if least > most:
             return []
         rows = np.flatnonzero(allowed & (self.high >= least) & (self.low <= most))
+        if not self.known[rows].all():
+            rows = self._scored_first(rows, least, most, k)
+        scores = self.scores[rows]
+        best = self._top(rows[(scores >= least) & (scores <= most)], k)
+        return [(int(r), int(self.scores[r])) for r in best]
+
+    def _scored_first(self, rows: np.ndarray, least: int, most: int, k: int) -> np.ndarray:
+        """Those of ``rows`` that the first k can be among, scored."""
         sure = self.low[rows][(self.low[rows] >= least) & (self.high[rows] <= most)]
         if len(sure) > k:
             rows = rows[self.high[rows] >= np.partition(sure, len(sure) - k)[len(sure) - k]]
@@ -207,13 +231,32 @@ class Search:
             some = rows[at:at + step]
             self._score(some)
             some = some[(self.scores[some] >= least) & (self.scores[some] <= most)]
-            best = np.concatenate([best, some])
-            best = best[np.lexsort((best, -self.scores[best]))][:k]
-            at, step = at + step, step * 2
+            best = self._top(np.concatenate([best, some]), k)
+            at, step = at + step, step * 8
             # an equal score can still win by its id
             if len(best) == k and at < len(rows) and reach[at] < self.scores[best[-1]]:
                 break
-        return [(int(r), int(self.scores[r])) for r in best]
+        return best
+
+
+class Searches:
+    """Searches of one anchor in the ``allowed`` rows of several blocks."""
+
+    def __init__(self, blocks: list[Block], vector: np.ndarray, allowed: Callable[[Block], np.ndarray]):
+        asked = functools.cache(lambda: Asked(vector))
+        rows = ((block, allowed(block)) for block in blocks)
+        self.parts = [(Search(block, vector, asked), some) for block, some in rows if some.any()]
+
+    def first(self, least: int, most: int, k: int) -> Iterator[tuple[int | None, int, int]]:
+        """(id, key, score) of the first k rows of all blocks with a score from least to most."""
+        best: list[tuple] = []
+        for search, allowed in self.parts:
+            b = search.block
+            # an equal score can still win by its id
+            floor = max(least, -best[-1][0]) if len(best) == k else least
+            best += [(-score, bool(b.unnamed[r]), int(b.ids[r]), int(b.keys[r])) for r, score in search.first(allowed, floor, most, k)]
+            best = sorted(best)[:k]
+        return ((None if unnamed else id_, key, -minus) for minus, unnamed, id_, key in best)
 
 
 def window_of(score: int, least_percent: int, most_percent: int) -> tuple[int, int]:
@@ -277,35 +320,57 @@ def build_index(rows: DataFrame, block_values: int = BLOCK_VALUES) -> DataFrame:
 
 
 def searched(index: DataFrame, anchors: DataFrame, answer, schema: str, group_values: int = GROUP_VALUES) -> DataFrame:
-    """``answer(block, anchor)`` gives rows of ``schema`` for each of ``anchors`` (a struct
-    column ``anchor`` with key and q) and each block of its width.
+    """``answer(blocks, anchor)`` gives rows of ``schema`` for each of ``anchors`` (a struct
+    column ``anchor`` with key and q) and the blocks of its width at a place.
 
-    Groups of anchors hold about ``group_values`` values.  Blocks are copied per
-    group and groups per place: as many places as there are blocks, more or less.
+    There are places enough for all cores, and for ``HELD_BLOCKS`` blocks each.  Where blocks are
+    fewer than that, anchors are cut into parts of ``group_values`` values at least, and blocks
+    copied per part.
     """
     values = anchors.agg(F.coalesce(F.sum(F.greatest(F.size("anchor.q"), F.lit(1))), F.lit(0))).first()[0]
-    groups, places = max(1, -(-values // group_values)), max(1, index.count())
-    asked = (anchors.select(F.pmod(F.xxhash64("anchor.key"), F.lit(groups)).cast("int").alias("group"),
-                            F.size("anchor.q").alias("width"), "anchor")
-             .groupBy("group", "width").agg(F.collect_list("anchor").alias("anchors"))
-             .withColumn("spot", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))))
-    blocks = (index.withColumn("spot", F.pmod(F.col("place"), F.lit(places)).cast("int"))
-              .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
-    # few rows with much work each: a task should not take many
-    blocks = blocks.repartition(min(10_000, groups * places), "spot", "group", "width")
-    pairs = blocks.join(asked, ["spot", "group", "width"]).select("width", *(name for name, _ in Block.FIELDS), "anchors")
+    blocks, wanted = index.count(), PLACES_PER_CORE * anchors.sparkSession.sparkContext.defaultParallelism
+    places = max(1, -(-blocks // HELD_BLOCKS), min(blocks, wanted))
+    parts = max(1, min(-(-values // group_values), -(-wanted // places)))
+    fields = [name for name, _ in Block.FIELDS]
+
+    def spot(place: Column, part: Column) -> Column:
+        return (place * F.lit(parts) + part).cast("int").alias("spot")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    held = (index.withColumn("part", every(parts))
+            .select(spot(F.pmod("place", F.lit(places)), F.col("part")), F.lit(False).alias("asks"), "width", *fields))
+    asked = (anchors.withColumn("spot", every(places))
+             .select(spot(F.col("spot"), F.pmod(F.xxhash64("anchor.key"), F.lit(parts))), F.lit(True).alias("asks"),
+                     F.size("anchor.q").alias("width"), "anchor"))
+    # most spots get a task of their own; the blocks of a spot come before its anchors
+    rows = (held.unionByName(asked, allowMissingColumns=True).repartition(4 * places * parts, "spot")
+            .sortWithinPartitions("spot", "asks"))
     names = [part.split()[0] for part in schema.split(", ")]
 
+    def out_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=names)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, at_spot, found = None, {}, []
         for batch in batches:
-            for row in range(batch.num_rows):
-                width, *packed, wanted = (batch.column(c)[row].as_py() for c in range(batch.num_columns))
-                block = Block.unpack(width, *packed)
-                out = [r for anchor in wanted for r in answer(block, anchor)]
-                columns = zip(*out) if out else ((),) * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-    return pairs.mapInArrow(run, schema)
+            spots, asks, widths = (batch.column(c).to_pylist() for c in ("spot", "asks", "width"))
+            packed, anchor = [batch.column(c) for c in fields], batch.column("anchor")
+            for row, (at, ask, width) in enumerate(zip(spots, asks, widths)):
+                if at != here:
+                    here, at_spot = at, {}
+                if not ask:
+                    at_spot.setdefault(width, []).append(Block.unpack(width, *(c[row].as_py() for c in packed)))
+                elif width in at_spot:
+                    found += answer(at_spot[width], anchor[row].as_py())
+                if len(found) >= ROWS_OUT:
+                    yield out_of(found)
+                    found = []
+        if found:
+            yield out_of(found)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _first(found: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -316,11 +381,10 @@ def _first(found: DataFrame, keys: list[str], k: int) -> DataFrame:
 def positives(index: DataFrame, anchors: DataFrame, k: int = POSITIVES) -> DataFrame:
     """``key`` of the anchor, ``rank``, ``id`` and ``score``: first other rows of its label."""
 
-    def answer(block: Block, anchor: dict):
-        allowed = (block.labels == anchor["label"]) & (block.keys != anchor["key"])
-        if allowed.any():
-            for r, score in Search(block, np.array(anchor["q"], np.int64)).first(allowed, WORST, BEST, k):
-                yield anchor["key"], None if block.unnamed[r] else int(block.ids[r]), int(block.keys[r]), score
+    def answer(blocks: list[Block], anchor: dict):
+        searches = Searches(blocks, np.array(anchor["q"], np.int64), lambda b: (b.labels == anchor["label"]) & (b.keys != anchor["key"]))
+        for found in searches.first(WORST, BEST, k):
+            yield anchor["key"], *found
 
     asked = anchors.select(F.struct("key", "label", "q").alias("anchor"))
     return _first(searched(index, asked, answer, "key bigint, id bigint, row bigint, score bigint"), ["key"], k)
@@ -331,13 +395,11 @@ def negatives(index: DataFrame, anchors: DataFrame, found: DataFrame, k: int = N
     """``key`` of the anchor, ``place`` (rank of the positive), ``rank``, ``id`` and ``score``: first rows
     of other labels with a score within ``percents`` of the positive's."""
 
-    def answer(block: Block, anchor: dict):
-        allowed = block.labels != anchor["label"]
-        if allowed.any():
-            search = Search(block, np.array(anchor["q"], np.int64))
-            for one in anchor["found"]:
-                for r, score in search.first(allowed, *window_of(one["score"], *percents), k):
-                    yield anchor["key"], one["rank"], None if block.unnamed[r] else int(block.ids[r]), int(block.keys[r]), score
+    def answer(blocks: list[Block], anchor: dict):
+        searches = Searches(blocks, np.array(anchor["q"], np.int64), lambda b: b.labels != anchor["label"])
+        for one in anchor["found"]:
+            for found in searches.first(*window_of(one["score"], *percents), k):
+                yield anchor["key"], one["rank"], *found
 
     asked = (found.groupBy("key").agg(F.collect_list(F.struct("rank", "score")).alias("found"))     # k at most
              .join(anchors, "key").select(F.struct("key", "label", "q", "found").alias("anchor")))
